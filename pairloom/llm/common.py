@@ -80,7 +80,10 @@ def keyed(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
     Where doc_id is unique and not null it serves as rid at no cost. Else rows are range-sorted and
     numbered once: repeated and null ids then stand for separate documents, in order of their text.
+    docs that have a rid come back as they are; callers select doc_id and text of others' tables first.
     """
+    if "rid" in docs.columns:
+        return docs
     cols = ["doc_id", "text", *(extra or [])]
     slim = docs.select(*cols)
     clash = slim.select("doc_id").groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").limit(1).count()
@@ -91,5 +94,13 @@ def keyed(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return materialize(ordered.withColumn("rid", F.monotonically_increasing_id()), "keyed")
 
 
-def utf8(col: Column | str) -> Column:
-    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+def boxed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): all other columns in one struct, so that their names meet none of ours."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("rest"))
+
+
+def unboxed(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns of docs again, in their order; `changed` replaces some that exist."""
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    return df.select(*[(changed.get(c) if c in changed else own.get(c, F.col("rest").getField(c))).alias(c) for c in names])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import keyed, materialize, release
+from pairloom.llm.common import boxed, keyed, materialize, release, unboxed
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -41,14 +41,14 @@ def _count(c: Column) -> Column:
     return c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
-def dedup_lines(docs: DataFrame, period: int = 4, keep: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, period: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, text (kept lines; null stays null), n_lines, n_removed, and the columns `keep`.
 
     A chunk counts if two of its lines hold a word. The first of equal chunks, by doc_id (null first)
     and place, stays. Repeated or null ids are separate documents in order of their text. Empty
     docs give no rows; columns of docs beyond doc_id, text and `keep` are ignored.
     """
-    docs = keyed(docs, keep)
+    docs = keyed(docs.select("doc_id", "text", *keep), list(keep))
     parts = _chunks(_lines(docs.select("rid", "text")), period)
     spoken = F.transform("lines", lambda x: F.when(F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "", 1).otherwise(0))
     rows = parts.withColumn("spoken", spoken).select("rid", "h", "spoken", F.explode("chunks").alias("chunk"))
@@ -76,14 +76,14 @@ def dedup_lines(docs: DataFrame, period: int = 4, keep: list[str] | None = None)
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.coalesce(lost, F.lit(0)).cast("long").alias("n_removed"),
-        *(keep or []),
+        *keep,
     )
 
 
 def dedup_documents(docs: DataFrame, period: int = 4) -> DataFrame:
     """docs with their columns, and the texts that dedup_lines() leaves."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = dedup_lines(docs, period, others)
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = dedup_lines(boxed(docs), period, ("rest",))
+    changed = {}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))
+    return unboxed(out, docs.columns, **changed)

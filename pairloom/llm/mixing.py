@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import WORD, materialize, release
+from pairloom.llm.common import WORD, boxed, materialize, unboxed
 
 #: Base weights of the sources in code point order (null last), repeating.
 BASE_WEIGHTS = (5.0, 2.0, 1.0)
@@ -84,8 +84,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float, profi
 def mix(docs: DataFrame, weights: Sequence[float] = BASE_WEIGHTS, cap: float = 3.0, keep: Sequence[str] = ()) -> DataFrame:
     """One row per row of docs, by training position of its first use.
 
-    doc_id, source, size, source_size, target, taken (words used, all passes), passes (array of the
-    words used in each pass), position (null if unused). size counts words; null text has none. Null
+    doc_id, source, size, source_size, target, taken (words used, all passes), passes and positions
+    (arrays: words used in each pass, and when), position (of the first pass; null if unused). size counts words; null text has none. Null
     source: a source of its own, last. A pass ends inside a document where the target falls there.
     Repeated rows take turns. Empty texts are never used. `keep` names more columns to carry along.
     """
@@ -111,29 +111,34 @@ def mix(docs: DataFrame, weights: Sequence[float] = BASE_WEIGHTS, cap: float = 3
     whole = F.round(F.col("target")).cast("long")
     used = [F.least(F.greatest(whole - F.col("source_size") * e - at, F.lit(0)), F.col("size")) for e in range(math.ceil(cap))]
     taken = sum(used[1:], used[0])
-    share = at / F.greatest(F.col("target"), F.lit(1.0))
-    place = F.when(taken > 0, position_at(share, F.col("profile")))
+    share = [(at + F.col("source_size") * e) / F.greatest(F.col("target"), F.lit(1.0)) for e in range(math.ceil(cap))]
+    places = [F.when(u > 0, position_at(x, F.col("profile"))) for u, x in zip(used, share)]
     out = rows.select(
         "doc_id", F.col("q.source").alias("source"), *keep, "size", "source_size", "target",
-        taken.alias("taken"), F.array(*used).alias("passes"), place.alias("position"), "turn",
+        taken.alias("taken"), F.array(*used).alias("passes"), F.array(*places).alias("positions"), places[0].alias("position"), "turn",
     )
     spread = F.coalesce("position", 1 + F.pmod(F.col("turn"), F.lit(1 << 20)) / (1 << 20))  # unused rows share no key
     return out.withColumn("_at", spread).repartitionByRange("_at", "doc_id").sortWithinPartitions("_at", "doc_id").drop("_at", "turn")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = BASE_WEIGHTS, cap: float = 3.0) -> DataFrame:
-    """The rows to train on, with docs' columns: a row for each pass that uses a document.
+    """The rows to train on, in order of position, with docs' columns: a row for each pass that uses a document.
 
-    A document that a pass ends in is cut there, to its first words joined by single spaces.
+    A document that a pass ends in is cut there, to its first words joined by single spaces. Docs
+    without a source column are one source. Equal rows are one document that is used in their stead.
     """
     names = docs.columns
-    numbered = docs.withColumn("_key", F.xxhash64(*[F.col(c).cast("string") for c in names if c != "text"], F.col("text")))
-    plan = mix(numbered, weights, cap, keep=["_key"]).filter("taken > 0").select("_key", "passes", "size", "position")
-    plan = plan.groupBy("_key").agg(F.flatten(F.collect_list("passes")).alias("passes"), F.max("size").alias("size"), F.min("position").alias("position"))
-    one = numbered.dropDuplicates(["_key"])
-    rows = one.join(plan, "_key").select(*[F.col(c) for c in names], "size", "position", F.explode(F.filter("passes", lambda x: x > 0)).alias("_take"))
-    short = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_take") < F.col("size"), short).otherwise(F.col("text")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("_take") < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*names)
+    rows = boxed(docs)
+    source = F.col("rest.source") if "source" in names else F.lit(None).cast("string")
+    # rows that agree in doc_id, source and text are interchangeable; their copies are numbered by the join
+    keyed_rows = rows.select("doc_id", "text", "rest", source.alias("source"), F.xxhash64("doc_id", source, "text").alias("key"))
+    plan = mix(keyed_rows.select("doc_id", "source", "text", "key"), weights, cap, keep=["key"]).filter("taken > 0")
+    plan = plan.select("key", "size", F.filter(F.arrays_zip("passes", "positions"), lambda x: x["passes"] > 0).alias("uses"))
+    plan = plan.groupBy("key").agg(F.flatten(F.collect_list("uses")).alias("uses"), F.max("size").alias("size"))
+    one = keyed_rows.dropDuplicates(["key"]) if keyed_rows.groupBy("key").count().filter("count > 1").limit(1).count() else keyed_rows
+    used = one.join(plan, "key").select("doc_id", "text", "rest", "size", F.inline("uses"))
+    short = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("passes").cast("int")), " ")
+    used = used.withColumn("cut", F.col("passes") < F.col("size")).withColumn("text", F.when(F.col("cut"), short).otherwise(F.col("text")))
+    used = used.repartitionByRange("positions", "doc_id").sortWithinPartitions("positions", "doc_id")
+    changed = {"n_chars": F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))} if "n_chars" in names else {}
+    return unboxed(used, names, **changed)

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.llm import kernels as K
-from pairloom.llm.common import arrow_batches, materialize
+from pairloom.llm.common import arrow_batches, boxed, materialize, unboxed
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stops", "n_shouts")
 _table = np.zeros(256, bool)
@@ -84,6 +85,7 @@ def with_features(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The columns `carry` of docs (of any type) and FEATURES, all long. Null text: all 0."""
     arrow_batches(docs.sparkSession)
     src = docs.select(*carry) if "text" in carry else docs.select(*carry, "text")
+    fields = [src.schema[c] for c in carry] + [T.StructField(f, T.LongType()) for f in FEATURES]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,9 +94,6 @@ def with_features(docs: DataFrame, carry: list[str]) -> DataFrame:
                 made = measure(data[off[x] : off[y]], off[x : y + 1] - off[x])
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(x, y - x) for c in carry), *(pa.array(np.asarray(v, dtype=np.int64)) for v in made)], [*carry, *FEATURES])
 
-    from pyspark.sql import types as T
-
-    fields = [src.schema[c] for c in carry] + [T.StructField(f, T.LongType()) for f in FEATURES]
     return src.mapInArrow(go, T.StructType(fields))
 
 
@@ -177,5 +176,5 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
 def filter_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs that judge() keeps, with docs' columns. Texts pass Python twice, not the shuffle."""
     p = fit(with_features(docs, ["doc_id"]))
-    out = with_features(docs, docs.columns)
-    return out.filter(~base_failed() & (p >= least)).select(*docs.columns)
+    out = with_features(boxed(docs), ["doc_id", "text", "rest"])
+    return unboxed(out.filter(~base_failed() & (p >= least)), docs.columns)

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pairloom.llm import audio
 from pairloom.llm.chat_format import format_chats, unescape_text
 from pairloom.llm.common import table
+from pairloom.llm.jaccard_join import group_near_duplicates
 from pairloom.llm.line_dedup import dedup_lines
 from pairloom.llm.mixing import mix
 from pairloom.llm.packing import pack
@@ -55,6 +57,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = group_near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audio.read_media(audio.encode_text(table(spark, sf_dir, "documents")))
     return out.select(
@@ -80,7 +87,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    ordered = dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return ordered | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

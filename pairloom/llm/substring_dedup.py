@@ -47,7 +47,7 @@ def dedup_substrings(docs: DataFrame, length: int = 20, gram: int = 5) -> DataFr
     """
     R.prepare(docs)
     unit = R.Unit("word", length, gram)
-    docs = keyed(docs)
+    docs = keyed(docs.select("doc_id", "text"))
     spans = factor_spans(docs, unit)
 
     def cut(batches):

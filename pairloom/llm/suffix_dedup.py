@@ -111,7 +111,7 @@ def dedup_bytes(docs: DataFrame, length: int = 400, gram: int = 24, hot_variants
     """
     R.prepare(docs)
     unit = R.Unit("byte", length, gram)
-    docs = keyed(docs)
+    docs = keyed(docs.select("doc_id", "text"))
     spans = repeated_spans(docs, unit, hot_variants)
 
     def cut(batches):

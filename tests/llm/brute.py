@@ -46,3 +46,37 @@ def suffix_dedup(docs, length=400):
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         out.append((d, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))
     return sorted(out)
+
+
+def shingles(text: str | None, k: int) -> frozenset:
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = words(low)
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)])
+
+
+def near_groups(docs, k=3, num=90, den=100):
+    sets = {d: shingles(t, k) for d, t in docs}
+    ids = sorted(sets)
+    parent = {d: d for d in ids}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    by_token = defaultdict(list)
+    for d in ids:
+        s = sets[d]
+        found = defaultdict(int)
+        for t in s:
+            for e in by_token[t]:
+                found[e] += 1
+            by_token[t].append(d)
+        for e, i in found.items():
+            if den * i >= num * (len(s) + len(sets[e]) - i):
+                a, b = sorted((find(d), find(e)))
+                parent[b] = a
+    return sorted((d, len(sets[d]), find(d)) for d in ids)
