@@ -69,7 +69,7 @@ def release(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def arrow_batches(spark: SparkSession, mb: int = 4, rows: int = 4000) -> None:
+def arrow_batches(spark: SparkSession, mb: int = 2, rows: int = 2000) -> None:
     """Bounds Arrow batches by bytes as well as rows, so that Python workers hold little."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))

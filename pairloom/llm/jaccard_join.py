@@ -63,7 +63,7 @@ class Bands:
         self.num, self.den = num, den
         lo = [1]
         while lo[-1] < top:
-            lo.append(max(lo[-1] + 1, lo[-1] * 5 // 4))
+            lo.append(max(lo[-1] + 1, lo[-1] * 3 // 2))
         self.lo = np.array(lo, dtype=np.int64)
         largest = np.append(self.lo[1:], top * 2) - 1
         self.groups = 2 * largest * (den - num) // (den + num) + 1
@@ -152,12 +152,14 @@ def _search(batches, num: int, den: int):
         d = min(len(x) for x in raw) // 2
         points = np.vstack([fold(np.frombuffer(x, "<u2").astype(np.int32)[None, :], d) for x in raw])
         tree = RTree(points, n)
-        a, b = [], []
-        for i in range(len(rid)):
+        names, where, count = np.unique(comp, return_inverse=True, return_counts=True)
+        most = int(count.argmax())  # pairs inside the largest component need no search, so only the others ask
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(where != most):
             j = tree.near(points[i], int(n[i]), num, den)
-            j = j[(rid[j] > rid[i]) & (comp[j] != comp[i])]
-            a.append(np.full(len(j), rid[i]))
-            b.append(rid[j])
+            j = j[(comp[j] != comp[i]) & ((where[j] == most) | (rid[j] > rid[i]))]
+            a.append(np.minimum(rid[j], rid[i]))
+            b.append(np.maximum(rid[j], rid[i]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     held, last = [], None
@@ -227,9 +229,11 @@ def near_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     same = materialize(sized.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep")), "same")
     unique = docs.select("rid", "text").join(same.select(F.col("rep").alias("rid")), "rid")
     keyed_rows = materialize(unique.mapInArrow(keys, "key long, rid long, weak boolean"), "keys")
-    shared = keyed_rows.groupBy("key").agg(F.count("*").alias("c"), F.min("rid").alias("first")).filter("c > 1").select("key", "first")
+    shared = keyed_rows.groupBy("key").agg(F.count("*").alias("c"), F.min("rid").alias("first")).filter("c > 1")
+    shared = materialize(shared, "shared")
     bucket = materialize(keyed_rows.join(shared, "key"), "buckets")
     release(keyed_rows)
+    release(shared)
     wanted = bucket.select("rid").distinct()
     sets = materialize(docs.select("rid", "text").join(wanted, "rid").mapInArrow(full, "rid long, n long, tokens array<long>, vec binary"), "sets")
 
@@ -241,12 +245,15 @@ def near_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         both = both.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).withColumn("i", overlap)
         return materialize(both.filter((F.col("na") + F.col("nb")) * num <= F.col("i") * (den + num)).select("a", "b"), "links")
 
-    star = bucket.filter("NOT weak AND rid <> first").select(F.col("first").alias("a"), F.col("rid").alias("b")).distinct()
+    # the first of a bucket with each other member; empty groups say little, so only where that is all there is
+    star = bucket.filter("rid <> first AND (NOT weak OR c = 2)").select(F.col("first").alias("a"), F.col("rid").alias("b")).distinct()
     links = verify(star)
     comp = materialize(components(links), "components")
-    named = bucket.select("key", "rid").join(comp.withColumnRenamed("v", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
+    named = bucket.filter("c > 2").select("key", "rid").join(comp.withColumnRenamed("v", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
     named = materialize(named, "named")
-    split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    members = [F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("rid"), 8)).alias("s1"), F.sum(F.shiftright(F.xxhash64("rid", F.lit(1)), 8)).alias("s2")]
+    split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *members).filter("lo <> hi")
+    split = split.groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key")  # one of the buckets with the same members
     points = named.join(split, "key").join(sets.select("rid", "n", "vec"), "rid").select("key", "rid", "comp", "n", "vec")
     pairs = points.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _search(it, num, den), "a long, b long").distinct()
     more = verify(pairs.join(star, ["a", "b"], "left_anti"))

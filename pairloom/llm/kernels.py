@@ -55,7 +55,7 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def chunks(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(off: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of whole rows of about limit bytes each (a longer row stands alone)."""
     n, a = len(off) - 1, 0
     while a < n:

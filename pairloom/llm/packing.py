@@ -25,36 +25,72 @@ _SECOND_ROUND = 1 << 62
 
 
 class Memo:
-    """Token ids of words, as little-endian uint32 bytes; at most `limit` words are remembered.
+    """Token ids of words, as little-endian uint32 bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words in a row.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a
+    row. A word of letters and then punctuation is two units, the letters in lower case. Units of
+    letters are encoded many at a time: each ends with the only token that closes a word. At
+    most `limit` units, and as many words, are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, longest: int = 40):
+    TAIL = ",.;:!?"
+
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.closes = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {"": b""}
+        self.units: dict[str, bytes] = {"": b""}
+
+    def _letters(self, words: list[str]) -> None:
+        for a in range(0, len(words), 1000):
+            part = words[a : a + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cut = np.flatnonzero(self.closes[ids]) + 1
+            if len(cut) == len(part) and cut[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+                self.units.update(zip(part, (raw[x:y] for x, y in zip(at, at[1:]))))
+            else:
+                self._each(part)
+
+    def _each(self, words: list[str]) -> None:
+        for a in range(0, len(words), 5000):
+            part = words[a : a + 5000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.units[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        extra = {}
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                extra[w] = np.array(e.ids, dtype="<u4").tobytes()
-        if extra:
-            if len(known) > self.limit:
-                known = self.known = {w: known[w] for ws in split for w in ws if w in known} | {"": b""}
-            full = known | extra if any(len(w) > self.longest for w in new) else None
-            known.update((w, b) for w, b in extra.items() if len(w) <= self.longest)
-            get = (full or known).__getitem__
-        else:
-            get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        known, units = self.known, self.units
+        new = {w for ws in split for w in ws if w not in known}
+        if new:
+            plan, letters, other = [], set(), set()
+            for w in new:
+                core = w.rstrip(self.TAIL)
+                if core.isalpha():
+                    tail = w[len(core) :]
+                    core = core.lower() if core.isascii() else core
+                    if core not in units:
+                        letters.add(core)
+                else:
+                    core, tail = w, ""
+                    if w not in units:
+                        other.add(w)
+                if tail not in units:
+                    other.add(tail)
+                plan.append((w, core, tail))
+            self._letters(list(letters))
+            self._each(list(other))
+            known.update((w, units[core] + units[tail]) for w, core, tail in plan)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        if len(known) > self.limit:
+            self.known = {"": b""}
+        if len(units) > self.limit:
+            self.units = {"": b""}
+        return out
 
 
 class Bins:
@@ -140,8 +176,8 @@ def pack(docs: DataFrame, size: int = 2048, open_bins: int = 512, tokenizer: str
         memo, bins = Memo(path), Bins(size, open_bins)
         out = _Rows(TaskContext.get().partitionId() << 36)
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
+            for a in range(0, b.num_rows, 500):
+                part = b.slice(a, 500)
                 pieces = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), memo.encode([t or "" for t in part.column("text").to_pylist()])):
                     ids += end
