@@ -10,6 +10,7 @@ What is still open when a partition ends is packed once more across partitions.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ class Memo:
 
     TAIL = ",.;:!?"
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -48,7 +49,7 @@ class Memo:
     def _letters(self, words: list[str]) -> None:
         for a in range(0, len(words), 1000):
             part = words[a : a + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(self.closes[ids]) + 1
             if len(cut) == len(part) and cut[-1] == len(ids):
                 raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
@@ -62,10 +63,21 @@ class Memo:
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.units[w] = np.array(e.ids, dtype="<u4").tobytes()
 
+    @staticmethod
+    def _lower(text: str) -> str:
+        """As the tokenizer will do, where both surely agree: fewer words to know."""
+        if "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
         known, units = self.known, self.units
-        new = {w for ws in split for w in ws if w not in known}
+        new = set(chain.from_iterable(split)).difference(known)
         if new:
             plan, letters, other = [], set(), set()
             for w in new:
