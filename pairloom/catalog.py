@@ -1,19 +1,435 @@
-"""Registry of the library's own queries, each with the SQL that must agree with it."""
+"""Registry of the library's own queries over the parquet tables, each with the SQL that must agree with it.
+
+Documents stand in for a paired alignment: eight sites hold the share of eight letters in the whole
+text, as one of 21 symbols; four of them are the left half, four the right one. The source is the species.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairloom.functions import symbols as S
+from pairloom.models import rbm
+from pairloom.operators import assign, cluster, geometry, groups, rank, stats
+from pairloom.plans import pairing
+
+WIDTH, LEFT, LETTERS = 8, 4, "eantiors"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t"))
+    site = lambda c: F.expr(f"substring('{S.GAP_FIRST}', cast(1 + least(20, (200 * (length(t) - length(replace(t, '{c}', '')))) div greatest(length(t), 1)) as int), 1)")
+    return t.select(F.col("doc_id").alias("row_id"), F.col("source").alias("species"), F.concat(*[site(c) for c in LETTERS]).alias("seq"))
+
+
+_SITES = " || ".join(f"substr('{S.GAP_FIRST}', 1 + least(20, (200 * (length(t) - length(replace(t, '{c}', '')))) // greatest(length(t), 1))::INT, 1)" for c in LETTERS)
+_ALN = f"""aln AS (SELECT doc_id AS row_id, source AS species, {_SITES} AS seq FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)),
+lf AS (SELECT row_id, species, p::INT AS pos, strpos('{S.GAP_FIRST}', substr(seq, p::INT, 1))::INT AS code FROM aln, range(1, {WIDTH + 1}) r(p)),
+n AS (SELECT count(*) AS n FROM aln)"""
+_FREQ = f"""{_ALN},
+f1 AS (SELECT pos, code, count(*) / (SELECT n FROM n)::DOUBLE AS f FROM lf GROUP BY ALL),
+f2 AS (SELECT x.pos AS i, y.pos AS j, x.code AS a, y.code AS b, count(*) / (SELECT n FROM n)::DOUBLE AS f FROM lf x JOIN lf y USING (row_id) WHERE x.pos <= {LEFT} AND y.pos > {LEFT} GROUP BY ALL),
+grid AS (SELECT i::INT AS i, j::INT AS j, a::INT AS a, b::INT AS b FROM range(1, {LEFT + 1}) t1(i), range({LEFT + 1}, {WIDTH + 1}) t2(j), range(1, 22) t3(a), range(1, 22) t4(b)),
+cells AS (SELECT g.i, g.j, g.a, g.b, coalesce(f2.f, 0) AS fab, coalesce(x.f, 0) AS fa, coalesce(y.f, 0) AS fb FROM grid g LEFT JOIN f2 ON g.i = f2.i AND g.j = f2.j AND g.a = f2.a AND g.b = f2.b LEFT JOIN f1 x ON x.pos = g.i AND x.code = g.a LEFT JOIN f1 y ON y.pos = g.j AND y.code = g.b),
+pm AS (SELECT i, j, a, b, ln((0.85 * fab + 0.15 / 441.0e0) / ((0.85 * fa + 0.15 / 21.0e0) * (0.85 * fb + 0.15 / 21.0e0))) AS pmi FROM cells WHERE a > 1 AND b > 1),
+st AS (SELECT i, j, sqrt(sum((fab - fa * fb) * (fab - fa * fb))) AS strength FROM cells GROUP BY i, j)"""
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _long(spark, d):
+    return stats.long_form(alignment(spark, d), "species")
+
+
+def r6(c: str):
+    return (F.round(F.col(c), 6) + F.lit(0.0)).alias(c)
+
+
+@query(f"WITH {_ALN} SELECT row_id, species, seq FROM aln WHERE regexp_matches(seq, '^[-{S.RESIDUES}]+$')")
+def seq_encode(spark, d):
+    return alignment(spark, d).filter(S.is_clean(F.col("seq")))
+
+
+@query(f"WITH {_ALN} SELECT row_id, species, pos, code FROM lf")
+def seq_long(spark, d):
+    return _long(spark, d)
+
+
+@query("""WITH h AS (SELECT doc_id AS row_id, 'tr|A' || doc_id || '|X' || doc_id || '_' || CASE doc_id % 5 WHEN 0 THEN '9BACL' WHEN 1 THEN 'UNCFI' WHEN 2 THEN 'XUNKY' ELSE upper(source) END || '/8-112' AS header FROM documents)
+SELECT row_id, string_split(header, '|')[2] AS s1, list_last(string_split(string_split(list_last(string_split(header, '|')), '/')[1], '_')) AS s2, list_last(string_split(string_split(header, '/')[1], '_')) AS s3,
+list_last(string_split(string_split(string_split(header, '|')[3], '/')[1], '_')) AS s4,
+regexp_matches(s2, '^[0-9]|UNC|UNK') AS ambiguous FROM h""")
+def species_rules(spark, d):
+    code = F.when(F.col("doc_id") % 5 == 0, "9BACL").when(F.col("doc_id") % 5 == 1, "UNCFI").when(F.col("doc_id") % 5 == 2, "XUNKY").otherwise(F.upper("source"))
+    h = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.concat(F.lit("tr|A"), "doc_id", F.lit("|X"), "doc_id", F.lit("_"), code, F.lit("/8-112")).alias("header"))
+    x = F.col("header")
+    return h.select("row_id", S.species_second_field(x).alias("s1"), S.species_mnemonic(x).alias("s2"), S.species_bare(x).alias("s3"), S.species_third_field(x).alias("s4"), S.is_placeholder(S.species_mnemonic(x)).alias("ambiguous"))
+
+
+@query("SELECT source AS species, count(*) AS n, min(doc_id) AS first FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) >= 2")
+def species_groups(spark, d):
+    return groups.species_groups(alignment(spark, d))
+
+
+@query("SELECT o_custkey AS species, count(*) AS n, min(o_orderkey) AS first FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1 HAVING count(*) BETWEEN 2 AND 12")
+def species_bounded(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("species"))
+    return groups.species_groups(o, 2, 12)
+
+
+@query(f"WITH {_ALN} SELECT min(row_id) AS row_id, species, seq FROM aln GROUP BY species, seq")
+def dedup_first_in_group(spark, d):
+    return groups.dedup_first(alignment(spark, d), ["species", "seq"]).select("row_id", "species", "seq")
+
+
+@query(f"WITH {_ALN} SELECT row_id, species, seq FROM aln WHERE row_id IN (SELECT min(row_id) FROM aln GROUP BY seq)")
+def dedup_first_global(spark, d):
+    return groups.dedup_first(alignment(spark, d), ["seq"]).select("row_id", "species", "seq")
+
+
+@query(f"WITH {_ALN} SELECT row_id FROM aln WHERE row_id NOT IN (SELECT min(row_id) FROM aln GROUP BY seq)")
+def dedup_complement(spark, d):
+    a = alignment(spark, d)
+    return groups.complement(a, groups.dedup_first(a, ["seq"])).select("row_id")
+
+
+@query(f"WITH {_ALN}, g AS (SELECT species, count(*) AS n, min(row_id) AS f FROM aln WHERE species IS NOT NULL GROUP BY 1) SELECT row_id, species FROM aln WHERE species NOT IN (SELECT species FROM g ORDER BY n DESC, f LIMIT 1)")
+def drop_largest_group(spark, d):
+    return groups.drop_largest(alignment(spark, d)).select("row_id", "species")
+
+
+@query("WITH g AS (SELECT source, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY 1 ORDER BY n DESC, f LIMIT 5) SELECT doc_id AS row_id, coalesce(g.source, 'other') AS label FROM documents LEFT JOIN g USING (source)")
+def top_groups_label(spark, d):
+    return groups.label_top_groups(alignment(spark, d), 5).select("row_id", "label")
+
+
+@query("SELECT source AS species, CASE WHEN bool_and(quality = 1) THEN 'inside' WHEN bool_and(quality <> 1) THEN 'outside' ELSE 'straddling' END AS side FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def group_partition(spark, d):
+    j = alignment(spark, d).join(table(spark, d, "labels").select(F.col("doc_id").alias("row_id"), (F.col("quality") == 1).alias("good")), "row_id")
+    return groups.partition_groups(j, "good")
+
+
+_HAM = " + ".join(f"(substr(x.seq, {i}, 1) <> substr(y.seq, {i}, 1))::INT" for i in range(1, WIDTH + 1))
+
+
+@query(f"WITH {_ALN}, s AS (SELECT seq, count(*) AS c FROM aln GROUP BY 1), w AS (SELECT x.seq, 1.0e0 / sum(y.c) AS w FROM s x, s y WHERE {_HAM} <= 1 GROUP BY 1) SELECT row_id, round(w, 6) AS w FROM aln JOIN w USING (seq)")
+def weights_hamming(spark, d):
+    return stats.sequence_weights(alignment(spark, d), WIDTH, 1).select("row_id", r6("w"))
+
+
+@query(f"WITH {_ALN}, s AS (SELECT seq, count(*) AS c FROM aln GROUP BY 1), w AS (SELECT x.seq, 1.0e0 / sum(y.c) AS w FROM s x, s y WHERE ({WIDTH} - ({_HAM})) * 4 >= {WIDTH} * 3 GROUP BY 1) SELECT row_id, round(w, 6) AS w FROM aln JOIN w USING (seq)")
+def weights_identity(spark, d):
+    return stats.sequence_weights(alignment(spark, d), WIDTH, WIDTH // 4).select("row_id", r6("w"))
+
+
+@query(f"WITH {_FREQ} SELECT pos, code, round(f, 6) AS f FROM f1")
+def site_freq(spark, d):
+    return stats.site_freq(_long(spark, d)).select("pos", "code", r6("f"))
+
+
+@query(f"WITH {_FREQ} SELECT i, j, a, b, round(f, 6) AS f FROM f2")
+def pair_freq(spark, d):
+    return stats.pair_freq(_long(spark, d), LEFT).select("i", "j", "a", "b", r6("f"))
+
+
+@query(f"WITH {_FREQ} SELECT i, j, a, b, round(pmi, 6) + 0.0e0 AS pmi FROM pm")
+def pmi(spark, d):
+    return stats.pmi(_long(spark, d), WIDTH, LEFT).select("i", "j", "a", "b", r6("pmi"))
+
+
+@query(f"WITH {_FREQ} SELECT i, j, a, b, round(ln((fab + 0.01e0 / 441) / 1.01e0 / (((fa * n + 0.01e0) / (n + 0.21e0)) * ((fb * n + 0.01e0) / (n + 0.21e0))) + 1e-12), 6) + 0.0e0 AS pmi FROM cells, n")
+def pmi_alt(spark, d):
+    a = alignment(spark, d)
+    return stats.pmi_counts(stats.long_form(a), WIDTH, LEFT, a.count()).select("i", "j", "a", "b", r6("pmi"))
+
+
+@query(f"""WITH {_FREQ}, h AS (SELECT species, row_id, substr(seq, 1, {LEFT}) AS l, substr(seq, {LEFT + 1}) AS r FROM aln),
+lr AS (SELECT DISTINCT x.l, y.r FROM h x JOIN h y USING (species)),
+c AS (SELECT l, r, i::INT AS i, j::INT AS j, strpos('{S.GAP_FIRST}', substr(l, i::INT, 1)) AS a, strpos('{S.GAP_FIRST}', substr(r, j::INT - {LEFT}, 1)) AS b FROM lr, range(1, {LEFT + 1}) t(i), range({LEFT + 1}, {WIDTH + 1}) u(j)),
+sc AS (SELECT l, r, sum(coalesce(pmi, 0)) AS score FROM c LEFT JOIN pm USING (i, j, a, b) GROUP BY 1, 2)
+SELECT species, count(*) AS pairs, round(sum(score), 3) + 0.0e0 AS total, round(max(score), 6) + 0.0e0 AS best FROM h x JOIN h y USING (species) JOIN sc ON sc.l = x.l AND sc.r = y.r GROUP BY 1""")
+def pair_scores(spark, d):
+    a = alignment(spark, d)
+    s = stats.pair_scores(a, stats.pmi(stats.long_form(a), WIDTH, LEFT), LEFT)
+    return s.groupBy("species").agg(F.count("*").alias("pairs"), (F.round(F.sum("score"), 3) + 0.0).alias("total"), (F.round(F.max("score"), 6) + 0.0).alias("best"))
+
+
+@query("""SELECT l_returnflag AS g, round(covar_pop(l_quantity, l_extendedprice) / nullif(stddev_pop(l_quantity) * stddev_pop(l_extendedprice), 0), 6) AS r, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept,
+round(avg(abs(l_quantity - l_extendedprice)), 4) AS mean_diff, round(max(abs(l_quantity - l_extendedprice)), 4) AS max_diff FROM lineitem GROUP BY 1""")
+def linear_alignment(spark, d):
+    out = stats.linear_alignment(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "g"), ["g"], "l_quantity", "l_extendedprice")
+    return out.select("g", F.round("r", 6).alias("r"), F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("mean_diff", 4).alias("mean_diff"), F.round("max_diff", 4).alias("max_diff"))
+
+
+@query(f"WITH {_FREQ} SELECT i, j, a, b, round(fab - fa * fb, 6) + 0.0e0 AS c FROM cells")
+def connected_corr(spark, d):
+    return stats.connected_corr(_long(spark, d), WIDTH, LEFT).select("i", "j", "a", "b", r6("c"))
+
+
+def _strength(spark, d, rows=None):
+    return stats.coupling_strength(stats.connected_corr(stats.long_form(alignment(spark, d) if rows is None else rows), WIDTH, LEFT))
+
+
+@query(f"WITH {_FREQ} SELECT i, j, round(strength, 6) AS strength FROM st")
+def coupling_strength(spark, d):
+    return _strength(spark, d).select("i", "j", r6("strength"))
+
+
+@query("SELECT count(DISTINCT source) / count(*)::DOUBLE AS chance FROM documents WHERE source IS NOT NULL")
+def chance_pair(spark, d):
+    return alignment(spark, d).filter("species IS NOT NULL").agg((F.count_distinct("species") / F.count("*")).alias("chance"))
+
+
+@query("SELECT round(avg(1.0e0 / n), 9) AS chance FROM (SELECT count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source HAVING count(*) >= 2)")
+def chance_species(spark, d):
+    return groups.species_groups(alignment(spark, d)).agg(F.round(F.avg(1.0 / F.col("n")), 9).alias("chance"))
+
+
+@query("""WITH g AS (SELECT source, sum(quality) AS c, count(*) AS k, sum(1.0e0 / k2) AS w FROM (SELECT d.source, l.quality, count(*) OVER (PARTITION BY md5(d.text)) AS k2 FROM documents d JOIN labels l USING (doc_id)) GROUP BY 1)
+SELECT round(sum(c) / sum(k), 9)::DOUBLE AS pooled, round(avg(c / k), 9)::DOUBLE AS per_species, round(sum(w * c / k) / sum(w), 9)::DOUBLE AS weighted FROM g""")
+def accuracy_three_ways(spark, d):
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("source", "quality", F.md5("text").alias("h"))
+    j = j.join(j.groupBy("h").agg(F.count("*").alias("k2")), "h")
+    g = j.groupBy("source").agg(F.sum("quality").alias("c"), F.count("*").alias("k"), F.sum(1.0 / F.col("k2")).alias("w"))
+    return g.agg(F.round(F.sum("c") / F.sum("k"), 9).alias("pooled"), F.round(F.avg(F.col("c") / F.col("k")), 9).alias("per_species"), F.round(F.sum(F.col("w") * F.col("c") / F.col("k")) / F.sum("w"), 9).alias("weighted"))
+
+
+@query("SELECT event_type AS n_start, user_id % 5 AS iter, round(avg(value), 6) AS tp_mean, round(stddev_samp(value), 6) AS tp_std FROM events GROUP BY 1, 2")
+def replicate_mean_std(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy(F.col("event_type").alias("n_start"), (F.col("user_id") % 5).alias("iter")).agg(F.round(F.avg("value"), 6).alias("tp_mean"), F.round(F.stddev_samp("value"), 6).alias("tp_std"))
+
+
+@query("SELECT event_type AS n_start, " + ", ".join(f"round(avg(value) FILTER (user_id % 5 = {i}), 6) AS \"{i}\"" for i in range(5)) + " FROM events GROUP BY 1")
+def replicate_pivot(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("n_start"), (F.col("user_id") % 5).alias("iter"), "value")
+    return e.groupBy("n_start").pivot("iter", [0, 1, 2, 3, 4]).agg(F.round(F.avg("value"), 6))
+
+
+@query(f"WITH {_ALN}, c AS (SELECT pos, code, count(*) AS k FROM lf GROUP BY ALL) SELECT pos, code, round(k / n::DOUBLE, 6) AS conservation FROM c, n QUALIFY row_number() OVER (PARTITION BY pos ORDER BY k DESC, code) = 1")
+def consensus(spark, d):
+    return rank.consensus(_long(spark, d)).select("pos", "code", r6("conservation"))
+
+
+@query(f"""WITH {_ALN}, s AS (SELECT row_id, coalesce(lag(row_id) OVER (PARTITION BY species ORDER BY row_id), max(row_id) OVER (PARTITION BY species)) AS partner FROM aln)
+SELECT x.pos, round(avg((x.code = y.code)::INT), 6) AS rate FROM s JOIN lf x USING (row_id) JOIN lf y ON y.row_id = s.partner AND y.pos = x.pos GROUP BY GROUPING SETS ((x.pos), ())""")
+def match_rates(spark, d):
+    a = alignment(spark, d)
+    x = stats.long_form(a)
+    y = x.select(F.col("row_id").alias("partner"), "pos", F.col("code").alias("other"))
+    j = groups.shift_partner(a).join(x, "row_id").join(y, ["partner", "pos"])
+    return j.rollup("pos").agg(F.round(F.avg((F.col("code") == F.col("other")).cast("double")), 6).alias("rate"))
+
+
+@query("SELECT row_id, partner FROM (SELECT doc_id AS row_id, coalesce(lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id), max(doc_id) OVER (PARTITION BY source)) AS partner FROM documents)")
+def wrong_partner_shift(spark, d):
+    return groups.shift_partner(alignment(spark, d))
+
+
+@query("WITH q AS (SELECT quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) AS e FROM lineitem) SELECT CASE WHEN l_extendedprice <= e[1] THEN 1 WHEN l_extendedprice <= e[2] THEN 2 WHEN l_extendedprice <= e[3] THEN 3 ELSE 4 END AS bucket, count(*) AS n, round(avg(l_quantity), 6) AS rate FROM lineitem, q GROUP BY 1")
+def conservation_quartiles(spark, d):
+    q = rank.quartiles(table(spark, d, "lineitem").select("l_extendedprice", "l_quantity"), "l_extendedprice")
+    return q.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("rate"))
+
+
+@query("WITH o AS (SELECT event_id, row_number() OVER (ORDER BY value, event_id) AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT CASE k WHEN 1 THEN 'worst' WHEN n THEN 'best' ELSE 'median' END AS which, event_id FROM o WHERE k IN (1, n, (n + 1) // 2)")
+def best_median_worst(spark, d):
+    e = table(spark, d, "events").filter("value IS NOT NULL").select("value", "event_id")
+    n = e.count()
+    mid = e.agg(F.percentile("value", F.lit((((n + 1) // 2) - 1) / max(1, n - 1))).alias("v")).first()["v"] if n else None
+    # rows below the median value are only counted; those that tie with it are ranked
+    below = e.filter(F.col("value") < mid - 1e-9).count() if n else 0
+    tie = e.filter(F.abs(F.col("value") - mid) <= 1e-9).orderBy("value", "event_id").limit((n + 1) // 2 - below).orderBy(F.desc("value"), F.desc("event_id")).limit(1) if n else e.limit(0)
+    pick = lambda df, name: df.select(F.lit(name).alias("which"), "event_id")
+    return pick(e.orderBy("value", "event_id").limit(1), "worst").unionByName(pick(tie, "median")).unionByName(pick(e.orderBy(F.desc("value"), F.desc("event_id")).limit(1), "best"))
+
+
+@query("WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(avg(value), 6) AS tail_mean, count(*) AS used FROM o WHERE k <= greatest(1, round_even(0.2e0 * n, 0)) GROUP BY 1")
+def tail_mean(spark, d):
+    return rank.tail_mean(table(spark, d, "events"), "event_type", ["ts", "event_id"], "value").select("event_type", F.round("tail_mean", 6).alias("tail_mean"), "used")
+
+
+_TOP = "rk AS (SELECT i, j, row_number() OVER (ORDER BY strength DESC, j, i) AS k FROM st)"
+
+
+@query(f"WITH {_FREQ}, {_TOP} SELECT i, j, k::INT AS k FROM rk WHERE k <= 5")
+def topk_cells(spark, d):
+    return rank.top_share(_strength(spark, d), 0.3).select("i", "j", "k")
+
+
+def _halves(spark, d):
+    a = alignment(spark, d).withColumn("even", F.substring(F.md5(F.col("row_id").cast("string")), 1, 1) < "8")
+    return a, _strength(spark, d, a.filter("even")), _strength(spark, d, a.filter("NOT even"))
+
+
+def _ranked(op: str) -> str:
+    half = _FREQ.replace("FROM documents)", f"FROM documents WHERE substr(md5(doc_id::VARCHAR), 1, 1) {op} '8')")
+    return f"(WITH {half} SELECT i, j, row_number() OVER (ORDER BY strength DESC, j, i) AS k FROM st)"
+
+
+_BOTH = f"x AS MATERIALIZED (SELECT * FROM {_ranked('<')}), y AS MATERIALIZED (SELECT * FROM {_ranked('>=')})"
+_SHARES = "(VALUES (0.05e0, 1), (0.1e0, 2), (0.15e0, 2), (0.2e0, 3), (0.3e0, 5), (0.5e0, 8)) c(cutoff, k)"
+
+
+@query(f"WITH {_BOTH} SELECT 5 AS k, count(*) AS common, count(*) / 5.0e0 AS share FROM x JOIN y USING (i, j) WHERE x.k <= 5 AND y.k <= 5")
+def topk_overlap(spark, d):
+    _, x, y = _halves(spark, d)
+    return rank.overlap(rank.top_share(x, 0.3), rank.top_share(y, 0.3))
+
+
+@query(f"WITH {_BOTH} SELECT cutoff, c.k, count(x.i) AS common, count(x.i) / any_value(c.k)::DOUBLE AS share FROM {_SHARES} LEFT JOIN (SELECT x.i, greatest(x.k, y.k) AS least FROM x JOIN y USING (i, j)) x ON x.least <= c.k GROUP BY ALL")
+def topfrac_sweep(spark, d):
+    _, x, y = _halves(spark, d)
+    out = None
+    for share in (0.05, 0.1, 0.15, 0.2, 0.3, 0.5):
+        one = rank.overlap(rank.top_share(x, share), rank.top_share(y, share)).withColumn("cutoff", F.lit(share))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {_BOTH} SELECT i, j, CASE WHEN x.k <= 5 AND y.k <= 5 THEN 1 WHEN x.k <= 5 THEN 2 WHEN y.k <= 5 THEN 3 ELSE 0 END AS category FROM x JOIN y USING (i, j)")
+def hit_miss(spark, d):
+    _, x, y = _halves(spark, d)
+    return rank.hit_miss(rank.top_share(x, 0.3), rank.top_share(y, 0.3), x)
+
+
+@query("WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS a, row_number() OVER (PARTITION BY source ORDER BY md5('7:b:' || doc_id), doc_id) AS b FROM documents) SELECT x.source AS species, x.doc_id AS hk, y.doc_id AS rr FROM r x JOIN r y ON x.source = y.source AND x.a = y.b")
+def scramble_pairs(spark, d):
+    return groups.scramble_pairs(alignment(spark, d), 7)
+
+
+@query()
+def assign_groups(spark, d):
+    a = alignment(spark, d)
+    return assign.assign_groups(stats.pair_scores(a, stats.pmi(stats.long_form(a), WIDTH, LEFT), LEFT), ["species"], 1)
+
+
+@query("""WITH s AS (SELECT c.c_nationkey AS species, o.o_orderkey AS r, o.o_totalprice AS p, row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey) AS k, count(*) OVER (PARTITION BY o.o_custkey) AS n, o.o_custkey AS c FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey),
+p AS (SELECT x.c, x.p * 1.0e0 AS a, y.p AS b FROM s x JOIN s y ON x.c = y.c AND x.k = 1 AND y.k = 2 WHERE x.n = 2)
+SELECT c AS species, round(greatest(-2 * 0.0e0, -2 * abs(a - b)), 6) + 0.0e0 AS best FROM p""")
+def assign_k2(spark, d):
+    """Two rows of a group, scored by price distance: the diagonal wins."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("species"), F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("p"))
+    o = o.join(table(spark, d, "customer").select(F.col("c_custkey").alias("species")), "species")
+    two = o.join(groups.species_groups(o, 2, 2).select("species"), "species", "left_semi")
+    s = two.select("species", F.col("row_id").alias("hk"), F.col("p").alias("a")).join(two.select("species", F.col("row_id").alias("rr"), F.col("p").alias("b")), "species")
+    out = assign.assign_groups(s.select("species", "hk", "rr", (-F.abs(F.col("a") - F.col("b"))).alias("score")), ["species"])
+    return out.groupBy("species").agg((F.round(F.sum("score"), 6) + 0.0).alias("best"))
+
+
+@query(f"WITH {_ALN}, s AS (SELECT DISTINCT seq FROM aln) SELECT x.seq AS a, y.seq AS b, ({_HAM})::INT AS d FROM s x, s y WHERE x.seq < y.seq AND {_HAM} <= 2")
+def near_dup_pairs(spark, d):
+    return stats.similar_pairs(alignment(spark, d), WIDTH, 2).select("a", "b", F.col("d").cast("int").alias("d"))
+
+
+@query(f"""WITH RECURSIVE {_ALN}, s AS (SELECT seq, min(row_id) AS v FROM aln GROUP BY 1), e AS (SELECT x.v AS a, y.v AS b FROM s x, s y WHERE {_HAM} <= 1),
+c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT row_id, m AS component FROM aln JOIN s USING (seq) JOIN (SELECT a, min(b) AS m FROM c GROUP BY 1) ON a = s.v""")
+def components(spark, d):
+    return cluster.similar_components(alignment(spark, d), WIDTH, 1)
+
+
+@query("SELECT doc_id AS row_id, CASE WHEN ('0x' || substr(md5('3:' || doc_id), 1, 8))::UBIGINT / 4294967296.0e0 < 0.8 THEN 'train' ELSE 'val' END AS split FROM documents")
+def random_split(spark, d):
+    return groups.random_split(alignment(spark, d), 3, 0.8)
+
+
+@query("""WITH g AS (SELECT source AS species, count(*) AS n FROM documents GROUP BY 1), o AS (SELECT *, sum(n) OVER w AS upto, (SELECT count(*) // 2 FROM documents) AS t FROM g WINDOW w AS (ORDER BY md5('5:' || species), species)),
+k AS (SELECT *, min((abs(upto - t) < abs(upto - n - t))::INT) OVER (ORDER BY md5('5:' || species), species) AS taken FROM o) SELECT species, n, CASE taken WHEN 1 THEN 'train' ELSE 'test' END AS split FROM k""")
+def species_target_split(spark, d):
+    a = alignment(spark, d)
+    return groups.species_split(a, 5, a.count() // 2)
+
+
+@query()
+def grouped_split(spark, d):
+    a = alignment(spark, d)
+    n = a.count()
+    return cluster.grouped_split(a, cluster.similar_components(a, WIDTH, 1), n * 7 // 10, n // 5)
+
+
+@query()
+def bootstrap_cdf(spark, d):
+    a = alignment(spark, d)
+    return cluster.weighted_draws(stats.sequence_weights(a, WIDTH, 1), 1000, 9)
+
+
+_DIST = "SELECT x.vec_id, min(list_distance(x.embedding, y.embedding)) AS distance FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings) x, (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings) y WHERE x.vec_id <> y.vec_id GROUP BY 1"
+
+
+@query(f"SELECT vec_id, round(distance, 4) AS distance FROM ({_DIST})")
+def nn_distance(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return geometry.nearest(e, e).select("vec_id", F.round("distance", 4).alias("distance"))
+
+
+@query("""WITH e AS (SELECT vec_id, label < 5 AS r, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT median(d) AS m FROM (SELECT min(list_distance(a.x, b.x)) AS d FROM e a, e b WHERE a.r AND b.r AND a.vec_id <> b.vec_id GROUP BY a.vec_id)),
+g AS (SELECT min(list_distance(a.x, b.x)) AS d FROM e a, e b WHERE a.r AND NOT b.r GROUP BY a.vec_id) SELECT round(m, 4) AS spacing, round(avg((d <= 3 * m)::INT), 6) AS covered FROM g, s GROUP BY m""")
+def coverage(spark, d):
+    e = table(spark, d, "embeddings")
+    return geometry.coverage(e.filter("label < 5"), e.filter("label >= 5")).select(F.round("spacing", 4).alias("spacing"), F.round("covered", 6).alias("covered"))
+
+
+@query()
+def pca(spark, d):
+    return geometry.principal_components(table(spark, d, "embeddings"), 4)
+
+
+_LINE = "'iter=' || event_id || ' mean_diff=' || (event_id % 97) || '.5f-2 h=Float32[' || (event_id % 7) || ', ' || (event_id % 5) || '] drift=(w = ' || (event_id % 3) || ', v = 1e-3)'"
+
+
+@query("SELECT event_id, ((event_id % 97) + 0.5e0) / 100 AS mean_diff, (event_id % 7)::DOUBLE AS h1, (event_id % 5)::DOUBLE AS h2, (event_id % 3)::DOUBLE AS w, NULL::DOUBLE AS absent FROM events")
+def log_mining(spark, d):
+    t = table(spark, d, "events").select("event_id", F.expr(_LINE).alias("line"))
+    x = F.col("line")
+    return t.select("event_id", F.round(S.kv_scalar(x, "mean_diff"), 6).alias("mean_diff"), S.kv_array(x, "h")[0].alias("h1"), S.kv_array(x, "h")[1].alias("h2"), S.kv_map(x, "drift")["w"].alias("w"), S.kv_scalar(x, "absent").alias("absent"))
+
+
+@query()
+def rbm_scores(spark, d):
+    """Free energies under a machine trained on all rows for a few rounds."""
+    a = alignment(spark, d).select("row_id", S.codes(F.col("seq")).alias("codes"))
+    m = rbm.train(a, rbm.RBM.start(WIDTH, S.STATES, 4), 3)
+    return rbm.score(a, m)
+
+
+@query()
+def pairing_rounds(spark, d):
+    """Three rounds of pairing that learn from their own most confident predictions."""
+    a = alignment(spark, d)
+    return pairing.iterate(a, WIDTH, LEFT, a.count() // 4, 3, seed=2)[1]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Which right half belongs to which left half: learnt on half of the rows, for all."""
+    a = alignment(spark, sf_dir)
+    train = groups.random_split(a, 1, 0.5).filter("split = 'train'").select("row_id")
+    return pairing.predict(a, a.join(train, "row_id", "left_semi").select("row_id", "seq"), WIDTH, LEFT, 1)
+
+
+query()(flagship)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
