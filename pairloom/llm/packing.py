@@ -10,6 +10,7 @@ What is still open when a partition ends is packed once more across partitions.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,19 +31,20 @@ class Memo:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a
     row. A word of letters and then punctuation is two units, the letters in lower case. Units of
-    letters are encoded many at a time: each ends with the only token that closes a word. At
-    most `limit` units, and as many words, are remembered.
+    letters are encoded many at a time: each ends with the only token that closes a word. At most
+    2 * `limit` units, in two generations, and `limit` words are remembered.
     """
 
     TAIL = ",.;:!?"
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.closes = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
+        self.older: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {"": b""}
         self.units: dict[str, bytes] = {"": b""}
 
@@ -86,7 +88,10 @@ class Memo:
                     tail = w[len(core) :]
                     core = core.lower() if core.isascii() else core
                     if core not in units:
-                        letters.add(core)
+                        if core in self.older:
+                            units[core] = self.older[core]
+                        else:
+                            letters.add(core)
                 else:
                     core, tail = w, ""
                     if w not in units:
@@ -101,10 +106,16 @@ class Memo:
         if len(known) > self.limit:
             self.known = {"": b""}
         if len(units) > self.limit:
-            self.units = {"": b""}
+            self.older, self.units = units, {"": b""}
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_memo(path: str) -> Memo:
+    """One for all tasks of a Python worker: the tokenizer is loaded once, and units stay known."""
+    return Memo(path)
+
+
 class Bins:
     """Open bins of `size` places. put() returns the pieces of a bin that it had to close, or of one that is full."""
 
@@ -185,7 +196,7 @@ def pack(docs: DataFrame, size: int = 2048, open_bins: int = 512, tokenizer: str
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, bins = Memo(path), Bins(size, open_bins)
+        memo, bins = worker_memo(path), Bins(size, open_bins)
         out = _Rows(TaskContext.get().partitionId() << 36)
         for b in batches:
             for a in range(0, b.num_rows, 500):
