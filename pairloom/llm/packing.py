@@ -9,16 +9,18 @@ What is still open when a partition ends is packed once more across partitions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm import kernels as K
 from pairloom.llm.common import arrow_batches, materialize
 
 _SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
@@ -27,25 +29,29 @@ _SECOND_ROUND = 1 << 62
 
 
 class Memo:
-    """Token ids of words, as little-endian uint32 bytes.
+    """Token ids of texts, as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a
-    row. A word of letters and then punctuation is two units, the letters in lower case. Units of
-    letters are encoded many at a time: each ends with the only token that closes a word. At most
-    2 * `limit` units, in two generations, and `limit` words are remembered.
+    row. A word of letters and then marks is two units, Latin letters in lower case. Arrow finds the
+    distinct words and units of a batch and lays out the ids; only units not known yet are encoded, those
+    of letters many at a time: each ends with the only token that closes a word. At most 2 * `limit` units,
+    in two generations, are remembered.
     """
 
-    TAIL = ",.;:!?"
+    TAIL = ",.;:!?*$#%&|<>"
+    LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+    #: Letters that lower case and normal form leave letters (so not U+0130); words of others are one unit.
+    LETTERS = LATIN + "\u0100-\u012f\u0131-\u0148\u014a-\u017e\u0391-\u03a1\u03a3-\u03c9\u0400-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.letters = re.compile(f"[{self.LETTERS}]+")
         self.closes = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
         self.older: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {"": b""}
         self.units: dict[str, bytes] = {"": b""}
 
     def _letters(self, words: list[str]) -> None:
@@ -65,49 +71,59 @@ class Memo:
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.units[w] = np.array(e.ids, dtype="<u4").tobytes()
 
-    @staticmethod
-    def _lower(text: str) -> str:
-        """As the tokenizer will do, where both surely agree: fewer words to know."""
-        if "<|" in text:
-            return text
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-        return text.lower()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
-        known, units = self.known, self.units
-        new = set(chain.from_iterable(split)).difference(known)
-        if new:
-            plan, letters, other = [], set(), set()
-            for w in new:
-                core = w.rstrip(self.TAIL)
-                if core.isalpha():
-                    tail = w[len(core) :]
-                    core = core.lower() if core.isascii() else core
-                    if core not in units:
-                        if core in self.older:
-                            units[core] = self.older[core]
-                        else:
-                            letters.add(core)
+    def _ids(self, units: pa.Array) -> pa.Array:
+        d = units.dictionary_encode()
+        names, letters, other = d.dictionary.to_pylist(), [], []
+        for u in names:
+            if u not in self.units:
+                if u in self.older:
+                    self.units[u] = self.older[u]
                 else:
-                    core, tail = w, ""
-                    if w not in units:
-                        other.add(w)
-                if tail not in units:
-                    other.add(tail)
-                plan.append((w, core, tail))
-            self._letters(list(letters))
-            self._each(list(other))
-            known.update((w, units[core] + units[tail]) for w, core, tail in plan)
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        if len(known) > self.limit:
-            self.known = {"": b""}
-        if len(units) > self.limit:
-            self.older, self.units = units, {"": b""}
-        return out
+                    (letters if self.letters.fullmatch(u) else other).append(u)
+        self._letters(letters)
+        self._each(other)
+        return pa.array([self.units[u] for u in names], pa.large_binary()).take(d.indices)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Null counts as empty."""
+        data, off = K.column_bytes(texts)
+        words, at = _split(data, off)
+        d = words.dictionary_encode()
+        core = pc.utf8_rtrim(d.dictionary, self.TAIL)
+        plain, latin = (pc.match_substring_regex(core, f"^[{chars}]+$") for chars in (self.LETTERS, self.LATIN))
+        unit = pc.if_else(plain, pc.if_else(latin, pc.utf8_lower(core), core), d.dictionary)
+        tail = pc.if_else(plain, _after(d.dictionary, core), "")
+        ids = pc.binary_join_element_wise(self._ids(unit), self._ids(tail), pa.scalar(b"", pa.large_binary())).take(d.indices)
+        raw, cut = K.column_bytes(ids)
+        cut = cut[at].tolist()
+        if len(self.units) > self.limit:
+            self.older, self.units = self.units, {"": b""}
+        return [raw[x:y].tobytes() for x, y in zip(cut, cut[1:])]
+
+
+def _strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    off = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _split(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Stretches between spaces and line feeds, and n + 1 offsets of each row's; other white space is left to the tokenizer."""
+    solid = (data != 32) & (data != 10)
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    heads = off[:-1][off[:-1] < len(data)]
+    first[heads] = solid[heads]
+    starts = np.flatnonzero(first)
+    filled = np.append(0, np.cumsum(solid))
+    return _strings(data[solid], np.diff(np.append(filled[starts], filled[-1]))), np.searchsorted(starts, off)
+
+
+def _after(whole: pa.Array, head: pa.Array) -> pa.Array:
+    """What follows head in whole, of which it is a prefix."""
+    data, off = K.column_bytes(whole)
+    sizes, skip = np.diff(off), np.diff(K.column_bytes(head)[1])
+    place = np.arange(len(data)) - np.repeat(off[:-1], sizes)
+    return _strings(data[place >= np.repeat(skip, sizes)], sizes - skip)
 
 
 @lru_cache(maxsize=1)
@@ -202,7 +218,7 @@ def pack(docs: DataFrame, size: int = 2048, open_bins: int = 512, tokenizer: str
             for a in range(0, b.num_rows, 500):
                 part = b.slice(a, 500)
                 pieces = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), memo.encode([t or "" for t in part.column("text").to_pylist()])):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), memo.encode(part.column("text"))):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * size)):
                         one = ids[at : at + 4 * size]

@@ -140,6 +140,21 @@ def test_packing(spark, odd):
         assert len(by_seq) <= 1.05 * sum(r.length for r in got) / 2048 + 1
 
 
+def test_ids_of_odd_words():
+    """Units are encoded apart only where that changes nothing, whatever was remembered before."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tok, memo, rng = Tokenizer.from_file(path), packing.Memo(path, limit=200), np.random.default_rng(3)
+    texts = [None, "", " \n", "\u0130stanbul\u0130! STRASSE \u1e9e", "<|endoftext|> A<|startoftext|>b <|EndOfText|>", "\u00b5m \u00baC", "\u00e9 \u0301 e\u0301.", "a\tb\rc\x0bd", "don't I'LL 12,5%", "\u65e5\u672c\u3002 \u65e5\u672c!! \ud55c\uad6d.", "x" * 3000]
+    letters = list("aAbZ\u00e9\u00c9\u00df\u0130.,!*<|> \n\t'12\u017f\u65e5\u0301")
+    texts += ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(600)]
+    for a in range(0, len(texts), 100):
+        want = [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts[a : a + 100]]
+        assert memo.encode(pa.array(texts[a : a + 100], pa.string())) == want
+
+
 def test_bins_close_the_fullest():
     b = packing.Bins(10, 2)
     assert not b.put(6, "a") and not b.put(8, "b")
