@@ -30,6 +30,8 @@ _GROUP, _CONTENT, _POINT = K.U(0xA24BAED4963EE407), K.U(0x9FB21C651E98DF25), K.U
 #: Sets above this size skip empty groups: they have so many groups that one with tokens agrees too.
 _EMPTY_BELOW = 150
 LEAF = 32
+#: Points of a bucket that a task holds; a larger bucket is dealt to several, and each member that asks goes to all of them.
+BLOCK = 8192
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,38 +145,59 @@ class RTree:
         return self.order[rows[(den + num) * bound >= num * (n + self.sizes[rows])]]
 
 
-def _search(batches, num: int, den: int):
-    """Buckets (key, rid, comp, n, vec), sorted by key, to pairs (a, b) across components that may link."""
-
-    def bucket(t: pa.Table):
-        rid, comp, n = (t.column(c).to_numpy() for c in ("rid", "comp", "n"))
-        raw = t.column("vec").to_pylist()
-        d = min(len(x) for x in raw) // 2
-        points = np.vstack([fold(np.frombuffer(x, "<u2").astype(np.int32)[None, :], d) for x in raw])
-        tree = RTree(points, n)
-        names, where, count = np.unique(comp, return_inverse=True, return_counts=True)
-        most = int(count.argmax())  # pairs inside the largest component need no search, so only the others ask
+class _Block:
+    """Stored points of a bucket's block, and the trees over them: one for each number of groups asked with."""
+
+    def __init__(self, t: pa.Table):
+        self.rid, self.comp, self.n, self.ask = (t.column(c).to_numpy() for c in ("rid", "comp", "n", "ask"))
+        self.raw = [np.frombuffer(x, "<u2") for x in t.column("vec").to_pylist()]
+        self.least = min(len(x) for x in self.raw)
+        self.trees: dict[int, RTree] = {}
+
+    def links(self, t: pa.Table, num: int, den: int) -> pa.RecordBatch:
+        """Pairs (a, b) of the asking rows of t and stored points of other components that may link."""
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in np.flatnonzero(where != most):
-            j = tree.near(points[i], int(n[i]), num, den)
-            j = j[(comp[j] != comp[i]) & ((where[j] == most) | (rid[j] > rid[i]))]
-            a.append(np.minimum(rid[j], rid[i]))
-            b.append(np.maximum(rid[j], rid[i]))
+        for rid, comp, n, vec in zip(*(t.column(c).to_pylist() for c in ("rid", "comp", "n", "vec"))):
+            p = np.frombuffer(vec, "<u2").astype(np.int32)[None, :]
+            d = min(self.least, p.shape[1])
+            if d not in self.trees:
+                self.trees[d] = RTree(np.vstack([fold(x.astype(np.int32)[None, :], d) for x in self.raw]), self.n)
+            j = self.trees[d].near(fold(p, d)[0], n, num, den)
+            j = j[(self.comp[j] != comp) & (~self.ask[j] | (self.rid[j] > rid))]  # of two that ask, the smaller one does
+            a.append(np.minimum(self.rid[j], rid))
+            b.append(np.maximum(self.rid[j], rid))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    held, last = [], None
+
+def _search(batches, num: int, den: int):
+    """Blocks of buckets (key, block, stored, ask, rid, comp, n, vec), stored rows first, to pairs (a, b) that may link.
+
+    A task holds the stored rows of one block, of which there are BLOCK or so; the rows that only ask go by in batches.
+    """
+    held, block, last = [], None, None
+
+    def asked(t: pa.Table) -> pa.RecordBatch:
+        return block.links(t.filter(t.column("ask")), num, den)
+
     for batch in batches:
-        key = batch.column("key").to_numpy()
-        cuts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
+        key, part, stored = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "stored"))
+        cuts = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(part) != 0) | (stored[1:] != stored[:-1]))) if len(key) else []
         for lo, hi in zip(cuts, np.append(cuts[1:], len(key))):
-            if hi > lo:
-                if held and key[lo] != last:
-                    yield bucket(pa.Table.from_batches(held))
-                    held = []
+            if (key[lo], part[lo]) != last or not stored[lo]:
+                if held:
+                    t = pa.Table.from_batches(held)
+                    block, held = _Block(t), []
+                    yield asked(t)
+                if (key[lo], part[lo]) != last:
+                    block, last = None, (key[lo], part[lo])
+            if stored[lo]:
                 held.append(batch.slice(lo, hi - lo))
-                last = key[lo]
+            elif block is not None:  # a block may have no stored rows
+                yield asked(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
     if held:
-        yield bucket(pa.Table.from_batches(held))
+        t = pa.Table.from_batches(held)
+        block = _Block(t)
+        yield asked(t)
 
 
 def _by_row(batches, k: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
@@ -253,9 +276,17 @@ def near_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     named = materialize(named, "named")
     members = [F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("rid"), 8)).alias("s1"), F.sum(F.shiftright(F.xxhash64("rid", F.lit(1)), 8)).alias("s2")]
     split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *members).filter("lo <> hi")
-    split = split.groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key")  # one of the buckets with the same members
-    points = named.join(split, "key").join(sets.select("rid", "n", "vec"), "rid").select("key", "rid", "comp", "n", "vec")
-    pairs = points.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _search(it, num, den), "a long, b long").distinct()
+    split = split.groupBy("c", "s1", "s2").agg(F.min("key").alias("key"))  # one of the buckets with the same members
+    split = split.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    named = materialize(named.join(split, "key"), "split")
+    # pairs inside a bucket's largest component need no search, so only the other members ask
+    most = named.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("most"))
+    points = named.join(most, "key").join(sets.select("rid", "n", "vec"), "rid").withColumn("ask", F.col("comp") != F.col("most"))
+    own = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
+    asks = F.when(F.col("ask"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    points = points.withColumn("own", own).withColumn("block", F.explode(asks)).withColumn("stored", F.col("block") == F.col("own"))
+    points = points.select("key", "block", "stored", "ask", "rid", "comp", "n", "vec").repartition("key", "block").sortWithinPartitions("key", "block", F.desc("stored"))
+    pairs = points.mapInArrow(lambda it: _search(it, num, den), "a long, b long").distinct()
     more = verify(pairs.join(star, ["a", "b"], "left_anti"))
     comp = materialize(components(links.unionByName(more)), "components") if more.limit(1).count() else comp
     groups = same.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))

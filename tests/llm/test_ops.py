@@ -270,3 +270,31 @@ def test_pipeline(spark):
     assert one.columns == d.columns
     out = corpus_pipeline.run(spark, SF)
     assert out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048 and hashlib
+
+
+def test_search_of_a_bucket_dealt_to_several_blocks():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 62, 70, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(70)[: rng.integers(58, 71)]], rng.integers(1, 1 << 62, rng.integers(0, 8), dtype=np.uint64)])) for _ in range(60)]
+    comp = [0 if i < 25 else i for i in range(60)]
+    cols = {c: [] for c in ("key", "block", "stored", "ask", "rid", "comp", "n", "vec")}
+    for block in range(4):  # the last one stores nothing
+        members = [i for i in range(60) if i % 3 == block] + [i for i in range(25, 60) if i % 3 != block]
+        for i in members:
+            for c, v in zip(cols, (5, block, i % 3 == block, i >= 25, i, comp[i], len(sets[i]), jaccard_join.point(sets[i]).tobytes())):
+                cols[c].append(v)
+    t = pa.table({**cols, "vec": pa.array(cols["vec"], pa.binary())})
+    for size in (7, 1000):
+        found = [p for b in jaccard_join._search(iter(t.to_batches(max_chunksize=size)), 80, 100) for p in zip(*(c.to_pylist() for c in b.columns))]
+        true = {(i, j) for i in range(60) for j in range(i + 1, 60) if comp[i] != comp[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+        assert true and true <= set(found) and len(found) == len(set(found))
+
+
+def test_joins_with_tiny_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    d, plain = small(spark)
+    for k, num in ((3, 90), (5, 80)):
+        got = jaccard_join.group_near_duplicates(d, k, num, 100).select("doc_id", "n_shingles", "component_id")
+        assert rows(got) == brute.near_groups(plain, k, num, 100)
