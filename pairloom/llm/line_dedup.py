@@ -1,9 +1,9 @@
-"""Line dedup by content-defined chunks of lines (operator 10). DataFrame functions only.
+"""Line dedup by overlapping windows of lines (operator 10). DataFrame functions only.
 
-Lines are hashed; a rolling hash over each line and the one before it decides whether a chunk ends
-there, so boundaries move with the content. Chunks of several lines that occur again anywhere in the
-corpus are removed, all but the first, once their bytes have been compared. Only hashes are shuffled
-until a hash repeats; then the bytes of those chunks are.
+Lines are hashed. Every two neighbouring lines that hold a word, with the blank lines between them, are a
+window, so a repeated passage is a chain of repeated windows wherever it begins and ends. Windows that
+occur again anywhere in the corpus are removed, all but the first, once their bytes have been compared.
+Only hashes are shuffled until a hash repeats; then the bytes of those windows are.
 """
 
 from __future__ import annotations
@@ -18,19 +18,27 @@ def _lines(df: DataFrame) -> DataFrame:
     return df.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
 
 
-def _chunks(df: DataFrame, period: int) -> DataFrame:
-    """Adds chunks: array of start << 32 | number of lines.
+def _windows(df: DataFrame) -> DataFrame:
+    """(rid, k, window): key k of each window, start << 32 | number of lines.
 
-    Arrays enter lambdas as arguments only: the optimizer would compute a captured one for each element.
+    A window runs from a line with a word to the next one. If blank lines stand before or after, there is
+    one with all of those too, so that they go with the passage. Equal windows have equal keys; blank
+    lines do not enter them. Arrays enter lambdas as arguments only: the optimizer would compute a
+    captured one for each element.
     """
-    but_last = lambda c: F.slice(c, F.lit(1), F.size(c) - 1)
-    df = df.withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
-    before = F.concat(F.array(F.lit(None).cast("long")), but_last("h"))
-    df = df.withColumn("roll", F.zip_with("h", before, lambda x, y: F.pmod(F.xxhash64(y, x), F.lit(period)) == 0))
-    cuts = F.concat(but_last("roll"), F.array(F.lit(True)))
-    df = df.withColumn("ends", F.filter(F.transform(cuts, lambda c, i: F.when(c, i).otherwise(-1)), lambda i: i >= 0))
-    starts = F.concat(F.array(F.lit(0)), F.transform(but_last("ends"), lambda e: e + 1))
-    return df.withColumn("chunks", F.zip_with(starts, "ends", lambda a, e: F.shiftleft(a.cast("long"), 32) + (e - a + 1)))
+    spoken = lambda x: (x >= "!") | (F.ltrim(x, F.lit(" \t\x0b\x0c\r")) != "")
+    line = lambda x, i: F.when(spoken(x), F.struct(i.alias("i"), F.xxhash64(x).alias("h")))
+    edge = lambda i: F.array(F.struct(i.alias("i"), F.lit(0).cast("long").alias("h")))
+    df = df.withColumn("at", F.concat(edge(F.lit(-1)), F.filter(F.transform("lines", line), lambda z: z.isNotNull()), edge(F.size("lines"))))
+    from_ = lambda k: F.slice("at", F.lit(k), F.greatest(F.size("at") - 3, F.lit(0))).alias(f"p{k}")
+
+    def near(z: Column) -> Column:
+        i = [None, *(z[f"p{k}"]["i"] for k in (1, 2, 3, 4))]
+        span = lambda a, b: F.struct(F.xxhash64(z["p2"]["h"], z["p3"]["h"], b - a).alias("k"), (F.shiftleft(a.cast("long"), 32) + (b - a + 1)).alias("window"))
+        return F.array(span(i[2], i[3]), F.when(i[4] - i[3] > 1, span(i[2], i[4] - 1)), F.when(i[2] - i[1] > 1, span(i[1] + 1, i[3])))
+
+    found = df.select("rid", F.explode(F.flatten(F.transform(F.arrays_zip(*map(from_, (1, 2, 3, 4))), near))).alias("w"))
+    return found.filter("w IS NOT NULL").select("rid", "w.k", "w.window")
 
 
 def _start(c: Column) -> Column:
@@ -44,38 +52,34 @@ def _count(c: Column) -> Column:
 def dedup_lines(docs: DataFrame, period: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, text (kept lines; null stays null), n_lines, n_removed, and the columns `keep`.
 
-    A chunk counts if two of its lines hold a word. The first of equal chunks, by doc_id (null first)
-    and place, stays. Repeated or null ids are separate documents in order of their text. Empty
-    docs give no rows; columns of docs beyond doc_id, text and `keep` are ignored.
+    A line goes if it lies in a run of lines, two of them with a word, that stands earlier too, by doc_id
+    (null first) and place; the two may overlap. Of blank lines at a run's edge, all or none go. Repeated or null ids are
+    separate documents in order of their text. Empty docs give no rows; columns of docs beyond doc_id,
+    text and `keep` are ignored. `period` was the mean length of the chunks that windows replace; it
+    has no effect.
     """
     docs = keyed(docs.select("doc_id", "text", *keep), list(keep))
-    parts = _chunks(_lines(docs.select("rid", "text")), period)
-    spoken = F.transform("lines", lambda x: F.when(F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "", 1).otherwise(0))
-    rows = parts.withColumn("spoken", spoken).select("rid", "h", "spoken", F.explode("chunks").alias("chunk"))
-    part = lambda c: F.slice(c, _start(F.col("chunk")) + 1, _count(F.col("chunk")))
-    rows = rows.filter(_count(F.col("chunk")) > 1).filter(F.aggregate(part("spoken"), F.lit(0), lambda a, x: a + x) > 1)
-    hashes = materialize(rows.select(F.xxhash64(part("h")).alias("k"), "rid", "chunk"), "chunks")
+    hashes = materialize(_windows(_lines(docs.select("rid", "text"))), "windows")
     again = hashes.groupBy("k").count().filter("count > 1").select("k")
-    per_doc = hashes.join(again, "k").groupBy("rid").agg(F.collect_list(F.struct("chunk", "k")).alias("found"))
-    body = lambda x: F.array_join(F.slice("lines", _start(x["chunk"]) + 1, _count(x["chunk"])), "\n")
-    texts = _lines(docs.select("rid", "text").join(per_doc, "rid"))
+    per_doc = hashes.join(again, "k").groupBy("rid").agg(F.collect_list(F.struct("window", "k")).alias("found"))
+    body = lambda x: F.array_join(F.slice("lines", _start(x["window"]) + 1, _count(x["window"])), "\n")
+    texts = _lines(docs.select("rid", "text").join(per_doc.hint("merge"), "rid"))
     # `lines` is used twice, so that it is computed before the lambda and not in it
-    texts = texts.select("rid", F.size("lines").alias("of"), F.transform("found", lambda x: F.struct(x["chunk"].alias("chunk"), x["k"].alias("k"), body(x).alias("body"))).alias("found"))
+    texts = texts.select("rid", F.size("lines").alias("of"), F.transform("found", lambda x: F.struct(x["window"].alias("window"), x["k"].alias("k"), body(x).alias("body"))).alias("found"))
     bodies = materialize(texts.select("rid", "of", F.inline("found")), "bodies")
-    firsts = bodies.groupBy("k", "body").agg(F.min(F.struct("rid", "chunk")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("k", "body", "f")
-    gone = bodies.join(firsts, ["k", "body"]).filter("rid <> f.rid OR chunk <> f.chunk").groupBy("rid").agg(F.collect_list("chunk").alias("gone"))
-    gone = materialize(gone, "gone")
+    firsts = bodies.groupBy("k", "body").agg(F.min(F.struct("rid", "window")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("k", "body", "f")
+    gone = bodies.join(firsts, ["k", "body"]).filter("rid <> f.rid OR window <> f.window").groupBy("rid").agg(F.collect_list("window").alias("gone"))
+    gone = materialize(gone.select("rid", F.array_distinct(F.flatten(F.transform("gone", lambda w: F.sequence(_start(w), _start(w) + _count(w) - 1)))).alias("gone")), "gone")
     release(hashes)
     release(bodies)
-    out = _chunks(_lines(docs.join(gone, "rid", "left")), period)
-    stay = F.array_except("chunks", "gone")
-    kept = F.flatten(F.transform(stay, lambda c: F.slice("lines", _start(c) + 1, _count(c))))
-    lost = F.aggregate("gone", F.lit(0), lambda a, c: a + _count(c))
+    out = _lines(docs.join(gone.hint("merge"), "rid", "left"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.transform(stay, lambda i: F.get("lines", i))
     return out.select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
-        F.coalesce(lost, F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         *keep,
     )
 

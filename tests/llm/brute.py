@@ -48,6 +48,23 @@ def suffix_dedup(docs, length=400):
     return sorted(out)
 
 
+def line_dedup(docs, longest=10):
+    """Flags of removed lines: windows of 2 to `longest` lines, two of them spoken, that occur earlier."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(docs):
+        lines = text.split("\n")
+        gone = [False] * len(lines)
+        for i in range(len(lines)):
+            for j in range(i + 2, min(i + longest, len(lines)) + 1):
+                w = tuple(lines[i:j])
+                if sum(1 for x in w if x.strip()) > 1:
+                    if w in seen:
+                        gone[i:j] = [True] * (j - i)
+                    seen.add(w)
+        out[doc_id] = gone
+    return out
+
+
 def shingles(text: str | None, k: int) -> frozenset:
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = words(low)

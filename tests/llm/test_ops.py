@@ -257,6 +257,27 @@ def test_lines(spark, odd):
     assert line_dedup.dedup_lines(odd[0]).count() == odd[0].count()
 
 
+def test_lines_against_all_windows_with_the_period_of_production(spark):
+    rng = np.random.default_rng(7)
+    shared = [[f"passage {p} line {i}" for i in range(n)] for p, n in enumerate((2, 3, 4, 6, 8, 12))] + [["head", "", "tail", ""], ["x"] * 3]
+    plain = []
+    for i in range(60):
+        lines = [f"own {i} {j}" for j in range(rng.integers(1, 6))]
+        for p in rng.permutation(len(shared))[: rng.integers(0, 4)]:
+            a, b = sorted(rng.integers(0, len(shared[p]) + 1, 2)) if i % 3 else (0, len(shared[p]))
+            lines += shared[p][a:b] + [f"between {i} {p}"] * int(rng.integers(0, 2))
+        plain.append((i, "\n".join(lines)))
+    want = brute.line_dedup(plain)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, [(*p, "a") for p in plain])).collect()}
+    for i, text in plain:
+        kept = [x for x, g in zip(text.split("\n"), want[i]) if not g]
+        assert (got[i].text, got[i].n_removed) == ("\n".join(kept), sum(want[i]))
+    real, plain = small(spark)
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(real).collect()}
+    want = brute.line_dedup([(i, t or "") for i, t in plain])
+    assert got == {i: sum(w) for i, w in want.items()}
+
+
 def test_pipeline(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").collect()}
