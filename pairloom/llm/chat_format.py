@@ -1,8 +1,9 @@
 """Chat formatting with a grammar round trip (operator 4). DataFrame functions only.
 
-A turn is <|im_start|>, its role, a newline, its text, <|im_end|> and a newline. The parser splits at end
-marks, reads the role up to the first newline, and undoes escapes. Each conversation is rendered
-plainly first and parsed back; turns that do not come back identical are escaped and parsed again.
+A turn is <|im_start|>, its role, a newline, its text, <|im_end|> and a newline, and holds no other mark. The
+parser splits at ended turns, checks the marks, reads the role up to the first newline, and undoes
+escapes. Each turn is rendered plainly first and parsed back; turns that break the grammar or do not
+come back identical are escaped and parsed again.
 
 Escapes. In texts a bar after < and any backslashes gets one more backslash (<| becomes <\\|), so that
 no mark can occur. In roles %, < and newline become %25, %3C and %0A.
@@ -41,24 +42,25 @@ def render_turn(role: Column, text: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """array of (role, text, start, length): turns read back, and where each text lies, from 0, as rendered."""
+    """array of (role, text, r, t, ok): turns read back, lengths of role and text as rendered, whether the marks are right."""
     parts = F.split(formatted, r"<\|im_end\|>\n", -1)
     return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), _read)
 
 
 def _read(part: Column) -> Column:
     body = F.substr(part, F.lit(len(START) + 1))
+    ok = F.startswith(part, F.lit(START)) & ~F.contains(body, F.lit(START)) & ~F.contains(body, F.lit(END)) & F.contains(body, F.lit("\n"))
     role = F.substring_index(body, "\n", 1)
     text = F.substr(body, F.length(role) + 2)
-    return F.struct(unescape_role(role).alias("role"), unescape_text(text).alias("text"), F.length(role).alias("r"), F.length(text).alias("t"))
+    return F.struct(unescape_role(role).alias("role"), unescape_text(text).alias("text"), F.length(role).alias("r"), F.length(text).alias("t"), ok.alias("ok"))
 
 
 def round_trip(role: Column, text: Column) -> Column:
-    """Whether one turn, rendered plainly, is read back as it was."""
+    """Whether one turn, rendered plainly, keeps to the grammar and is read back as it was."""
     whole = render_turn(role, text)
     parts = F.split(whole, r"<\|im_end\|>\n", -1)
     back = _read(F.element_at(parts, 1))
-    return (F.size(parts) == 2) & (back["role"] == role) & (back["text"] == text)
+    return (F.size(parts) == 2) & back["ok"] & (back["role"] == role) & (back["text"] == text)
 
 
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -77,6 +79,7 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     out = grouped.select("conv_id", "turns", F.array_join(F.transform("turns", lambda t: t["said"]), "").alias("formatted"))
     out = out.withColumn("read", parse(F.col("formatted")))
     same = F.transform("read", lambda x: F.struct(x["role"], x["text"])) == F.transform("turns", lambda x: F.struct(x["role"], x["text"]))
+    same = same & F.forall("read", lambda x: x["ok"])
     whole = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation is not read back as it was")))
     mark = len(START)
     ends = F.aggregate("read", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["r"] + x["t"] + len(START) + len(END) + 2)))
