@@ -362,7 +362,7 @@ def species_target_split(spark, d):
 def grouped_split(spark, d):
     a = alignment(spark, d)
     n = a.count()
-    return cluster.grouped_split(a, cluster.similar_components(a, WIDTH, 1), n * 7 // 10, n // 5)
+    return cluster.grouped_split(a, cluster.leakage_components(a, WIDTH, 1), n * 7 // 10, n // 5)
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions import symbols as S
 from pairloom.operators.stats import similar_pairs
 from pairloom.plans.pairing import _cut
 
@@ -32,19 +33,29 @@ def similar_components(rows: DataFrame, width: int, most: int) -> DataFrame:
     return rows.join(first, "seq").join(comp, "v").select("row_id", "component")
 
 
+def leakage_components(rows: DataFrame, width: int, most: int) -> DataFrame:
+    """similar_components() joined further where they share a species; null and placeholder species join nothing."""
+    comp = _cut(similar_components(rows, width, most))
+    held = rows.filter(~S.is_placeholder(F.col("species"))).join(comp, "row_id").select("species", F.col("component").alias("a")).distinct()
+    edges = held.join(held.groupBy("species").agg(F.min("a").alias("b")), "species").filter("a <> b").select("a", "b")
+    joined = components(comp.select(F.col("component").alias("v")).distinct(), edges)
+    return comp.withColumnRenamed("component", "v").join(joined, "v").select("row_id", "component")
+
+
 def grouped_split(rows: DataFrame, comp: DataFrame, train: int, val: int) -> DataFrame:
     """(row_id, split) that keeps components whole: largest first, to the emptier of train and val in proportion.
 
-    The pass is sequential over components, so their sizes, not rows, come to the driver.
+    A side takes components, whatever their size, until it has reached its target; with both reached, the rest
+    is unused. The pass is sequential over components, so their sizes, not rows, come to the driver.
     """
     sizes = comp.groupBy("component").count().orderBy(F.desc("count"), "component")
-    left, where = {"train": train, "val": val}, []
+    target, have, where = {"train": train, "val": val}, {"train": 0, "val": 0}, []
     for r in sizes.toLocalIterator():
-        side = max(left, key=lambda s: left[s] / max(1, {"train": train, "val": val}[s]))
-        fits = r["count"] <= left[side]
-        where.append((r["component"], side if fits else "unused"))
-        if fits:
-            left[side] -= r["count"]
+        open_ = [s for s in target if have[s] < target[s]]
+        side = min(open_, key=lambda s: have[s] / target[s], default="unused")
+        where.append((r["component"], side))
+        if open_:
+            have[side] += r["count"]
     return comp.join(rows.sparkSession.createDataFrame(where, "component long, split string"), "component").select("row_id", "split")
 
 

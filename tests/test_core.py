@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom import catalog
 from pairloom.functions import symbols as S
 from pairloom.models.rbm import RBM, load, save
-from pairloom.operators import assign
+from pairloom.operators import assign, cluster
 from pairloom.sources import files
 from pairloom.streaming.logs import windowed_metric
 
@@ -70,6 +70,34 @@ def test_replicates_and_splits(spark, tmp_path):
     assert files.read_log(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_grouped_split_against_a_plain_version(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    names = ["HOT"] * 40 + ["WARM"] * 30 + ["9BACT", "UNKA", None] * 4 + [f"S{i % 9}" for i in range(18)]
+    seqs = ["".join(rng.choice(list("ACDEFGHIKLMN"), 8)) for _ in names]
+    for i in (70, 73, 85):
+        seqs[i] = seqs[0][:7] + "W"
+    rows = list(zip(range(len(names)), names, seqs))
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i, s, x in rows:
+            for j, t, y in rows:
+                if sum(a != b for a, b in zip(x, y)) <= 1 or (s == t and s not in ("9BACT", "UNKA", None)):
+                    label[i] = label[j] = min(label[i], label[j])
+    target = {"train": len(rows) * 7 // 10, "val": len(rows) // 5}
+    have, want = {"train": 0, "val": 0}, {}
+    for c in sorted(set(label), key=lambda c: (-label.count(c), c)):
+        train, val = (have[s] < target[s] for s in ("train", "val"))
+        if train and (not val or have["train"] / target["train"] <= have["val"] / target["val"]):
+            want[c] = "train"
+        else:
+            want[c] = "val" if val else "unused"
+        if want[c] in have:
+            have[want[c]] += label.count(c)
+    assert want[label[40]] == "val" and label.count(label[40]) > target["val"] and label[85] == 0
+    monkeypatch.setattr(catalog, "alignment", lambda s, d: spark.createDataFrame(rows, "row_id long, species string, seq string"))
+    assert {r.row_id: r.split for r in catalog.QUERIES["grouped_split"](spark, SF).collect()} == {i: want[c] for i, c in enumerate(label)}
+
+
 def test_free_energy_by_enumeration():
     m = RBM.start(3, 2, 2, 1)
     m.g[:] = np.random.default_rng(2).normal(size=m.g.shape)
