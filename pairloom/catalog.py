@@ -412,9 +412,9 @@ def rbm_scores(spark, d):
 
 @query()
 def pairing_rounds(spark, d):
-    """Three rounds of pairing that learn from their own most confident predictions."""
+    """Rounds of pairing that learn from their own most confident predictions, a quarter more each, until from all."""
     a = alignment(spark, d)
-    return pairing.iterate(a, WIDTH, LEFT, a.count() // 4, 3, seed=2)[1]
+    return pairing.iterate(a, WIDTH, LEFT, max(1, a.count() // 4), seed=2)[1]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

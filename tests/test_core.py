@@ -98,6 +98,14 @@ def test_grouped_split_against_a_plain_version(spark, monkeypatch):
     assert {r.row_id: r.split for r in catalog.QUERIES["grouped_split"](spark, SF).collect()} == {i: want[c] for i, c in enumerate(label)}
 
 
+def test_pairing_goes_on_until_all_predictions_are_learnt_from(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, f"S{i % 3}", "".join(rng.choice(list("ACDE"), 8))) for i in range(10)]
+    monkeypatch.setattr(catalog, "alignment", lambda s, d: spark.createDataFrame(rows, "row_id long, species string, seq string"))
+    got = sorted(tuple(r)[:2] for r in catalog.QUERIES["pairing_rounds"](spark, SF).collect())
+    assert got == [(1, 10), (2, 2), (3, 4), (4, 6), (5, 8), (6, 10)]
+
+
 def test_free_energy_by_enumeration():
     m = RBM.start(3, 2, 2, 1)
     m.g[:] = np.random.default_rng(2).normal(size=m.g.shape)
