@@ -54,14 +54,16 @@ def wav(codec: int, body: bytes, rate: int = RATE, block: int = 1, bits: int = 8
 
 
 def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
-    """Codec, rate, block size and the data chunk of a RIFF file; ValueError if it isn't one."""
+    """Codec, rate, block size and the data chunk of a RIFF file; ValueError if it isn't one, or not of one channel."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, codec, rate, block = 12, 0, 0, 0
     while at + 8 <= len(media):
         name, (size,) = media[at : at + 4], struct.unpack_from("<I", media, at + 4)
         if name == b"fmt ":
-            codec, _, rate, _, block = struct.unpack_from("<HHIIH", media, at + 8)
+            codec, channels, rate, _, block = struct.unpack_from("<HHIIH", media, at + 8)
+            if channels != 1:
+                raise ValueError(f"a WAV file of {channels} channels; only one is read")
         elif name == b"data":
             return codec, rate, block, media[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
@@ -69,11 +71,15 @@ def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
 
 
 def ima_decode(body: bytes, block: int) -> np.ndarray:
-    """PCM of whole IMA ADPCM blocks (one channel): numpy across blocks, a loop over a block's nibbles."""
-    raw = np.frombuffer(body[: len(body) // block * block], np.uint8).reshape(-1, block)
+    """PCM of IMA ADPCM blocks (one channel), the last one may be short: numpy across blocks, a loop over a block's nibbles."""
+    whole = len(body) // block * block
+    if len(body) - whole >= 4:
+        rest = body[whole:]
+        return np.concatenate((ima_decode(body[:whole], block), ima_decode(rest, len(rest))))
+    raw = np.frombuffer(body[:whole], np.uint8).reshape(-1, block)
     value = raw[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
     index = np.minimum(raw[:, 2].astype(np.int64), 88)
-    nibbles = np.stack((raw[:, 4:] & 15, raw[:, 4:] >> 4), axis=2).reshape(len(raw), -1)
+    nibbles = np.stack((raw[:, 4:] & 15, raw[:, 4:] >> 4), axis=2).reshape(len(raw), 2 * (block - 4))
     out = np.empty((len(raw), nibbles.shape[1] + 1), np.int16)
     out[:, 0] = value
     for k in range(nibbles.shape[1]):
@@ -153,7 +159,7 @@ def encode_text(docs: DataFrame, codec: int = ULAW, multiple: int = 192) -> Data
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = K.column_bytes(b.column("text"))
-            for x, y in K.chunks(off, 4 << 20):
+            for x, y in K.chunks(off, 1 << 20):
                 media = []
                 for i in range(x, y):
                     raw = data[off[i] : off[i + 1]].tobytes()
@@ -184,9 +190,10 @@ def read_media(media: DataFrame, tail: int = 16, rate: int | None = None) -> Dat
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.binary(), pa.int64(), pa.string(), pa.binary()]
         for b in batches:
-            for a in range(0, b.num_rows, 500):
-                part = b.slice(a, 500)
-                made = list(zip(*(one(x) for x in part.column("media").to_pylist())))
+            off = K.column_bytes(b.column("media"))[1]
+            for x, y in K.chunks(off, 1 << 18):  # resampled samples take several times the bytes
+                part = b.slice(x, y - x)
+                made = list(zip(*(one(m.as_py()) for m in part.column("media"))))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), *(pa.array(v, k) for v, k in zip(made, kinds))], names + [x.split()[0] for x in extra])
 
     return media.select(*names).mapInArrow(go, ", ".join(["doc_id long", "n_bytes long", "media binary", *extra]))

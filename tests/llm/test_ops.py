@@ -252,6 +252,29 @@ def test_codecs():
     assert np.abs(back.astype(int) - wave)[50:].mean() < 250
 
 
+def test_short_last_block_and_channels(spark):
+    wave = (8000 * np.sin(np.arange(3000) / 9)).astype(np.int16)
+    body = audio.ima_encode(wave)
+    full = audio.ima_decode(body, 256)
+    for cut in (100, 4, 256, 3):
+        n = len(body) - 256 + cut
+        want = full[: len(full) - 505 + (2 * (cut - 4) + 1 if cut >= 4 else 0)]
+        assert np.array_equal(audio.decode(audio.wav(audio.IMA, body[:n], 8000, 256, 4, 505))[1], want)
+    assert len(audio.ima_decode(body[:50], 256)) == 93
+    stereo = bytearray(audio.wav(audio.ULAW, b"abcd"))
+    stereo[22] = 2
+    with pytest.raises(ValueError, match="channels"):
+        audio.decode(bytes(stereo))
+
+
+def test_audio_query_stores_resampled_pcm(spark):
+    r = queries.op7_audio(spark, SF).orderBy("doc_id").first()
+    text = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").first().text.encode()
+    pay = text + b" " * (max(192, -(-len(text) // 192) * 192) - len(text))
+    pcm = audio.resample(audio.EXPAND[audio.ULAW][np.frombuffer(pay, np.uint8)], 16000, 8000)
+    assert r.pcm_sha256 == hashlib.sha256(audio.wav(audio.PCM, pcm.astype("<i2").tobytes(), 16000, 2, 16)).hexdigest() and r.pcm_bytes == 44 + 4 * len(pay)
+
+
 def test_quality_features_and_verdicts(spark, odd):
     for d, plain in (odd, small(spark)):
         got = {r.doc_id: r for r in quality.judge(d).collect()}
