@@ -1,11 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv factors (operator 5).
+"""Substring dedup by anchored window hashing (operator 5), in place of relative Lempel-Ziv factors.
 
-Reference blocks: all windows of the corpus that share an anchor (their least gram hash), in order of
-(document, start). The index of a block knows its runs and, where it holds several variants, its
-single windows. A document's factors are the maximal stretches that some block holds at an earlier
-place; whole runs are matched first, and at factor boundaries (a contested run, whose block holds
-variants that differ somewhere) window by window. A factor of `length` words or more is a duplicate
-span. Every block of the whole corpus is consulted, so the result is that of brute force.
+There is no reference text, no index over one and no greedy parsing. All windows of `length` words of the corpus
+that share an anchor (their least gram hash) meet in one group, as runs of neighbouring windows. Equal
+runs are found by a group-by on (anchor, run hash); where a group holds several variants, its windows
+are compared one by one by (anchor, window hash). A window that starts earlier too, in order of
+(document, start), is a duplicate span; a greedy factor of `length` words or more is a chain of such
+windows. All windows are compared, so the result is that of brute force, as long as no two hashes of 64 bits collide.
 """
 
 from __future__ import annotations
