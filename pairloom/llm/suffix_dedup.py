@@ -1,11 +1,11 @@
-"""Suffix-array dedup of byte strings (operator 9).
-
-A sparse suffix array: suffixes are taken at content-defined anchors (kernels.Runs), which equal strings
-share. Runs of equal content are resolved by their hash. The rest, one run of each variant with the
-bytes around it, is range-partitioned by the leading token (the anchor; sampled splitters), and each
-bucket sorts its suffixes locally by a multikey sort (anchor, then the leading 8 bytes, then the hash of
-the whole string); neighbours that agree throughout are repeats. Buckets are read in pieces; a
-piece ends between anchors, and what lies across the end of a batch is carried into the next one.
+"""Dedup of byte strings by anchored window hashing and bucket sorts (operator 9), in place of a suffix array.
+
+Suffixes are never put in lexicographic order. Strings are taken at content-defined anchors (kernels.Runs), which
+equal strings share. Runs of equal content are resolved by a group-by on their hash. The rest, one
+run of each variant with the bytes around it, is range-partitioned by the anchor's hash (sampled
+splitters), so equal anchors never straddle buckets; each bucket sorts its strings by (anchor, leading 8
+bytes, hash of the whole string), and neighbours that agree throughout are repeats. Buckets are read in
+pieces; a piece ends between anchors, and what lies across the end of a batch is carried into the next.
 Anchors with very many variants would make one task long: their windows go through a hash
 aggregation over (anchor, string) instead, which splits at will.
 """
