@@ -95,6 +95,40 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return segment_hash(_WORD_BYTE[data], starts)
 
 
+def row_words(data: np.ndarray, off: np.ndarray, fold: np.ndarray | None = None, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and n + 1 offsets of each row's; fold: what each byte counts as.
+
+    A long text is cut at white space into pieces, so that what is needed beside the hashes stays small.
+    """
+    hashes, counts = [], np.zeros(len(off) - 1, np.int64)
+    for i, a, b in pieces(data, off, piece):
+        part = data[a:b] if fold is None else fold[data[a:b]]
+        o = off[i[0] : i[1] + 1] - a if i[1] - i[0] > 1 or b - a == off[i[1]] - off[i[0]] else np.array([0, b - a])
+        starts, _, at = words(part, o)
+        hashes.append(word_hashes(part, starts))
+        counts[i[0] : i[1]] += np.diff(at)
+    return np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.append(0, np.cumsum(counts))
+
+
+def pieces(data: np.ndarray, off: np.ndarray, limit: int) -> Iterator[tuple[tuple[int, int], int, int]]:
+    """(rows, first byte, last byte): ranges of whole rows, or parts of a longer row cut behind white space."""
+    for x, y in chunks(off, limit):
+        a, end = int(off[x]), int(off[y])
+        while end - a > limit and y - x == 1:
+            b, reach = a + limit, limit
+            while True:  # a word may be longer than a piece
+                gaps = np.flatnonzero(_IS_SPACE[data[max(a, b - reach) : b]])
+                if len(gaps) or b == end:
+                    break
+                b, reach = min(end, b + limit), limit
+            if not len(gaps) or b == end:
+                break
+            b = max(a, b - reach) + int(gaps[-1]) + 1
+            yield (x, y), a, b
+            a = b
+        yield (x, y), a, end
+
+
 def byte_hashes(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
