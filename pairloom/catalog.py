@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import symbols as S
 from pairloom.models import rbm
-from pairloom.operators import assign, cluster, geometry, groups, rank, stats
+from pairloom.operators import assign, cluster, dense, geometry, groups, rank, sampling, stats
 from pairloom.plans import pairing
 
 WIDTH, LEFT, LETTERS = 8, 4, "eantiors"
@@ -319,20 +319,22 @@ def scramble_pairs(spark, d):
 @query()
 def assign_groups(spark, d):
     a = alignment(spark, d)
-    return assign.assign_groups(stats.pair_scores(a, stats.pmi(stats.long_form(a), WIDTH, LEFT), LEFT), ["species"], 1)
+    t = dense.pmi_table(a.select("seq", F.lit(1.0).alias("w")), WIDTH, LEFT)
+    return dense.match_groups(a, lambda c: dense.score_matrix(c, t, LEFT), 1)
 
 
-@query("""WITH s AS (SELECT c.c_nationkey AS species, o.o_orderkey AS r, o.o_totalprice AS p, row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey) AS k, count(*) OVER (PARTITION BY o.o_custkey) AS n, o.o_custkey AS c FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey),
-p AS (SELECT x.c, x.p * 1.0e0 AS a, y.p AS b FROM s x JOIN s y ON x.c = y.c AND x.k = 1 AND y.k = 2 WHERE x.n = 2)
-SELECT c AS species, round(greatest(-2 * 0.0e0, -2 * abs(a - b)), 6) + 0.0e0 AS best FROM p""")
+@query(f"""WITH {_FREQ}, h AS (SELECT row_id // 2 AS g, row_id % 2 AS p, substr(seq, 1, {LEFT}) AS l, substr(seq, {LEFT + 1}) AS r FROM aln), hh AS (SELECT * FROM h WHERE g IN (SELECT g FROM h GROUP BY 1 HAVING count(*) = 2)),
+c AS (SELECT l, r, i::INT AS i, j::INT AS j, strpos('{S.GAP_FIRST}', substr(l, i::INT, 1)) AS a, strpos('{S.GAP_FIRST}', substr(r, j::INT - {LEFT}, 1)) AS b FROM (SELECT DISTINCT x.l, y.r FROM hh x JOIN hh y USING (g)) d, range(1, {LEFT + 1}) t(i), range({LEFT + 1}, {WIDTH + 1}) u(j)),
+sc AS (SELECT l, r, sum(coalesce(pmi, 0)) AS score FROM c LEFT JOIN pm USING (i, j, a, b) GROUP BY 1, 2), m AS (SELECT x.g, x.p = y.p AS straight, sum(score) AS total FROM hh x JOIN hh y USING (g) JOIN sc ON sc.l = x.l AND sc.r = y.r GROUP BY ALL)
+SELECT g AS species, round(max(total), 4) + 0.0e0 AS best, round(max(total) - min(total), 4) + 0.0e0 AS gap, CASE WHEN max(total) - min(total) < 1e-6 THEN 'tie' WHEN arg_max(straight, total) THEN 'straight' ELSE 'crossed' END AS kind FROM m GROUP BY 1""")
 def assign_k2(spark, d):
-    """Two rows of a group, scored by price distance: the diagonal wins."""
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("species"), F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("p"))
-    o = o.join(table(spark, d, "customer").select(F.col("c_custkey").alias("species")), "species")
-    two = o.join(groups.species_groups(o, 2, 2).select("species"), "species", "left_semi")
-    s = two.select("species", F.col("row_id").alias("hk"), F.col("p").alias("a")).join(two.select("species", F.col("row_id").alias("rr"), F.col("p").alias("b")), "species")
-    out = assign.assign_groups(s.select("species", "hk", "rr", (-F.abs(F.col("a") - F.col("b"))).alias("score")), ["species"])
-    return out.groupBy("species").agg((F.round(F.sum("score"), 6) + 0.0).alias("best"))
+    """Two rows of a group: either diagonal may win."""
+    a = alignment(spark, d).withColumn("species", F.floor(F.col("row_id") / 2))
+    two = a.join(groups.species_groups(a, 2, 2).select("species"), "species", "left_semi")
+    t = stats.pmi(stats.long_form(a), WIDTH, LEFT)
+    out = assign.assign_groups(stats.pair_scores(two, t, LEFT), ["species"])
+    kind = F.when(F.max("gap") < 1e-6, "tie").when(F.bool_and(F.col("hk") == F.col("rr")), "straight").otherwise("crossed")
+    return out.groupBy("species").agg((F.round(F.sum("score"), 4) + 0.0).alias("best"), (F.round(F.max("gap"), 4) + 0.0).alias("gap"), kind.alias("kind"))
 
 
 @query(f"WITH {_ALN}, s AS (SELECT DISTINCT seq FROM aln) SELECT x.seq AS a, y.seq AS b, ({_HAM})::INT AS d FROM s x, s y WHERE x.seq < y.seq AND {_HAM} <= 2")
@@ -365,10 +367,12 @@ def grouped_split(spark, d):
     return cluster.grouped_split(a, cluster.leakage_components(a, WIDTH, 1), n * 7 // 10, n // 5)
 
 
-@query()
+@query(f"""WITH {_ALN}, s AS (SELECT seq, count(*) AS c FROM aln GROUP BY 1), w AS (SELECT x.seq, 1.0e0 / sum(y.c) AS w FROM s x, s y WHERE {_HAM} <= 1 GROUP BY 1),
+c AS (SELECT row_id, sum(w) OVER (ORDER BY row_id) AS hi, sum(w) OVER (ORDER BY row_id) - w AS lo FROM aln JOIN w USING (seq)), t AS (SELECT max(hi) AS t FROM c),
+d AS (SELECT i AS draw, ('0x' || substr(md5('9:' || i), 1, 8))::UBIGINT / 4294967296.0e0 * t AS u FROM range(1000) r(i), t) SELECT draw, row_id FROM d JOIN c ON lo <= u AND u < hi""")
 def bootstrap_cdf(spark, d):
     a = alignment(spark, d)
-    return cluster.weighted_draws(stats.sequence_weights(a, WIDTH, 1), 1000, 9)
+    return sampling.weighted_draws(stats.sequence_weights(a, WIDTH, 1), 1000, 9)
 
 
 _DIST = "SELECT x.vec_id, min(list_distance(x.embedding, y.embedding)) AS distance FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings) x, (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings) y WHERE x.vec_id <> y.vec_id GROUP BY 1"
@@ -427,6 +431,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 query()(flagship)
 
 
+from pairloom import catalog_more  # noqa: E402, F401  (registers its queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

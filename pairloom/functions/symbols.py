@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,3 +73,27 @@ def kv_map(line: Column, key: str) -> Column:
     """key=(x = 1, y = 2) as map<string, double>."""
     body = F.regexp_extract(line, rf"(?:^|\s){key}=\(([^)]*)\)", 1)
     return F.transform_values(F.str_to_map(F.regexp_replace(body, r"\s", ""), F.lit(","), F.lit("=")), lambda _, v: F.regexp_replace(v, "f", "e").try_cast("double"))
+
+
+def config_text(config: dict) -> str:
+    """key=value in order of the keys, joined by _; keys that are None are left out."""
+    return "_".join(f"{k}={config[k]}" for k in sorted(config) if config[k] is not None)
+
+
+def config_tag(config: dict) -> str:
+    """A short stable name of a configuration."""
+    return hashlib.md5(config_text(config).encode()).hexdigest()[:16]
+
+
+def config_tag_of(cols: dict[str, Column]) -> Column:
+    """config_tag() of each row's values; null ones are left out."""
+    parts = [F.when(c.isNotNull(), F.concat(F.lit(f"{k}="), c.cast("string"))) for k, c in sorted(cols.items())]
+    return F.substring(F.md5(F.concat_ws("_", *parts)), 1, 16)
+
+
+def single_model_path(path: Column, tag: str) -> Column:
+    """rbm_<tag>_... beside rbm_paired_..._PAIRED_ITERS=<n>.<ext>, without what only the paired model depends on; null if the name is another."""
+    dir_, base = F.regexp_extract(path, r"^(.*/)?[^/]*$", 1), F.element_at(F.split(path, "/"), -1)
+    middle = F.nullif(F.regexp_extract(base, r"^rbm_paired_(.*)_PAIRED_ITERS=\d+\.\w+$", 1), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(middle, r"_H_ADD=\d+", ""), r"_NITERSB=\d+", "")
+    return F.concat(dir_, F.lit(f"rbm_{tag}_"), bare, F.lit("."), F.element_at(F.split(base, r"\."), -1))

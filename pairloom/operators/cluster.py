@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import symbols as S
 from pairloom.operators.stats import similar_pairs
-from pairloom.plans.pairing import _cut
+from pairloom.storage import materialize
+
+
+def _table(df: DataFrame) -> DataFrame:
+    return materialize(df, "cluster")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, component) for nodes(v): least node reachable over edges(a, b), by label minima until none changes."""
-    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(nodes.select("v", F.col("v").alias("component")))
+    both = _table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = _table(nodes.select("v", F.col("v").alias("component")))
     while True:
         least = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("component").alias("least"))
         new = labels.join(least, labels.v == least.a, "left").select("v", F.least("component", F.coalesce("least", "component")).alias("component"))
         jump = new.select(F.col("v").alias("component"), F.col("component").alias("far"))
-        new = _cut(new.join(jump, "component").select("v", F.col("far").alias("component")))
+        new = _table(new.join(jump, "component").select("v", F.col("far").alias("component")))
         if not new.join(labels.withColumnRenamed("component", "old"), "v").filter("component <> old").limit(1).count():
             return new
         labels = new
@@ -35,37 +39,63 @@ def similar_components(rows: DataFrame, width: int, most: int) -> DataFrame:
 
 def leakage_components(rows: DataFrame, width: int, most: int) -> DataFrame:
     """similar_components() joined further where they share a species; null and placeholder species join nothing."""
-    comp = _cut(similar_components(rows, width, most))
+    comp = _table(similar_components(rows, width, most))
     held = rows.filter(~S.is_placeholder(F.col("species"))).join(comp, "row_id").select("species", F.col("component").alias("a")).distinct()
     edges = held.join(held.groupBy("species").agg(F.min("a").alias("b")), "species").filter("a <> b").select("a", "b")
     joined = components(comp.select(F.col("component").alias("v")).distinct(), edges)
     return comp.withColumnRenamed("component", "v").join(joined, "v").select("row_id", "component")
 
 
+def _slot(a, t: int, v: int, ht, hv, nb, size):
+    """Place of train's slot a (from 0) when slots of both sides are merged by how full the side is, train first."""
+    before = ((ht + a * size) * v - hv * t + size * t - 1) // (size * t)
+    return a + min(max(before, 0), nb)
+
+
 def grouped_split(rows: DataFrame, comp: DataFrame, train: int, val: int) -> DataFrame:
     """(row_id, split) that keeps components whole: largest first, to the emptier of train and val in proportion.
 
     A side takes components, whatever their size, until it has reached its target; with both reached, the rest
-    is unused. The pass is sequential over components, so their sizes, not rows, come to the driver.
+    is unused. Components of one size fill slots of the two sides in turn, so the driver only sees how
+    many there are of each size (the root of twice the rows at most), and where each side then stands.
     """
-    sizes = comp.groupBy("component").count().orderBy(F.desc("count"), "component")
-    target, have, where = {"train": train, "val": val}, {"train": 0, "val": 0}, []
-    for r in sizes.toLocalIterator():
-        open_ = [s for s in target if have[s] < target[s]]
-        side = min(open_, key=lambda s: have[s] / target[s], default="unused")
-        where.append((r["component"], side))
-        if open_:
-            have[side] += r["count"]
-    return comp.join(rows.sparkSession.createDataFrame(where, "component long, split string"), "component").select("row_id", "split")
-
-
-def weighted_draws(weights: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(draw, row_id): inverse-CDF sampling with replacement by w; draws find their row by bucketed range join."""
-    from pyspark.sql import Window
-
-    cdf = weights.withColumn("hi", F.sum("w").over(Window.orderBy("row_id"))).withColumn("lo", F.col("hi") - F.col("w"))
-    total = cdf.agg(F.max("hi").alias("all"))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    d = weights.sparkSession.range(draws).crossJoin(F.broadcast(total)).select(F.col("id").alias("draw"), (u * F.col("all")).alias("u"))
-    b = cdf.select("row_id", "lo", "hi", F.explode(F.sequence(F.floor("lo"), F.floor("hi"))).alias("b"))
-    return d.withColumn("b", F.floor("u")).join(b, "b").filter("lo <= u AND u < hi").select("draw", "row_id")
+    sizes = comp.groupBy("component").count()
+    plan, ht, hv = [], 0, 0
+    for size, many in sizes.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():
+        na, nb = max(0, -(-(train - ht) // size)), max(0, -(-(val - hv) // size))
+        m, lo, hi = min(many, na + nb), 0, na
+        while lo < hi:  # train's slots among the first m
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if _slot(mid, train, val, ht, hv, nb, size) < m else (lo, mid)
+        plan.append((size, ht, hv, na, nb))
+        ht, hv = ht + lo * size, hv + (m - lo) * size
+    plan = rows.sparkSession.createDataFrame(plan, "count long, ht long, hv long, na long, nb long")
+    slots = _place(sizes).join(F.broadcast(plan), "count")
+    side = F.when(F.col("k") >= F.col("na") + F.col("nb"), "unused").when(_is_train(train, val), "train").otherwise("val")
+    return comp.join(slots.select("component", side.alias("split")), "component").select("row_id", "split")
+
+
+def _is_train(t: int, v: int):
+    """Whether place k is one of train's slots: the inverse of _slot is tried around its straight line and at both ends."""
+    line = F.floor((F.col("k") + (F.col("hv") * t - F.col("ht") * v) / (F.col("count") * t)) / (1 + v / t)) if t else F.lit(0)
+    tries = [line + d for d in (-2, -1, 0, 1, 2)] + [F.col("k"), F.col("k") - F.col("nb")]
+
+    def hit(a):
+        before = F.ceil(((F.col("ht") + a * F.col("count")) * v - F.col("hv") * t) / (F.col("count") * max(1, t)))
+        return (a >= 0) & (a < F.col("na")) & (a + F.least(F.greatest(before, F.lit(0)), F.col("nb")) == F.col("k"))
+
+    out = F.lit(False)
+    for a in tries:
+        out = out | hit(a)
+    return out
+
+
+def _place(sizes: DataFrame) -> DataFrame:
+    """Adds k, the rank (from 0) of each component among those of its size; ranges of names are counted first."""
+    low, high = sizes.agg(F.min("component"), F.max("component")).first()
+    step = max(1, -(-((high or 0) - (low or 0) + 1) // 4096))
+    t = sizes.withColumn("_r", F.floor((F.col("component") - (low or 0)) / step))
+    per = t.groupBy("count", "_r").agg(F.count("*").alias("_n"))
+    before = per.select("count", "_r", (F.sum("_n").over(Window.partitionBy("count").orderBy("_r")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("count", "_r").orderBy("component"))
+    return t.withColumn("_k", rank).join(before, ["count", "_r"]).select("component", "count", (F.col("_before") + F.col("_k") - 1).alias("k"))

@@ -78,3 +78,32 @@ def project(df: DataFrame, basis: DataFrame) -> DataFrame:
     b = F.broadcast(basis)  # k rows
     dot = F.aggregate(F.zip_with(F.zip_with("embedding", "mean", lambda x, m: x - m), "loadings", lambda x, v: x * v), F.lit(0.0), lambda s, x: s + x)
     return df.crossJoin(b).select("vec_id", "component", dot.alias("value"))
+
+
+def best_identity(query: DataFrame, reference: DataFrame, order: str) -> DataFrame:
+    """(row_id, identity): the share of sites at which rows (row_id, seq) agree with the most similar reference row.
+
+    Equal sequences are compared once. Agreements of one-hot vectors are half of what their squared distance lacks.
+    """
+    symbols = F.array(*[F.lit(c) for c in order])
+    hot = lambda df: df.select("seq").distinct().select(F.xxhash64("seq").alias("vec_id"), "seq", F.flatten(F.transform(F.split("seq", ""), lambda s: F.transform(symbols, lambda a: (a == s).cast("float")))).alias("embedding"))
+    q = hot(query)
+    near = nearest(q.select("vec_id", "embedding"), hot(reference).select("vec_id", "embedding"), exclude_self=False)
+    found = q.select("vec_id", "seq").join(near, "vec_id").select("seq", (1 - F.round(F.col("distance") * F.col("distance") / 2) / F.length("seq")).alias("identity"))
+    return query.select("row_id", "seq").join(found, "seq").select("row_id", "identity")
+
+
+def novelty(query: DataFrame, reference: DataFrame, order: str, least: float = 0.95) -> DataFrame:
+    """(near_copies, mean_identity): the share of rows almost equal to a reference row, and the mean best identity."""
+    best = best_identity(query, reference, order)
+    return best.agg(F.avg((F.col("identity") >= least).cast("double")).alias("near_copies"), F.avg("identity").alias("mean_identity"))
+
+
+def spread(values: DataFrame) -> DataFrame:
+    """(component, real_std, made_std, ratio, real_low, real_high, made_low, made_high) of values(component, value, made)."""
+    side = lambda m: F.when(F.col("made") == m, F.col("value"))
+    g = values.groupBy("component").agg(
+        F.stddev_samp(side(False)).alias("real_std"), F.stddev_samp(side(True)).alias("made_std"),
+        F.min(side(False)).alias("real_low"), F.max(side(False)).alias("real_high"), F.min(side(True)).alias("made_low"), F.max(side(True)).alias("made_high"),
+    )
+    return g.withColumn("ratio", F.try_divide("made_std", "real_std"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,28 @@ def species_split(rows: DataFrame, seed: int, target: int) -> DataFrame:
     closer = F.abs(F.col("upto") - target) < F.abs(F.col("upto") - F.col("n") - target)
     g = g.withColumn("taken", F.min(F.when(closer, 1).otherwise(0)).over(w))
     return g.select("species", "n", F.when(F.col("taken") == 1, "train").otherwise("test").alias("split"))
+
+
+def species_groups_counted(rows: DataFrame, placeholder: Column, least: int = 2) -> DataFrame:
+    """(why, rows): what becomes of each row: no species, placeholder, small group, or kept."""
+    n = rows.groupBy("species").agg(F.count("*").alias("n"))
+    why = F.when(F.col("species").isNull(), "no species").when(placeholder, "placeholder").when(F.col("n") < least, "small group").otherwise("kept")
+    return n.withColumn("why", why).groupBy("why").agg(F.sum("n").alias("rows"))
+
+
+def union_of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(row_id), each once, of the groups named in groups(species)."""
+    return rows.join(groups.select("species").distinct(), "species", "left_semi").select("row_id").distinct()
+
+
+def order_by_size(rows: DataFrame, seed: int) -> DataFrame:
+    """(species, n, k): the largest first, equal ones in seeded order."""
+    g = rows.groupBy("species").agg(F.count("*").alias("n"))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("species").cast("string")))
+    return g.withColumn("k", F.row_number().over(Window.orderBy(F.desc("n"), h, "species")))
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with `found`, whether right has its key: the row's id there is row_id of right, null for a miss."""
+    first = right.groupBy(key).agg(F.min("row_id").alias("found_row"))
+    return left.join(first, key, "left").withColumn("found", F.col("found_row").isNotNull())

@@ -47,3 +47,15 @@ def tail_mean(df: DataFrame, by: str, order: list[str], value: str, share: float
     whole = Window.partitionBy(by)
     ranked = df.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(whole))
     return ranked.filter(F.col("k") <= F.greatest(F.lit(1.0), F.rint(share * F.col("n")))).groupBy(by).agg(F.avg(value).alias("tail_mean"), F.count("*").alias("used"))
+
+
+def kth_largest(strength: DataFrame, k: int) -> DataFrame:
+    """(k, threshold): the k-th largest strength."""
+    top = strength.orderBy(F.desc("strength"), "j", "i").limit(k)
+    return top.agg(F.count("*").alias("k"), F.min("strength").alias("threshold"))
+
+
+def ends(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first and the last n rows in an order, with `end` (head or tail); rows of a short table are in both."""
+    back = [F.desc(c) if isinstance(c, str) else c for c in order]
+    return df.orderBy(*order).limit(n).withColumn("end", F.lit("head")).unionByName(df.orderBy(*back).limit(n).withColumn("end", F.lit("tail")))

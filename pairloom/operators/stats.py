@@ -120,3 +120,46 @@ def linear_alignment(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Per group: r, slope and intercept of y on x, and the mean and largest absolute difference."""
     d = F.abs(F.col(x) - F.col(y))
     return df.groupBy(*by).agg(safe_r(x, y).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.avg(d).alias("mean_diff"), F.max(d).alias("max_diff"))
+
+
+def site_pairs_corr(long: DataFrame, width: int) -> DataFrame:
+    """(i, j, a, b, c): connected correlations of all ordered pairs of sites, each with itself too, over all states."""
+    n = long.agg(F.count_distinct("row_id").cast("double").alias("n"))
+    one = long.groupBy("pos", "code").agg(F.count("*").alias("k"))
+    x, y = long.select("row_id", F.col("pos").alias("i"), F.col("code").alias("a")), long.select("row_id", F.col("pos").alias("j"), F.col("code").alias("b"))
+    two = x.join(y, "row_id").groupBy("i", "j", "a", "b").agg(F.count("*").alias("kab"))
+    seq = lambda hi: F.explode(F.sequence(F.lit(1), F.lit(hi)))
+    grid = long.sparkSession.range(1).select(seq(width).alias("i")).select("i", seq(width).alias("j")).select("i", "j", seq(STATES).alias("a")).select("i", "j", "a", seq(STATES).alias("b"))
+    g = grid.join(two, ["i", "j", "a", "b"], "left")
+    g = g.join(one.select(F.col("pos").alias("i"), F.col("code").alias("a"), F.col("k").alias("ka")), ["i", "a"], "left")
+    g = g.join(one.select(F.col("pos").alias("j"), F.col("code").alias("b"), F.col("k").alias("kb")), ["j", "b"], "left").crossJoin(F.broadcast(n))
+    share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("n")
+    return g.select("i", "j", "a", "b", (share("kab") - share("ka") * share("kb")).alias("c"))
+
+
+def zero_diagonal(matrix: DataFrame, value: str) -> DataFrame:
+    """(i, j, value) with 0 where i = j."""
+    return matrix.withColumn(value, F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.col(value)))
+
+
+def off_diagonal(matrix: DataFrame) -> DataFrame:
+    """Cells of different sites only."""
+    return matrix.filter("i <> j")
+
+
+def covariances(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(x, y, cov, r) of each pair of columns above the diagonal, in one pass."""
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
+    cell = lambda a, b: F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.covar_samp(a, b).alias("cov"), safe_r(a, b).alias("r"))
+    return df.agg(F.array(*[cell(a, b) for a, b in pairs]).alias("c")).select(F.inline("c"))
+
+
+def species_weight(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """(species, k, weight, per_row): effective rows of each species and their mean weight."""
+    g = rows.select("row_id", "species").join(weights, "row_id").groupBy("species").agg(F.count("*").alias("k"), F.sum("w").alias("weight"))
+    return g.withColumn("per_row", F.col("weight") / F.col("k"))
+
+
+def firing_rate(hidden: DataFrame, least: float = 0.0) -> DataFrame:
+    """(unit, rate): share of rows in which a unit is above `least`."""
+    return hidden.groupBy("unit").agg(F.avg((F.col("h") > least).cast("double")).alias("rate"))
