@@ -25,8 +25,8 @@ def published_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = d.count()
     rows = spark.range(ROWS).select(F.col("id").alias("row_id"), (F.col("id") % n).alias("doc_id")).join(d, "doc_id")
     species = F.when(F.col("row_id") < LARGEST, 0).otherwise(1 + F.col("row_id") % (SPECIES - 1))
-    text = F.rpad(F.substring(F.translate(F.lower("text"), " \n.,bjxzuo", ""), 1, WIDTH_A), WIDTH_A, "-")
-    left = F.regexp_replace(F.upper(text), f"[^{RESIDUES}]", "-")
+    text = F.rpad(F.substring(F.translate("text", " \n.,bjxzuo", ""), 1, WIDTH_A), WIDTH_A, "-")
+    left = F.regexp_replace(F.translate(text, RESIDUES.lower(), RESIDUES), f"[^{RESIDUES}]", "-")
     right = F.rpad(F.concat(F.translate(left, RESIDUES[:10], RESIDUES[10:]), F.reverse(left)), WIDTH_B, "-")
     return materialize(rows.select("row_id", species.cast("string").alias("species"), F.concat(left, F.substring(right, 1, WIDTH_B)).alias("seq")), "alignment")
 

@@ -168,7 +168,8 @@ sc AS (SELECT l, r, sum(coalesce(pmi, 0)) AS score FROM c LEFT JOIN pm USING (i,
 SELECT species, count(*) AS pairs, round(sum(score), 3) + 0.0e0 AS total, round(max(score), 6) + 0.0e0 AS best FROM h x JOIN h y USING (species) JOIN sc ON sc.l = x.l AND sc.r = y.r GROUP BY 1""")
 def pair_scores(spark, d):
     a = alignment(spark, d)
-    s = stats.pair_scores(a, stats.pmi(stats.long_form(a), WIDTH, LEFT), LEFT)
+    t = dense.pmi_table(a.select("seq", F.lit(1.0).alias("w")), WIDTH, LEFT)
+    s = dense.score_groups(a, lambda c: dense.score_matrix(c, t, LEFT))
     return s.groupBy("species").agg(F.count("*").alias("pairs"), (F.round(F.sum("score"), 3) + 0.0).alias("total"), (F.round(F.max("score"), 6) + 0.0).alias("best"))
 
 
