@@ -2,73 +2,22 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.storage import materialize, release, setting, shared_dir
+
+__all__ = ["SPACE", "WORD", "arrow_batches", "boxed", "keyed", "materialize", "release", "setting", "shared_dir", "table", "unboxed"]
+
 #: A word: a maximal run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Separator of words (the complement of WORD's class).
 SPACE = r"[\x20\x09-\x0D]+"
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pairloom-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-@contextlib.contextmanager
-def setting(spark: SparkSession, key: str, value: str):
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors.
-
-    The shuffle files of the write are dropped when it ends; the table is dropped with the JVM.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pairloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    with setting(spark, _CLEAN, "true"):
-        df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._pairloom_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Drops a table of materialize() that no later step reads."""
-    path = getattr(df, "_pairloom_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def arrow_batches(spark: SparkSession, mb: int = 2, rows: int = 2000) -> None:
     """Bounds Arrow batches by bytes as well as rows, so that Python workers hold little."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -78,12 +27,15 @@ def arrow_batches(spark: SparkSession, mb: int = 2, rows: int = 2000) -> None:
 def keyed(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """(rid, doc_id, text, *extra): rid is unique and ascends with doc_id (nulls first).
 
-    Where doc_id is unique and not null it serves as rid at no cost. Else rows are range-sorted and
-    numbered once: repeated and null ids then stand for separate documents, in order of their text.
-    docs that have a rid come back as they are; callers select doc_id and text of others' tables first.
+    doc_id must be an integer column. Where it is unique and not null it serves as rid at no cost. Else rows
+    are range-sorted and numbered once: repeated and null ids then stand for separate documents, in order
+    of their text. docs that have a rid come back as they are; callers select doc_id and text of others' tables first.
     """
     if "rid" in docs.columns:
         return docs
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError(f"doc_id must be an integer column, not {kind}; number the rows first")
     cols = ["doc_id", "text", *(extra or [])]
     slim = docs.select(*cols)
     clash = slim.select("doc_id").groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").limit(1).count()
@@ -94,13 +46,22 @@ def keyed(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return materialize(ordered.withColumn("rid", F.monotonically_increasing_id()), "keyed")
 
 
+def named(column: str) -> Column:
+    """A column of that very name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def boxed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, rest): all other columns in one struct, so that their names meet none of ours."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("rest"))
+    """(doc_id, text, rest): all other columns in one struct, by number, so that their names meet none of ours."""
+    others = [named(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("filler")).alias("rest"))
+
+
+def in_box(names: list[str], column: str) -> Column:
+    return F.col("rest").getField(f"c{names.index(column)}")
 
 
 def unboxed(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
     """The columns of docs again, in their order; `changed` replaces some that exist."""
     own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
-    return df.select(*[(changed.get(c) if c in changed else own.get(c, F.col("rest").getField(c))).alias(c) for c in names])
+    return df.select(*[(changed[c] if c in changed else own[c] if c in own else in_box(names, c)).alias(c) for c in names])
