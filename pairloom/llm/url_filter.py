@@ -1,10 +1,11 @@
 """URL filters: rules, and link-graph propagation for what no rule covers (operator 3). DataFrame functions only.
 
-Trust starts at hosts in proportion to their allowed pages and flows along links; distrust starts at
-hosts in proportion to their blocked pages and flows against links, to those that link there. Both are
-personalised PageRank over one table of weighted host edges, a row for each kind, iterated until it stands
-still. A host is blocked if its distrust exceeds its trust and a small part of what one blocked page
-seeds, so that neither bound moves with the size of the table.
+Trust starts at hosts with allowed pages and flows along links; distrust starts at hosts with blocked
+pages and flows against links, to those that link there. Both are personalised PageRank over one table of
+weighted host edges, a row for each kind. Scores are in pages: each judged page seeds 1, so a host's
+verdict depends on its own pages and on those it is linked with, not on the size of the table. What a
+host passes on is pushed round by round until no push is worth more than a small part of a page. A host
+is blocked if its distrust exceeds its trust and a small part of a page.
 """
 
 from __future__ import annotations
@@ -56,55 +57,58 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all_n")).alias("share"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, every: int, least: float) -> DataFrame:
-    """(kind, host, score) of personalised PageRank from seeds(kind, host, mass); mass sums to 1 by kind.
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float, least: float, every: int = 4) -> DataFrame:
+    """(kind, host, score) of personalised PageRank from seeds(kind, host, mass), which need not sum to 1.
 
-    Scores rise from the seeds' own share. After each `rounds` rounds it ends if the last one raised no
-    score by more than `least`. Mass at hosts without links ends there. Lineage is cut every few rounds.
+    Each round pushes what hosts got in the last one along their edges, until no host gets more than `least`;
+    scores are the sums of all pushes. Mass at hosts without links ends there. Lineage is cut every few rounds.
     """
-    start = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score"))
-    scores, cut = start, None
+    push = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score"))
+    done, held = push, []
     while True:
-        for k in range(rounds):
-            moved = scores.withColumnRenamed("host", "src").join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-            parts = moved.unionByName(start).withColumn("old", F.lit(0.0))
-            if k == rounds - 1:
-                parts = parts.unionByName(scores.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("old")))
-            scores = parts.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
-            if k % every == every - 1 or k == rounds - 1:
-                done, cut = cut, materialize(scores, "scores")
-                scores = cut.select("kind", "host", "score")
-                if done is not None:
-                    release(done)
-        if not cut.filter(F.col("score") - F.col("old") > least).limit(1).count():
-            return scores
-
-
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, rounds: int = 8, threshold: float = 1e-4, tolerance: float = 1e-5) -> DataFrame:
+        parts = []
+        for _ in range(every):
+            moved = push.withColumnRenamed("host", "src").join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+            push = moved.groupBy("kind", "host").agg(F.sum("score").alias("score"))
+            parts.append(push)
+        rounds = parts[0].withColumn("k", F.lit(0))
+        for k, p in enumerate(parts[1:], 1):
+            rounds = rounds.unionByName(p.withColumn("k", F.lit(k)))
+        rounds = materialize(rounds, "pushes")
+        push = rounds.filter(F.col("k") == every - 1).drop("k")
+        last, done = done, materialize(done.unionByName(rounds.drop("k")).groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
+        held.append(rounds)
+        release(last)
+        for x in held[:-1]:
+            release(x)
+        held = held[-1:]
+        if not push.filter(F.col("score") > least).limit(1).count():
+            release(rounds)
+            return done
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, threshold: float = 1e-4, tolerance: float = 1e-5) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and by whom: the rule or the link graph.
 
     Null urls and urls without :// have empty host and path, fit no rule and are allowed. A host with
-    neither seeds nor links is allowed. Null html has no links. Other columns are ignored. threshold and
-    tolerance are in units of what one page seeds; convergence is tested every `rounds` rounds.
+    neither seeds nor links is allowed, and so is one with equal trust and distrust. Null html has no
+    links. Repeated rows are pages of their own; an empty table gives no rows. Other columns are ignored.
+    threshold and tolerance are in pages.
     """
     t = with_host_and_path(pages.select("page_id", "url", "html"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     judged = materialize(t.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule")), "judged")
-    mass = materialize(judged.filter("by_rule IS NOT NULL AND host <> ''").groupBy("by_rule", "host").agg(F.count("*").alias("n")), "mass")
-    pages_of = {r["by_rule"]: r["all_n"] for r in mass.groupBy("by_rule").agg(F.sum("n").alias("all_n")).collect()}
-    kinds = F.create_map(F.lit("allow"), F.lit(pages_of.get("allow", 1)), F.lit("block"), F.lit(pages_of.get("block", 1)))
     kind = F.when(F.col("by_rule") == "allow", "trust").otherwise("distrust")
-    seeds = materialize(mass.select(kind.alias("kind"), "host", (F.col("n") / kinds[F.col("by_rule")]).alias("mass")), "seeds")
+    seeds = materialize(judged.filter("by_rule IS NOT NULL AND host <> ''").groupBy(kind.alias("kind"), "host").agg(F.count("*").cast("double").alias("mass")), "seeds")
     edges = materialize(host_edges(t), "edges")
-    if edges.limit(1).count():
-        scores = propagate(seeds, edges, damping, rounds, 4, tolerance / max(pages_of.values(), default=1))
-    else:
-        scores = seeds.select("kind", "host", F.col("mass").alias("score"))
+    scores = propagate(seeds, edges, damping, tolerance)
     per_host = scores.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
     )
-    bad = materialize(per_host.filter((F.col("distrust") > threshold / pages_of.get("block", 1)) & (F.col("distrust") > F.col("trust"))).select("host"), "bad")
+    bad = materialize(per_host.filter((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))).select("host"), "bad")
+    for x in (seeds, edges, scores):
+        release(x)
     # only pages that no rule covers need a lookup, and repeated hosts are looked up once
     open_hosts = judged.filter("rule IS NULL").select("host").distinct().join(bad, "host", "left_semi").select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
     out = judged.join(open_hosts, (F.col("host") == F.col("bad_host")) & F.col("rule").isNull(), "left")
