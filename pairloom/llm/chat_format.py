@@ -11,7 +11,7 @@ no mark can occur. In roles %, < and newline become %25, %3C and %0A.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -42,7 +42,7 @@ def render_turn(role: Column, text: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """array of (role, text, r, t, ok): turns read back, lengths of role and text as rendered, whether the marks are right."""
+    """array of (role, text, ok): turns read back, and whether the marks are right."""
     parts = F.split(formatted, r"<\|im_end\|>\n", -1)
     return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), _read)
 
@@ -52,7 +52,7 @@ def _read(part: Column) -> Column:
     ok = F.startswith(part, F.lit(START)) & ~F.contains(body, F.lit(START)) & ~F.contains(body, F.lit(END)) & F.contains(body, F.lit("\n"))
     role = F.substring_index(body, "\n", 1)
     text = F.substr(body, F.length(role) + 2)
-    return F.struct(unescape_role(role).alias("role"), unescape_text(text).alias("text"), F.length(role).alias("r"), F.length(text).alias("t"), ok.alias("ok"))
+    return F.struct(unescape_role(role).alias("role"), unescape_text(text).alias("text"), ok.alias("ok"))
 
 
 def round_trip(role: Column, text: Column) -> Column:
@@ -64,32 +64,32 @@ def round_trip(role: Column, text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: conv_id, formatted, turns (role, text: read back), loss_spans, escaped.
+    """One row per conversation: conv_id, formatted, turns (role, text: read back), loss_text, loss_spans, escaped.
 
     Rows are ordered by turn (null first), then role and text; repeated rows are turns of their own. Null
-    role or text: empty. Null conv_id: a conversation of its own. loss_spans: (start, length) in code
-    points, from 0, of the texts of `loss_role` as they stand in `formatted`. escaped: turns that
-    needed escapes. Other columns are ignored; an empty table gives no rows.
+    role or text: empty. Null conv_id: a conversation of its own. loss_text: the texts of `loss_role` as read
+    back, one after the other; loss_spans: (start, length) in code points, from 0, of these as they stand in
+    `formatted`. escaped: turns that needed escapes. A conversation is held by one task, in time and memory
+    proportional to its length. Other columns are ignored; an empty table gives no rows.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     plain = F.when(F.instr("text", "<") + F.instr("role", "<") + F.instr("role", "%") + F.instr("role", "\n") == 0, True).otherwise(round_trip(F.col("role"), F.col("text")))
     rows = rows.withColumn("plain", plain)
-    rows = rows.withColumn("said", F.when(F.col("plain"), render_turn(F.col("role"), F.col("text"))).otherwise(render_turn(escape_role(F.col("role")), escape_text(F.col("text")))))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "said", "plain"))).alias("turns"))
+    role, text = (F.when(F.col("plain"), F.col(c)).otherwise(f(F.col(c))) for c, f in (("role", escape_role), ("text", escape_text)))
+    rows = rows.withColumn("said", render_turn(role, text)).withColumn("t", F.length(text))
+    # where each turn begins: the same partitioning as the grouping, so no shuffle of its own
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("said").cast("long")).over(before), F.lit(0)))
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "at", "t", "said", "plain"))).alias("turns"))
     out = grouped.select("conv_id", "turns", F.array_join(F.transform("turns", lambda t: t["said"]), "").alias("formatted"))
     out = out.withColumn("read", parse(F.col("formatted")))
     same = F.transform("read", lambda x: F.struct(x["role"], x["text"])) == F.transform("turns", lambda x: F.struct(x["role"], x["text"]))
     same = same & F.forall("read", lambda x: x["ok"])
     whole = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation is not read back as it was")))
-    mark = len(START)
-    ends = F.aggregate("read", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["r"] + x["t"] + len(START) + len(END) + 2)))
-    spans = F.filter(
-        F.transform(F.arrays_zip("read", F.slice(ends, F.lit(1), F.size("read")).alias("at")), lambda z: F.struct(z["read"]["role"].alias("role"), (z["at"] + mark + z["read"]["r"] + 1).alias("start"), z["read"]["t"].alias("length"))),
-        lambda z: z["role"] == loss_role,
-    )
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: F.struct((t["at"] + F.length(t["said"]) - t["t"] - len(END) - 1).alias("start"), t["t"].alias("length")))
     return out.select(
         "conv_id", whole.alias("formatted"),
         F.transform("read", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),
-        F.transform(spans, lambda z: F.struct(z["start"], z["length"])).alias("loss_spans"),
-        F.size(F.filter("turns", lambda t: ~t["plain"])).alias("escaped"),
+        F.array_join(F.transform(F.filter("read", lambda x: x["role"] == loss_role), lambda x: x["text"]), "").alias("loss_text"),
+        spans.alias("loss_spans"), F.size(F.filter("turns", lambda t: ~t["plain"])).alias("escaped"),
     )
