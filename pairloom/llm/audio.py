@@ -1,7 +1,7 @@
 """Media columns: telephony audio (operator 7).
 
-Payloads are stored as WAV files: mu-law or A-law (a byte is a sample, so any payload is kept as it is),
-or IMA ADPCM in blocks. Reading expands mu-law and A-law by lookup tables and decodes ADPCM with numpy,
+Payloads are stored as WAV files: mu-law or A-law, in which a byte is a sample, or IMA ADPCM, in which it is
+part of a block; any payload is kept as it is. Reading expands mu-law and A-law by lookup tables and decodes ADPCM with numpy,
 one step of all blocks at a time. Decoded audio can be resampled and stored as 16-bit PCM.
 """
 
@@ -118,12 +118,8 @@ def ima_encode(pcm: np.ndarray, block: int = 256) -> bytes:
 
 def decode(media: bytes) -> tuple[int, np.ndarray]:
     """Rate and 16-bit samples of a stored file."""
-    codec, rate, block, body = read_wav(media)
-    if codec in EXPAND:
-        return rate, EXPAND[codec][np.frombuffer(body, np.uint8)]
-    if codec == IMA:
-        return rate, ima_decode(body, block)
-    return rate, np.frombuffer(body, "<i2")
+    file = read_wav(media)
+    return file[1], decode_all([file])[0]
 
 
 def resample(pcm: np.ndarray, up: int, down: int) -> np.ndarray:
@@ -146,14 +142,27 @@ def feature(pcm: np.ndarray) -> str:
     return f"n={len(x)};ms={int((x * x).sum()) // n};peak={int(np.abs(x).max(initial=0))};zc={flips};env={','.join(str(int(b)) for b in bands)}"
 
 
-def encode_text(docs: DataFrame, codec: int = ULAW, multiple: int = 192) -> DataFrame:
+#: Bytes of an ADPCM block of stored payloads, and its samples: a header of 4 bytes, then two samples a byte.
+BLOCK = 192
+PER_BLOCK = 2 * (BLOCK - 4) + 1
+#: Codecs that keep any payload byte by byte; which one is used follows from the payload.
+CODECS = (ULAW, ALAW, IMA)
+
+
+def stored(payload: bytes, codecs: tuple[int, ...] = CODECS) -> bytes:
+    """The WAV file of a payload: its bytes are mu-law or A-law samples, or those of ADPCM blocks."""
+    codec = codecs[zlib.crc32(payload) % len(codecs)]
+    return wav(codec, payload, RATE, BLOCK, 4, PER_BLOCK) if codec == IMA else wav(codec, payload)
+
+
+def encode_text(docs: DataFrame, codecs: tuple[int, ...] = CODECS, multiple: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8, padded with spaces to a positive multiple, as a WAV file.
 
-    Null text: empty. mu-law and A-law keep the payload byte by byte. Other columns are ignored; repeated
-    rows stay; empty docs give no rows.
+    Null text: empty. All codecs keep the payload byte by byte; equal texts get equal files. Other columns
+    are ignored; repeated rows stay; empty docs give no rows.
     """
-    if codec not in EXPAND:
-        raise ValueError("payload bytes are samples of mu-law or A-law only")
+    if not set(codecs) <= {ULAW, ALAW, IMA} or (IMA in codecs and multiple % BLOCK):
+        raise ValueError("payloads are stored as mu-law, A-law, or whole ADPCM blocks")
     arrow_batches(docs.sparkSession)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +172,31 @@ def encode_text(docs: DataFrame, codec: int = ULAW, multiple: int = 192) -> Data
                 media = []
                 for i in range(x, y):
                     raw = data[off[i] : off[i + 1]].tobytes()
-                    media.append(wav(codec, raw.ljust(max(multiple, -(-len(raw) // multiple) * multiple))))
+                    media.append(stored(raw.ljust(max(multiple, -(-len(raw) // multiple) * multiple)), codecs))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(x, y - x), pa.array(np.diff(off)[x:y]), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, "doc_id long, n_bytes long, media binary")
 
 
+def decode_all(files: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]:
+    """16-bit samples of files (codec, rate, block, body): ADPCM blocks of one size are decoded together."""
+    out: list[np.ndarray] = [None] * len(files)
+    whole: dict[int, list[int]] = {}
+    for i, (codec, _, block, body) in enumerate(files):
+        if codec in EXPAND:
+            out[i] = EXPAND[codec][np.frombuffer(body, np.uint8)]
+        elif codec == IMA and len(body) % block == 0:
+            whole.setdefault(block, []).append(i)
+        else:
+            out[i] = ima_decode(body, block) if codec == IMA else np.frombuffer(body, "<i2")
+    for block, at in whole.items():
+        samples = ima_decode(b"".join(files[i][3] for i in at), block)
+        ends = np.cumsum([len(files[i][3]) // block * (2 * (block - 4) + 1) for i in at])
+        for i, part in zip(at, np.split(samples, ends[:-1])):
+            out[i] = part
+    return out
+
+
 def read_media(media: DataFrame, tail: int = 16, rate: int | None = None) -> DataFrame:
     """Adds payload (the data chunk read back), tail_crc32 (of its last bytes), feature, and pcm if a rate is given.
 
@@ -179,11 +207,8 @@ def read_media(media: DataFrame, tail: int = 16, rate: int | None = None) -> Dat
     names = ["doc_id", "n_bytes", "media"]
     extra = ["payload binary", "tail_crc32 long", "feature string"] + (["pcm binary"] if rate else [])
 
-    def one(raw: bytes | None):
-        if raw is None:
-            return (None,) * len(extra)
-        body = read_wav(raw)[3]
-        have, samples = decode(raw)
+    def row(file: tuple[int, int, int, bytes], samples: np.ndarray):
+        have, body = file[1], file[3]
         out = (body, zlib.crc32(body[-tail:]), feature(samples))
         return out + ((wav(PCM, resample(samples, rate, have).astype("<i2").tobytes(), rate, 2, 16),) if rate else ())
 
@@ -193,7 +218,10 @@ def read_media(media: DataFrame, tail: int = 16, rate: int | None = None) -> Dat
             off = K.column_bytes(b.column("media"))[1]
             for x, y in K.chunks(off, 1 << 18):  # resampled samples take several times the bytes
                 part = b.slice(x, y - x)
-                made = list(zip(*(one(m.as_py()) for m in part.column("media"))))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), *(pa.array(v, k) for v, k in zip(made, kinds))], names + [x.split()[0] for x in extra])
+                raw = part.column("media").to_pylist()
+                files = [read_wav(m) for m in raw if m is not None]
+                made = iter([row(f, s) for f, s in zip(files, decode_all(files))])
+                rows = list(zip(*((None,) * len(extra) if m is None else next(made) for m in raw)))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), *(pa.array(v, k) for v, k in zip(rows, kinds))], names + [e.split()[0] for e in extra])
 
     return media.select(*names).mapInArrow(go, ", ".join(["doc_id long", "n_bytes long", "media binary", *extra]))
