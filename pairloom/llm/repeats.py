@@ -23,6 +23,8 @@ from pairloom.llm import kernels as K
 from pairloom.llm.common import arrow_batches, materialize, release
 
 _SHIFT = 21
+#: Windows of a long text that are looked at together.
+PART = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -36,8 +38,22 @@ class Unit:
     def hashes(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.kind == "byte":
             return K.byte_hashes(data), off
-        starts, _, at = K.words(data, off)
-        return K.word_hashes(data, starts), at
+        return K.row_words(data, off)
+
+    def parts(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(x, y, first, bytes, hashes, offsets): rows x .. y - 1, or of a long row the units from `first` on.
+
+        Parts of a long row hold PART windows, and the units that these cover, so neighbours overlap.
+        """
+        for x, y in K.chunks(off):
+            part, o = data[off[x] : off[y]], off[x : y + 1] - off[x]
+            if y - x > 1 or len(part) <= 2 * PART:
+                yield (x, y, 0, part, *self.hashes(part, o))
+                continue
+            whole = part if self.kind == "byte" else self.hashes(part, o)[0]
+            for a in range(0, max(1, len(whole) - self.length + 1), PART):
+                piece = whole[a : a + PART + self.length - 1]
+                yield x, y, a, piece, (K.byte_hashes(piece) if self.kind == "byte" else piece), np.array([0, len(piece)])
 
 
 def pack(start: np.ndarray, n: np.ndarray, own: np.ndarray | int = 0) -> np.ndarray:
@@ -60,9 +76,9 @@ def runs_of(docs: DataFrame, unit: Unit) -> DataFrame:
         for b in batches:
             rid = b.column("rid").to_numpy(zero_copy_only=False)
             data, off = K.column_bytes(b.column("text"))
-            for x, y in K.chunks(off):
-                q = K.Runs(*unit.hashes(data[off[x] : off[y]], off[x : y + 1] - off[x]), unit.length, unit.gram)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (_signed(q.m), _signed(q.r), rid[x:y][q.row], pack(q.start, q.n, q.own.astype(np.int64)))], ["m", "r", "rid", "pack"])
+            for x, y, first, _, h, at in unit.parts(data, off):
+                q = K.Runs(h, at, unit.length, unit.gram)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (_signed(q.m), _signed(q.r), rid[x:y][q.row], pack(q.start + first, q.n, q.own.astype(np.int64)))], ["m", "r", "rid", "pack"])
 
     return docs.select("rid", "text").mapInArrow(go, "m long, r long, rid long, pack long")
 
@@ -116,16 +132,18 @@ def _spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contested_chunks(b: pa.RecordBatch, unit: Unit):
-    """By chunk of rows: unit hashes, data, and of each mark the row, first unit, windows, m, c."""
+    """By part: unit hashes, bytes, and of each mark the row, first unit, place in the part, windows, m, c. Runs never span parts."""
     data, off = K.column_bytes(b.column("text"))
     row, p, m, c = _marks(b)
     start, n = unpack(p)
-    for x, y in K.chunks(off):
+    order = np.lexsort((start, row))
+    row, m, c, start, n = row[order], m[order], c[order], start[order], n[order]
+    for x, y, first, part, h, at in unit.parts(data, off):
         a, z = np.searchsorted(row, [x, y])
+        if first or (y - x == 1 and z > a and len(h) == PART + unit.length - 1):
+            a, z = a + np.searchsorted(start[a:z], [first, first + PART])
         if a < z:
-            part = data[off[x] : off[y]]
-            h, at = unit.hashes(part, off[x : y + 1] - off[x])
-            yield h, part, row[a:z], start[a:z], at[row[a:z] - x] + start[a:z], n[a:z], m[a:z], c[a:z]
+            yield h, part, row[a:z], start[a:z], at[row[a:z] - x] + start[a:z] - first, n[a:z], m[a:z], c[a:z]
 
 
 def windows_of(marked: DataFrame, unit: Unit) -> DataFrame:
@@ -166,18 +184,38 @@ def by_document(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.select("rid", "doc_id", "text").join(spans.groupBy("rid").agg(F.collect_list("pack").alias("marks")), "rid", "left")
 
 
-def covered(marks: pa.Array, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Flags of the units that marked windows cover, all rows in one; and the rows' offsets again."""
-    counts = np.zeros(int(at[-1]) + 1, dtype=np.int32)
+def removed(marks: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last + 1 unit of the maximal runs that marked windows cover, in order; touching ones are one run."""
     off = np.asarray(marks.offsets, dtype=np.int64)
-    if len(off) and off[-1] > off[0]:
-        p = marks.values.slice(off[0], off[-1] - off[0]).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(marks)), np.diff(off))
-        start, n = unpack(p)
-        first = at[row] + start
-        np.add.at(counts, first, 1)
-        np.add.at(counts, first + n - 1 + length, -1)
-    return np.cumsum(counts[:-1]) > 0, at
+    p = marks.values.slice(off[0], off[-1] - off[0]).to_numpy(zero_copy_only=False) if len(off) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(marks)), np.diff(off))
+    start, n = unpack(p)
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    end = (start + n[order] - 1 + length).astype(np.int64)
+    if not len(row):
+        return row, start, end
+    span = int(end.max()) + 1
+    reach = np.maximum.accumulate(row * span + end) - row * span
+    head = np.ones(len(row), bool)
+    head[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
+    at = np.flatnonzero(head)
+    return row[at], start[at], reach[np.append(at[1:], len(row)) - 1]
+
+
+def flags(first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+    """Whether each of `size` units lies in one of the runs, which do not overlap."""
+    out = np.zeros(size + 1, np.int8)
+    real = last > first
+    out[first[real]] += 1
+    out[last[real]] -= 1
+    return np.cumsum(out, out=out)[:-1].view(bool)
+
+
+def span_lists(row: np.ndarray, first: np.ndarray, last: np.ndarray, rows: int) -> pa.Array:
+    """array<struct<start, length>> by row."""
+    at = pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(first.astype(np.int64)), pa.array((last - first).astype(np.int64))], ["start", "length"]))
 
 
 def prepare(docs: DataFrame) -> None:

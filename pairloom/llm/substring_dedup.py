@@ -10,13 +10,12 @@ windows. All windows are compared, so the result is that of brute force, as long
 
 from __future__ import annotations
 
-from itertools import compress
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm import kernels as K
 from pairloom.llm import repeats as R
 from pairloom.llm.common import keyed, materialize, release
 
@@ -43,7 +42,8 @@ def dedup_substrings(docs: DataFrame, length: int = 20, gram: int = 5) -> DataFr
     Earlier: in a document of smaller doc_id (null first), or in the same document at a smaller start.
     One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words joined by a space),
     spans (removed runs of words, from 0). Null text: no words. Repeated or null ids are separate
-    documents in order of their text. Other columns of docs are ignored. Empty docs give no rows.
+    documents in order of their text. Long texts are read in pieces. Other columns of docs are ignored.
+    Empty docs give no rows.
     """
     R.prepare(docs)
     unit = R.Unit("word", length, gram)
@@ -52,20 +52,37 @@ def dedup_substrings(docs: DataFrame, length: int = 20, gram: int = 5) -> DataFr
 
     def cut(batches):
         for b in batches:
-            for x in range(0, b.num_rows, 500):
-                part = b.slice(x, 500)
-                texts = [(t or "").encode().split() for t in part.column("text").to_pylist()]
-                sizes = np.array([len(t) for t in texts], dtype=np.int64)
-                at = np.append(0, np.cumsum(sizes))
-                gone, _ = R.covered(part.column("marks"), at, length)
-                kept, lost, runs = [], [], []
-                for i, t in enumerate(texts):
-                    g = gone[at[i] : at[i + 1]]
-                    lost.append(n := int(g.sum()))
-                    kept.append(b" ".join(compress(t, ~g) if n else t).decode())
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], g.view(np.int8), [0])))) if n else np.zeros(0, int)
-                    runs.append([{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2])])
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(lost, pa.int64()), pa.array(kept, pa.string()), pa.array(runs, kind)], ["doc_id", "n_words", "n_removed", "kept_text", "spans"])
+            data, off = K.column_bytes(b.column("text"))
+            for x, y in K.chunks(off):
+                row, first, last = R.removed(b.column("marks").slice(x, y - x), length)
+                part, o = data[off[x] : off[y]], off[x : y + 1] - off[x]
+                kept, n = _kept(part, o, row, first, last)
+                lost = np.bincount(row, weights=last - first, minlength=y - x).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(x, y - x).cast(pa.int64()), pa.array(n), pa.array(lost), pa.array(kept, pa.string()), R.span_lists(row, first, last, y - x)], ["doc_id", "n_words", "n_removed", "kept_text", "spans"])
 
     return R.by_document(docs, spans).mapInArrow(cut, _OUT)
+
+
+def _kept(data: np.ndarray, off: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The words outside the runs, joined by one space, and the number of all words, of each row; long rows go by in pieces."""
+    text, n = [[] for _ in range(len(off) - 1)], np.zeros(len(off) - 1, np.int64)
+    for (x, y), a, z in K.pieces(data, off, 1 << 20):
+        part = data[a:z]
+        o = np.array([0, z - a]) if y - x == 1 else off[x : y + 1] - a
+        starts, ends, at = K.words(part, o)
+        if not len(starts):
+            continue
+        lo, hi = np.searchsorted(row, [x, y])
+        base = at[row[lo:hi] - x] - n[row[lo:hi]]  # words of this row in earlier pieces
+        gone = R.flags(np.clip(first[lo:hi] + base, 0, len(starts)), np.clip(last[lo:hi] + base, 0, len(starts)), len(starts))
+        stay = np.flatnonzero(~gone)
+        size = ends[stay] - starts[stay] + 1
+        place = np.append(0, np.cumsum(size))
+        src = np.repeat(starts[stay] - place[:-1], size) + np.arange(place[-1])
+        out = part[np.minimum(src, len(part) - 1)]
+        out[place[1:] - 1] = 32
+        cut = place[np.searchsorted(stay, at)]
+        for k in range(y - x):
+            text[x + k].append(out[cut[k] : cut[k + 1]].tobytes())
+        n[x:y] += np.diff(at)
+    return [b"".join(t)[:-1] for t in text], n

@@ -106,8 +106,8 @@ def dedup_bytes(docs: DataFrame, length: int = 400, gram: int = 24, hot_variants
 
     A string repeats if it also starts anywhere else, same document included; all its places are
     removed. One row per row of docs: doc_id, n_bytes, n_removed, kept (binary), spans (removed
-    runs of bytes, from 0). Null text: no bytes. Repeated or null ids are separate documents. Other
-    columns are ignored. Empty docs give no rows.
+    runs of bytes, from 0). Null text: no bytes. Repeated or null ids are separate documents. Long texts
+    are read in pieces. Other columns are ignored. Empty docs give no rows.
     """
     R.prepare(docs)
     unit = R.Unit("byte", length, gram)
@@ -117,30 +117,13 @@ def dedup_bytes(docs: DataFrame, length: int = 400, gram: int = 24, hot_variants
     def cut(batches):
         for b in batches:
             data, off = K.column_bytes(b.column("text"))
-            marks = b.column("marks")
             for x, y in K.chunks(off):
-                o = off[x : y + 1] - off[x]
-                part = data[off[x] : off[y]]
-                gone, _ = R.covered(marks.slice(x, y - x), o, length)
-                stay = np.append(0, np.cumsum(~gone))[o]
-                edge = np.zeros(len(part) + 1, np.int8)
-                edge[:-1] = gone
-                d = np.diff(np.append(0, edge))
-                d[o[1:-1]] = edge[o[1:-1]] * 1  # a run ends with its document
-                opens = np.flatnonzero(d == 1)
-                size = np.zeros(0, np.int64)
-                if len(opens):
-                    row = np.searchsorted(o, opens, side="right") - 1
-                    nxt = np.flatnonzero(~gone)
-                    k = np.searchsorted(nxt, opens)
-                    stop = np.where(k < len(nxt), nxt[np.minimum(k, len(nxt) - 1)] if len(nxt) else len(part), len(part))
-                    size = np.minimum(stop, o[row + 1]) - opens
-                else:
-                    row = np.zeros(0, np.int64)
-                per = np.searchsorted(row, np.arange(y - x + 1))
-                kept = pa.Array.from_buffers(pa.binary(), y - x, [None, pa.py_buffer(stay.astype(np.int32)), pa.py_buffer(part[~gone])])
-                spans_ = pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.StructArray.from_arrays([pa.array(opens - o[row] if len(opens) else opens), pa.array(size)], ["start", "length"]))
+                o, part = off[x : y + 1] - off[x], data[off[x] : off[y]]
+                row, first, last = R.removed(b.column("marks").slice(x, y - x), length)
+                lost = np.bincount(row, weights=last - first, minlength=y - x).astype(np.int64)
                 n = np.diff(o)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(x, y - x).cast(pa.int64()), pa.array(n), pa.array(n - np.diff(stay)), kept, spans_], ["doc_id", "n_bytes", "n_removed", "kept", "spans"])
+                left = part[~R.flags(o[row] + first, o[row] + last, len(part))] if len(row) else part
+                kept = pa.Array.from_buffers(pa.binary(), y - x, [None, pa.py_buffer(np.append(0, np.cumsum(n - lost)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(left))])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(x, y - x).cast(pa.int64()), pa.array(n), pa.array(lost), kept, R.span_lists(row, first, last, y - x)], ["doc_id", "n_bytes", "n_removed", "kept", "spans"])
 
     return R.by_document(docs, spans).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,length:long>>")
