@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import WORD, boxed, materialize, unboxed
+from pairloom.llm.common import WORD, boxed, in_box, materialize, unboxed
 
 #: Base weights of the sources in code point order (null last), repeating.
 BASE_WEIGHTS = (5.0, 2.0, 1.0)
@@ -39,21 +39,23 @@ def _cumulative(knots: Sequence[tuple[float, float]]) -> list[float]:
     return [x / area[-1] for x in area]
 
 
+def pieces(knots: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float, float]]:
+    """(t0, weight, slope, share before, share after) of each piece of a schedule, scaled so that shares end at 1."""
+    cum = _cumulative(knots)
+    scale = 1 / sum((t1 - t0) * (a + b) / 2 for (t0, a), (t1, b) in zip(knots, knots[1:]))
+    return [(t0, a * scale, (b - a) * scale / (t1 - t0), cum[k], cum[k + 1]) for k, ((t0, a), (t1, b)) in enumerate(zip(knots, knots[1:]))]
+
+
 def position_at(share: Column, profile: Column, profiles=PROFILES) -> Column:
     """Training time at which a source on its profile has used `share` of its demand."""
     out = F.lit(None).cast("double")
     for i, knots in enumerate(profiles):
-        cum = _cumulative(knots)
-        scale = 1 / sum((t1 - t0) * (a + b) / 2 for (t0, a), (t1, b) in zip(knots, knots[1:]))
         at = F.lit(1.0)
-        for k in range(len(knots) - 2, -1, -1):
-            (t0, a), (t1, b) = knots[k], knots[k + 1]
-            a, b = a * scale, b * scale
-            slope = (b - a) / (t1 - t0)
-            rest = F.greatest(share - F.lit(cum[k]), F.lit(0.0))
+        for t0, a, slope, low, high in reversed(pieces(knots)):
+            rest = F.greatest(share - F.lit(low), F.lit(0.0))
             # rest = a x + slope x^2 / 2, in the form that stays stable as slope goes to 0
             x = 2 * rest / (F.lit(a) + F.sqrt(F.greatest(F.lit(a * a) + 2 * slope * rest, F.lit(0.0))))
-            at = F.when(share < F.lit(cum[k + 1]), F.lit(t0) + x).otherwise(at)
+            at = F.when(share < F.lit(high), F.lit(t0) + x).otherwise(at)
         out = F.when(profile == i, F.least(at, F.lit(1.0))).otherwise(out)
     return out
 
@@ -87,11 +89,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = BASE_WEIGHTS, cap: float = 3
     doc_id, source, size, source_size, target, taken (words used, all passes), passes and positions
     (arrays: words used in each pass, and when), position (of the first pass; null if unused). size counts words; null text has none. Null
     source: a source of its own, last. A pass ends inside a document where the target falls there.
-    Repeated rows take turns. Empty texts are never used. `keep` names more columns to carry along.
+    Repeated rows take turns. Null doc_ids are documents of their own, which queue by their text. Empty
+    texts are never used; empty docs give no rows. `keep` names more columns to carry along; they break ties.
     """
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    turn = F.xxhash64("doc_id", F.lit("turn"))
-    sizes = materialize(docs.select("doc_id", "source", *keep, n.alias("size"), turn.alias("turn")), "sizes")
+    # rows without an id queue by their text, so that they share no key
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))))
+    turn = F.conv(F.substring(F.md5(F.concat(F.lit("turn:"), name)), 1, 15), 16, 10).cast("long")
+    sizes = materialize(docs.select("doc_id", "source", *keep, n.alias("size"), turn.alias("turn"), F.xxhash64("text").alias("tie")), "sizes")
     buckets = max(1, math.isqrt(sizes.count()))
     sizes = sizes.withColumn("bucket", F.pmod(F.col("turn"), F.lit(buckets)))
     per = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
@@ -104,7 +109,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = BASE_WEIGHTS, cap: float = 3
         .select("p.source", "p.bucket", "p.lead", "t.source_size", "t.target", "t.profile")
     )
     starts = materialize(starts, "starts")
-    inside = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "tie", *keep).rowsBetween(Window.unboundedPreceding, -1)
     queue = sizes.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("q")
     rows = queue.join(starts.alias("s"), F.col("q.source").eqNullSafe(F.col("s.source")) & (F.col("q.bucket") == F.col("s.bucket")))
     at = F.col("s.lead") + F.col("q.within")
@@ -129,16 +134,19 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = BASE_WEIGHTS, ca
     """
     names = docs.columns
     rows = boxed(docs)
-    source = F.col("rest.source") if "source" in names else F.lit(None).cast("string")
-    # rows that agree in doc_id, source and text are interchangeable; their copies are numbered by the join
-    keyed_rows = rows.select("doc_id", "text", "rest", source.alias("source"), F.xxhash64("doc_id", source, "text").alias("key"))
+    source = in_box(names, "source").cast("string") if "source" in names else F.lit(None).cast("string")
+    # rows that agree in all columns are interchangeable; their copies are numbered by the join
+    rest = F.to_json("rest") if "map<" in rows.schema["rest"].dataType.simpleString() else F.col("rest")
+    keyed_rows = rows.select("doc_id", "text", "rest", source.alias("source"), F.xxhash64("doc_id", "text", rest).alias("key"))
     plan = mix(keyed_rows.select("doc_id", "source", "text", "key"), weights, cap, keep=["key"]).filter("taken > 0")
-    plan = plan.select("key", "size", F.filter(F.arrays_zip("passes", "positions"), lambda x: x["passes"] > 0).alias("uses"))
-    plan = plan.groupBy("key").agg(F.flatten(F.collect_list("uses")).alias("uses"), F.max("size").alias("size"))
-    one = keyed_rows.dropDuplicates(["key"]) if keyed_rows.groupBy("key").count().filter("count > 1").limit(1).count() else keyed_rows
-    used = one.join(plan, "key").select("doc_id", "text", "rest", "size", F.inline("uses"))
+    plan = plan.select("doc_id", "key", "size", F.filter(F.arrays_zip("passes", "positions"), lambda x: x["passes"] > 0).alias("uses"))
+    plan = plan.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("uses")).alias("uses"), F.max("size").alias("size"))
+    twice = keyed_rows.groupBy("doc_id", "key").count().filter("count > 1").limit(1).count()
+    one = keyed_rows.dropDuplicates(["doc_id", "key"]) if twice else keyed_rows
+    plan = plan.withColumnRenamed("doc_id", "id").withColumnRenamed("key", "plan_key")
+    used = one.join(plan, (F.col("key") == F.col("plan_key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "rest", "size", F.inline("uses"))
     short = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("passes").cast("int")), " ")
     used = used.withColumn("cut", F.col("passes") < F.col("size")).withColumn("text", F.when(F.col("cut"), short).otherwise(F.col("text")))
     used = used.repartitionByRange("positions", "doc_id").sortWithinPartitions("positions", "doc_id")
-    changed = {"n_chars": F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))} if "n_chars" in names else {}
+    changed = {"n_chars": F.when(F.col("cut"), F.length("text").cast("long")).otherwise(in_box(names, "n_chars"))} if "n_chars" in names else {}
     return unboxed(used, names, **changed)
