@@ -101,6 +101,31 @@ class Memo:
         return [raw[x:y].tobytes() for x, y in zip(cut, cut[1:])]
 
 
+class Plain:
+    """Token ids of whole texts, by any tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        out = []
+        for t in texts.to_pylist():  # one at a time: texts may be long
+            out.append(np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes())
+        return out
+
+
+def by_units(tokenizer) -> bool:
+    """Whether the tokenizer treats words apart as Memo does: white space is dropped, Latin case too, and a token closes each word."""
+    ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+    names = {i: t for t, i in tokenizer.get_vocab().items()}
+    words = ("alpha", "Zebra", "\u00c9tude", "qzxv", "\u0416\u0443\u043a", "\u65e5\u672c")
+    joined = all(ids(f"{a} {b}") == ids(a) + ids(b) == ids(f" {a}\n\t {b} ") for a in words for b in words)
+    marks = all(ids(f"{a}{m} {a}") == ids(a) + ids(m) + ids(a) for a in words for m in ("!", "...", ",;"))
+    lower = all(ids(w) == ids(w.lower()) for w in ("Alpha", "ZEBRA", "\u00c9tude"))
+    closed = all((n := ids(w)) and names[n[-1]].endswith("</w>") and not any(names[i].endswith("</w>") for i in n[:-1]) for w in words)
+    return joined and marks and lower and closed
+
+
 def _strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     off = np.append(0, np.cumsum(sizes)).astype(np.int64)
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data)))
@@ -127,9 +152,12 @@ def _after(whole: pa.Array, head: pa.Array) -> pa.Array:
 
 
 @lru_cache(maxsize=1)
-def worker_memo(path: str) -> Memo:
+def worker_memo(path: str) -> Memo | Plain:
     """One for all tasks of a Python worker: the tokenizer is loaded once, and units stay known."""
-    return Memo(path)
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return Memo(path) if by_units(tokenizer) else Plain(tokenizer)
 
 
 class Bins:
