@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pairloom.llm import kernels as K
 from pairloom.llm.common import arrow_batches, boxed, materialize, unboxed
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stops", "n_shouts")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stops", "n_shouts", "n_other")
 _table = np.zeros(256, bool)
 
 
@@ -78,7 +78,7 @@ def measure(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     two[:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80)
     big = two.copy()
     big[:-1] &= data[1:] <= 0x9E
-    return [n_words, n_chars, _per_row(_SYMBOL[data], off), n_dup, repeat, n_lines, _per_row(upper | big, off), _per_row(letter | two, off), n_stop, _per_row(_SHOUT[data], off)]
+    return [n_words, n_chars, _per_row(_SYMBOL[data], off), n_dup, repeat, n_lines, _per_row(upper | big, off), _per_row(letter | two, off), n_stop, _per_row(_SHOUT[data], off), _per_row(data >= 0xC8, off)]
 
 
 def with_features(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -110,14 +110,15 @@ def rules() -> dict[str, Column]:
     mean, symbols, dups = _share("word_chars", "n_words"), _share("n_symbols", "n_words"), _share("n_dup_lines", "n_lines")
     repeats, upper, letters = _share("n_repeat_words", "n_words"), _share("n_upper", "n_letters"), _share("n_letters", "word_chars")
     stops, shouts = _share("n_stops", "n_lines"), _share("n_shouts", "n_words")
+    latin = 3 * F.col("n_other") < F.col("word_chars")  # rules on letters and sentence ends abstain on other scripts
     return {
         "word_length": _vote(mean, (mean >= 3) & (mean <= 10), (mean < 2.5) | (mean > 14)),
         "symbols": _vote(symbols, symbols <= 0.02, symbols > 0.15),
         "dup_lines": _vote(dups, dups <= 0.05, dups > 0.3),
         "repeats": _vote(repeats, repeats <= 0.1, repeats > 0.3),
-        "capitals": _vote(upper, upper <= 0.12, upper > 0.4),
-        "letters": _vote(letters, letters >= 0.85, letters < 0.7),
-        "sentences": _vote(stops, stops >= 0.7, stops < 0.1),
+        "capitals": _vote(upper, latin & (upper <= 0.12), latin & (upper > 0.4)),
+        "letters": _vote(letters, latin & (letters >= 0.85), latin & (letters < 0.7)),
+        "sentences": _vote(stops, latin & (stops >= 0.7), latin & (stops < 0.1)),
         "shouting": _vote(shouts, shouts <= 0.02, shouts > 0.15),
     }
 
@@ -174,7 +175,10 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs that judge() keeps, with docs' columns. Texts pass Python twice, not the shuffle."""
+    """The rows of docs that judge() keeps, with docs' columns. Texts pass Python twice, not the shuffle.
+
+    Rows without words go; repeated rows are judged alike; empty docs give no rows.
+    """
     p = fit(with_features(docs, ["doc_id"]))
     out = with_features(boxed(docs), ["doc_id", "text", "rest"])
     return unboxed(out.filter(~base_failed() & (p >= least)), docs.columns)
