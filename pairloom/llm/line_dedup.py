@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import boxed, keyed, materialize, release, unboxed
+from pairloom.llm.common import boxed, in_box, keyed, materialize, release, unboxed
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -61,14 +61,14 @@ def dedup_lines(docs: DataFrame, period: int = 4, keep: tuple[str, ...] = ()) ->
     docs = keyed(docs.select("doc_id", "text", *keep), list(keep))
     hashes = materialize(_windows(_lines(docs.select("rid", "text"))), "windows")
     again = hashes.groupBy("k").count().filter("count > 1").select("k")
-    per_doc = hashes.join(again, "k").groupBy("rid").agg(F.collect_list(F.struct("window", "k")).alias("found"))
+    per_doc = hashes.join(again.hint("merge"), "k").groupBy("rid").agg(F.collect_list(F.struct("window", "k")).alias("found"))
     body = lambda x: F.array_join(F.slice("lines", _start(x["window"]) + 1, _count(x["window"])), "\n")
     texts = _lines(docs.select("rid", "text").join(per_doc.hint("merge"), "rid"))
     # `lines` is used twice, so that it is computed before the lambda and not in it
     texts = texts.select("rid", F.size("lines").alias("of"), F.transform("found", lambda x: F.struct(x["window"].alias("window"), x["k"].alias("k"), body(x).alias("body"))).alias("found"))
     bodies = materialize(texts.select("rid", "of", F.inline("found")), "bodies")
     firsts = bodies.groupBy("k", "body").agg(F.min(F.struct("rid", "window")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("k", "body", "f")
-    gone = bodies.join(firsts, ["k", "body"]).filter("rid <> f.rid OR window <> f.window").groupBy("rid").agg(F.collect_list("window").alias("gone"))
+    gone = bodies.join(firsts.hint("merge"), ["k", "body"]).filter("rid <> f.rid OR window <> f.window").groupBy("rid").agg(F.collect_list("window").alias("gone"))
     gone = materialize(gone.select("rid", F.array_distinct(F.flatten(F.transform("gone", lambda w: F.sequence(_start(w), _start(w) + _count(w) - 1)))).alias("gone")), "gone")
     release(hashes)
     release(bodies)
@@ -85,9 +85,13 @@ def dedup_lines(docs: DataFrame, period: int = 4, keep: tuple[str, ...] = ()) ->
 
 
 def dedup_documents(docs: DataFrame, period: int = 4) -> DataFrame:
-    """docs with their columns, and the texts that dedup_lines() leaves."""
+    """docs with their columns, and the texts that dedup_lines() leaves; n_chars follows where it exists.
+
+    Every row stays, also where nothing of its text is left. Null texts stay null; repeated and null ids are
+    documents of their own.
+    """
     out = dedup_lines(boxed(docs), period, ("rest",))
     changed = {}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(in_box(docs.columns, "n_chars"))
     return unboxed(out, docs.columns, **changed)
