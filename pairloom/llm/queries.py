@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pairloom.llm import audio
-from pairloom.llm.chat_format import format_chats, unescape_text
+from pairloom.llm.chat_format import format_chats
 from pairloom.llm.common import table
 from pairloom.llm.jaccard_join import group_near_duplicates
 from pairloom.llm.line_dedup import dedup_lines
 from pairloom.llm.mixing import mix
+from pairloom.llm.oracles import ORACLES
 from pairloom.llm.packing import pack
 from pairloom.llm.quality import judge
 from pairloom.llm.substring_dedup import dedup_substrings
@@ -23,7 +24,7 @@ from pairloom.llm.url_filter import judge_urls
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "position")
+    return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", F.round("position", 6).alias("position"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +45,9 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
     out = format_chats(rows.unionByName(probe))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    masked = F.array_join(F.transform("loss_spans", lambda s: unescape_text(F.substr("formatted", s["start"] + 1, s["length"]))), "")
-    out = out.withColumn("loss", masked)
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
 
@@ -93,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
