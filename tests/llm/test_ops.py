@@ -190,10 +190,45 @@ def test_verdicts_do_not_hang_on_the_number_of_pages_or_links(spark):
     assert all(got[f"c{i}.net", "/"] == "block" for i in range(chain))
 
 
+@pytest.mark.parametrize("hosts", [500, 20000])
+def test_one_verdict_for_any_number_of_hosts(spark, hosts):
+    base = spark.range(hosts).select(F.explode(F.array(F.lit("de"), F.lit("en"))).alias("lang"), "id")
+    pages = base.select(F.concat("id", "lang").alias("page_id"), F.concat(F.lit("http://h"), "id", F.lit(".com/"), "lang", F.lit("/1")).alias("url"), F.lit("").alias("html"))
+    edge = spark.createDataFrame([("x", "http://u.net/", '<a href="http://v.net/">')], "page_id string, url string, html string")
+    for p in (pages, pages.unionByName(edge)):
+        got = {r.verdict: r["count"] for r in url_filter.judge_urls(p).filter("by = 'graph' AND page_id <> 'x'").groupBy("verdict").count().collect()}
+        assert got == {"block": hosts}
+
+
+def test_scores_against_a_plain_pagerank(spark):
+    rng = np.random.default_rng(4)
+    n, links = 40, []
+    for i in range(n):
+        links += [(i, int(j), int(rng.integers(1, 4))) for j in rng.choice(n, rng.integers(0, 5), replace=False) if j != i]
+    pages = []
+    for i in range(n):
+        tags = "".join(f'<a href="http://h{b}.x/">' * c for a, b, c in links if a == i)
+        pages.append((len(pages), f"http://h{i}.x/", tags))
+        pages += [(len(pages) + k, f"http://h{i}.x/{d}", "") for k, d in enumerate(rng.choice(["good", "bad"], rng.integers(0, 3)))]
+    got = {r.host: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), (("allow", "x/good"), ("block", "x/bad"))).filter("by = 'graph'").collect()}
+    score = {}
+    for kind, word in (("trust", "good"), ("distrust", "bad")):
+        m = np.zeros((n, n))
+        for a, b, c in links:
+            m[(a, b) if kind == "trust" else (b, a)] += c
+        m = m / np.maximum(m.sum(1, keepdims=True), 1)
+        seed = np.array([sum(u == f"http://h{i}.x/{word}" for _, u, _ in pages) for i in range(n)], float)
+        score[kind] = 0.15 * np.linalg.inv(np.eye(n) - 0.85 * m.T) @ seed
+    close = np.abs(score["trust"] - score["distrust"]) < 1e-3
+    for i in np.flatnonzero(~close):
+        assert got[f"h{i}.x"] == ("block" if score["distrust"][i] > max(score["trust"][i], 1e-4) else "allow"), i
+    assert (~close).sum() > n / 2
+
+
 def test_scores_stand_still(spark):
     edges = spark.createDataFrame([("trust", "a", "b", 1.0), ("trust", "b", "a", 0.5), ("trust", "b", "c", 0.5)], "kind string, src string, dst string, share double")
     seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, mass double")
-    got = {r.host: r.score for r in url_filter.propagate(seeds, edges, 0.85, 8, 4, 1e-9).collect()}
+    got = {r.host: r.score for r in url_filter.propagate(seeds, edges, 0.85, 1e-9).collect()}
     a = 0.15 / (1 - 0.85 * 0.85 * 0.5)
     assert np.allclose([got["a"], got["b"], got["c"]], [a, 0.85 * a, 0.85 * a * 0.85 * 0.5], atol=1e-7)
 
@@ -232,16 +267,38 @@ def test_chat_query(spark):
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), brute.sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), brute.sha(loss))
 
 
+def plain_ima(block: bytes) -> list[int]:
+    """One block, a nibble after the other."""
+    value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+    out = [value]
+    for byte in block[4:]:
+        for n in (byte & 15, byte >> 4):
+            step = int(audio.IMA_STEPS[index])
+            move = (step >> 3) + (step >> 2 if n & 1 else 0) + (step >> 1 if n & 2 else 0) + (step if n & 4 else 0)
+            value = max(-32768, min(32767, value - move if n & 8 else value + move))
+            index = max(0, min(88, index + int(audio.IMA_MOVES[n])))
+            out.append(value)
+    return out
+
+
 def test_audio(spark, odd):
     d, plain = odd
     out = {r.doc_id: r for r in audio.read_media(audio.encode_text(d), rate=16000).collect()}
+    seen = set()
     for doc_id, text in plain:
         raw = (text or "").encode()
         pay = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         r = out[doc_id]
         assert (r.n_bytes, bytes(r.payload), r.tail_crc32) == (len(raw), pay, zlib.crc32(pay[-16:]))
-        assert len(audio.decode(bytes(r.pcm))[1]) == 2 * len(pay)
-    assert out[1].feature == out[2].feature
+        codec = audio.read_wav(bytes(r.media))[0]
+        seen.add(codec)
+        want = audio.EXPAND[codec][np.frombuffer(pay, np.uint8)].tolist() if codec != audio.IMA else [x for i in range(0, len(pay), 192) for x in plain_ima(pay[i : i + 192])]
+        assert audio.decode(bytes(r.media))[1].tolist() == want
+        x = np.array(want, np.int64)
+        assert f";peak={abs(x).max()};" in r.feature and r.feature.startswith(f"n={len(x)};ms={(x * x).sum() // len(x)};")
+        pcm = audio.decode(bytes(r.pcm))[1]
+        assert pcm[::2].tolist() == want and pcm[1:-1:2].tolist() == [(a + b) // 2 for a, b in zip(want, want[1:])]
+    assert out[1].feature == out[2].feature and len(seen) == 3
 
 
 def test_codecs():
@@ -268,11 +325,14 @@ def test_short_last_block_and_channels(spark):
 
 
 def test_audio_query_stores_resampled_pcm(spark):
-    r = queries.op7_audio(spark, SF).orderBy("doc_id").first()
-    text = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").first().text.encode()
-    pay = text + b" " * (max(192, -(-len(text) // 192) * 192) - len(text))
-    pcm = audio.resample(audio.EXPAND[audio.ULAW][np.frombuffer(pay, np.uint8)], 16000, 8000)
-    assert r.pcm_sha256 == hashlib.sha256(audio.wav(audio.PCM, pcm.astype("<i2").tobytes(), 16000, 2, 16)).hexdigest() and r.pcm_bytes == 44 + 4 * len(pay)
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op7_audio(spark, SF).collect():
+        pay = texts[r.doc_id] + b" " * (max(192, -(-len(texts[r.doc_id]) // 192) * 192) - len(texts[r.doc_id]))
+        media = audio.stored(pay)
+        pcm = audio.resample(audio.decode(media)[1], 16000, 8000)
+        assert (r.payload_sha256, r.payload_bytes, r.tail_crc32) == (hashlib.sha256(pay).hexdigest(), len(pay), zlib.crc32(pay[-16:]))
+        assert r.media_sha256 == hashlib.sha256(media).hexdigest() and r.feature == audio.feature(audio.decode(media)[1])
+        assert r.pcm_sha256 == hashlib.sha256(audio.wav(audio.PCM, pcm.astype("<i2").tobytes(), 16000, 2, 16)).hexdigest()
 
 
 def test_quality_features_and_verdicts(spark, odd):
@@ -358,10 +418,44 @@ def test_search_of_a_bucket_dealt_to_several_blocks():
             for c, v in zip(cols, (5, block, i % 3 == block, i >= 25, i, comp[i], len(sets[i]), jaccard_join.point(sets[i]).tobytes())):
                 cols[c].append(v)
     t = pa.table({**cols, "vec": pa.array(cols["vec"], pa.binary())})
+    true = {(i, j) for i in range(60) for j in range(i + 1, 60) if comp[i] != comp[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
     for size in (7, 1000):
-        found = [p for b in jaccard_join._search(iter(t.to_batches(max_chunksize=size)), 80, 100) for p in zip(*(c.to_pylist() for c in b.columns))]
-        true = {(i, j) for i in range(60) for j in range(i + 1, 60) if comp[i] != comp[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
-        assert true and true <= set(found) and len(found) == len(set(found))
+        found = sorted({p for b in jaccard_join._search(iter(t.to_batches(max_chunksize=size)), 80, 100) for p in zip(*(c.to_pylist() for c in b.columns))})
+        groups = {}
+        for g, r in found:
+            groups.setdefault(g, set()).add(r)
+        assert true and all(any({i, j} <= m for m in groups.values()) for i, j in true)
+        rows = pa.table({"gid": [g for g, _ in found], "rid": [r for _, r in found], "comp": [comp[r] for _, r in found], "tokens": pa.array([sets[r].tobytes() for _, r in found], pa.binary())})
+        links = [p for b in jaccard_join._verify(iter(rows.to_batches(max_chunksize=size)), 80, 100) for p in zip(*(c.to_pylist() for c in b.columns))]
+        assert set(links) <= true and len(links) < len(found)
+        assert merged(list(enumerate(comp)) + links) == merged(list(enumerate(comp)) + list(true))
+
+
+def merged(pairs):
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {x: find(x) for x in sorted(parent)}
+
+
+def test_keys_agree_for_every_pair_that_links():
+    """Also with few spare groups, where sets without tokens in enough groups have keys for empty ones."""
+    rng = np.random.default_rng(11)
+    for num, spare in ((80, None), (90, None), (50, None), (80, 0), (60, 0)):
+        bands = jaccard_join.Bands(num, 100)
+        if spare is not None:
+            bands.groups = bands.differ + 1
+        for n in (*range(1, 40), 63, 94, 140, 300):
+            for _ in range(6):
+                a = rng.integers(1, 1 << 62, n, dtype=np.uint64)
+                drop, add = rng.integers(0, n // 2 + 1), rng.integers(0, n // 2 + 1)
+                b = np.concatenate([a[drop:], rng.integers(1, 1 << 62, add, dtype=np.uint64)])
+                both = len(np.intersect1d(a, b))
+                if len(b) and 100 * both >= num * (len(a) + len(b) - both):
+                    key, row = bands.keys(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, len(a), len(a) + len(b)]))
+                    assert set(key[row == 0]) & set(key[row == 1])
 
 
 def test_joins_with_tiny_blocks(spark, monkeypatch):
