@@ -253,19 +253,12 @@ def conservation_quartiles(spark, d):
 
 @query("WITH o AS (SELECT event_id, row_number() OVER (ORDER BY value, event_id) AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT CASE k WHEN 1 THEN 'worst' WHEN n THEN 'best' ELSE 'median' END AS which, event_id FROM o WHERE k IN (1, n, (n + 1) // 2)")
 def best_median_worst(spark, d):
-    e = table(spark, d, "events").filter("value IS NOT NULL").select("value", "event_id")
-    n = e.count()
-    mid = e.agg(F.percentile("value", F.lit((((n + 1) // 2) - 1) / max(1, n - 1))).alias("v")).first()["v"] if n else None
-    # rows below the median value are only counted; those that tie with it are ranked
-    below = e.filter(F.col("value") < mid - 1e-9).count() if n else 0
-    tie = e.filter(F.abs(F.col("value") - mid) <= 1e-9).orderBy("value", "event_id").limit((n + 1) // 2 - below).orderBy(F.desc("value"), F.desc("event_id")).limit(1) if n else e.limit(0)
-    pick = lambda df, name: df.select(F.lit(name).alias("which"), "event_id")
-    return pick(e.orderBy("value", "event_id").limit(1), "worst").unionByName(pick(tie, "median")).unionByName(pick(e.orderBy(F.desc("value"), F.desc("event_id")).limit(1), "best"))
+    return rank.best_median_worst(table(spark, d, "events"), "value", "event_id")
 
 
 @query("WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(avg(value), 6) AS tail_mean, count(*) AS used FROM o WHERE k <= greatest(1, round_even(0.2e0 * n, 0)) GROUP BY 1")
 def tail_mean(spark, d):
-    return rank.tail_mean(table(spark, d, "events"), "event_type", ["ts", "event_id"], "value").select("event_type", F.round("tail_mean", 6).alias("tail_mean"), "used")
+    return rank.tail_mean(table(spark, d, "events"), "event_type", "ts", "event_id", "value").select("event_type", F.round("tail_mean", 6).alias("tail_mean"), "used")
 
 
 _TOP = "rk AS (SELECT i, j, row_number() OVER (ORDER BY strength DESC, j, i) AS k FROM st)"
@@ -296,14 +289,13 @@ def topk_overlap(spark, d):
     return rank.overlap(rank.top_share(x, 0.3), rank.top_share(y, 0.3))
 
 
-@query(f"WITH {_BOTH} SELECT cutoff, c.k, count(x.i) AS common, count(x.i) / any_value(c.k)::DOUBLE AS share FROM {_SHARES} LEFT JOIN (SELECT x.i, greatest(x.k, y.k) AS least FROM x JOIN y USING (i, j)) x ON x.least <= c.k GROUP BY ALL")
+_WHOLE = f"(WITH {_FREQ} SELECT i, j, row_number() OVER (ORDER BY strength DESC, j, i) AS k FROM st)"
+
+
+@query(f"WITH {_BOTH}, z AS MATERIALIZED (SELECT * FROM {_WHOLE}) SELECT cutoff, c.k, count(*) FILTER (x.k <= c.k AND y.k <= c.k) AS common, count(*) FILTER (x.k <= c.k AND y.k <= c.k) / any_value(c.k)::DOUBLE AS share, round(count(*) FILTER (x.k <= c.k AND y.k <= c.k) / nullif(count(*) FILTER (x.k <= c.k AND z.k <= c.k), 0)::DOUBLE, 6) AS ratio FROM x JOIN y USING (i, j) JOIN z USING (i, j), {_SHARES} GROUP BY cutoff, c.k")
 def topfrac_sweep(spark, d):
     _, x, y = _halves(spark, d)
-    out = None
-    for share in (0.05, 0.1, 0.15, 0.2, 0.3, 0.5):
-        one = rank.overlap(rank.top_share(x, share), rank.top_share(y, share)).withColumn("cutoff", F.lit(share))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return rank.top_sweep(y, x, _strength(spark, d), [0.05, 0.1, 0.15, 0.2, 0.3, 0.5]).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(f"WITH {_BOTH} SELECT i, j, CASE WHEN x.k <= 5 AND y.k <= 5 THEN 1 WHEN x.k <= 5 THEN 2 WHEN y.k <= 5 THEN 3 ELSE 0 END AS category FROM x JOIN y USING (i, j)")
@@ -349,11 +341,6 @@ def components(spark, d):
     return cluster.similar_components(alignment(spark, d), WIDTH, 1)
 
 
-@query("SELECT doc_id AS row_id, CASE WHEN ('0x' || substr(md5('3:' || doc_id), 1, 8))::UBIGINT / 4294967296.0e0 < 0.8 THEN 'train' ELSE 'val' END AS split FROM documents")
-def random_split(spark, d):
-    return groups.random_split(alignment(spark, d), 3, 0.8)
-
-
 @query("""WITH g AS (SELECT source AS species, count(*) AS n FROM documents GROUP BY 1), o AS (SELECT *, sum(n) OVER w AS upto, (SELECT count(*) // 2 FROM documents) AS t FROM g WINDOW w AS (ORDER BY md5('5:' || species), species)),
 k AS (SELECT *, min((abs(upto - t) < abs(upto - n - t))::INT) OVER (ORDER BY md5('5:' || species), species) AS taken FROM o) SELECT species, n, CASE taken WHEN 1 THEN 'train' ELSE 'test' END AS split FROM k""")
 def species_target_split(spark, d):
@@ -425,7 +412,7 @@ def pairing_rounds(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which right half belongs to which left half: learnt on half of the rows, for all."""
     a = alignment(spark, sf_dir)
-    train = groups.random_split(a, 1, 0.5).filter("split = 'train'").select("row_id")
+    train = sampling.exact_split(a, 1, 1, 2).filter("split = 'train'").select("row_id")
     return pairing.predict(a, a.join(train, "row_id", "left_semi").select("row_id", "seq"), WIDTH, LEFT, 1)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators.sampling import range_bucket, ranked_within
+
 
 def species_groups(rows: DataFrame, least: int = 2, most: int | None = None) -> DataFrame:
     """(species, n, first): groups of least..most rows; null species belong to none."""
@@ -43,26 +45,20 @@ def partition_groups(rows: DataFrame, inside: str) -> DataFrame:
 
 def shift_partner(rows: DataFrame) -> DataFrame:
     """(row_id, partner): each row's predecessor in its group, cyclic: the wrong-partner control."""
-    w = Window.partitionBy("species").orderBy("row_id")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.select("row_id", F.coalesce(F.lag("row_id").over(w), F.last("row_id").over(whole)).alias("partner"))
+    r = ranked_within(rows.select("species", "row_id"), ["species"], ["row_id"], range_bucket(rows, F.col("row_id")))
+    before = r.select(F.col("species").alias("s"), F.col("row_id").alias("partner"), (F.col("k") % F.col("n") + 1).alias("next"))
+    return r.join(before, r.species.eqNullSafe(before.s) & (r.k == before.next)).select("row_id", "partner")
 
 
 def scramble_pairs(rows: DataFrame, seed: int) -> DataFrame:
-    """(species, hk, rr): a seeded random pairing inside each group."""
-    key = lambda salt: F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), F.col("row_id").cast("string")))
-    rank = lambda order: F.row_number().over(Window.partitionBy("species").orderBy(*order))
-    a = rows.select("species", F.col("row_id").alias("hk"), rank(["row_id"]).alias("k"))
-    b = rows.select("species", F.col("row_id").alias("rr"), rank([key("b"), "row_id"]).alias("k"))
+    """(species, hk, rr): a seeded random pairing inside each group; rows without a species have no partner."""
+    named = rows.filter("species IS NOT NULL").select("species", "row_id")
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("b"), F.col("row_id").cast("string")))
+    a = ranked_within(named, ["species"], ["row_id"], range_bucket(named, F.col("row_id"))).select("species", F.col("row_id").alias("hk"), "k")
+    b = ranked_within(named.withColumn("h", h), ["species"], ["h", "row_id"], F.conv(F.substring(h, 1, 3), 16, 10).cast("long")).select("species", F.col("row_id").alias("rr"), "k")
     return a.join(b, ["species", "k"]).select("species", "hk", "rr")
 
 
-def random_split(rows: DataFrame, seed: int, share: float) -> DataFrame:
-    """(row_id, split): train with probability `share`, decided by the row's own hash: no sort, no global rank."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return rows.select("row_id", F.when(u < share, "train").otherwise("val").alias("split"))
-
-
 def species_split(rows: DataFrame, seed: int, target: int) -> DataFrame:
     """(species, n, split): whole groups in seeded order while that comes closer to `target` rows, then no more."""
     g = rows.groupBy("species").agg(F.count("*").alias("n"))

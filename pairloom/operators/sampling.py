@@ -91,3 +91,55 @@ def weighted_draws(weights: DataFrame, draws: int, seed: int) -> DataFrame:
     d = weights.sparkSession.range(draws).crossJoin(F.broadcast(total)).select(F.col("id").alias("draw"), (u * F.col("all")).alias("u"))
     b = cdf.select("row_id", "lo", "hi", F.explode(F.sequence(F.floor("lo"), F.floor("hi"))).alias("b"))
     return d.withColumn("b", F.floor("u")).join(b, "b").filter("lo <= u AND u < hi").select("draw", "row_id")
+
+
+def range_bucket(df: DataFrame, key: Column, buckets: int = 4096) -> Column:
+    """A whole number that rises with key (an integer or timestamp in microseconds), about `buckets` of them over df."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    return F.floor((key - F.lit(low or 0)) / F.lit(max(1, -(-((high or 0) - (low or 0) + 1) // buckets))))
+
+
+def ranked_within(df: DataFrame, by: list[str], order: list, bucket: Column) -> DataFrame:
+    """Adds k (1, 2, .. in each group, in `order`) and n (rows of the group); null is a group of its own.
+
+    bucket must rise with the order. Rows are counted by group and bucket, and only those of one bucket are
+    sorted together, so a group that holds a third of all rows is not one task's work.
+    """
+    t = df.withColumn("_b", bucket)
+    per = t.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    sums = per.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_b").alias("_k"), (F.sum("_n").over(group.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(group).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
+    t = t.withColumn("_i", inside)
+    match = t["_b"] == sums["_k"]
+    for c in by:
+        match = match & t[c].eqNullSafe(sums[f"_{c}"])
+    return t.join(sums, match).withColumn("k", F.col("_before") + F.col("_i")).select(*df.columns, "k", "n")
+
+
+def order_statistics(df: DataFrame, value: str, ranks: list[int], few: int = 10_000) -> list[float]:
+    """The values of the given ranks (1 is the least; nulls do not count), found by counting ranges of values.
+
+    A range that holds a rank is cut again until it has at most `few` rows, which are sorted on the driver.
+    """
+    t = df.select(F.col(value).alias("v")).filter("v IS NOT NULL")
+    out = {}
+    low, high = t.agg(F.min("v"), F.max("v")).first()
+    todo = [(set(ranks), 0, low, high)]
+    while todo:
+        want, below, low, high = todo.pop()
+        inside = t.filter(F.col("v").between(low, high))
+        if low == high:
+            out.update(dict.fromkeys(want, low))
+            continue
+        cell = F.least(F.floor((F.col("v") - low) / (high - low) * 1024), F.lit(1023))
+        cells = inside.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("c").collect()  # 1024 rows
+        for r in cells:
+            here = {k for k in want if below < k <= below + r["n"]}
+            if here and (r["n"] <= few):
+                values = sorted(x["v"] for x in t.filter(F.col("v").between(r["low"], r["high"])).collect())
+                out.update({k: values[k - below - 1] for k in here})
+            elif here:
+                todo.append((here, below, r["low"], r["high"]))
+            below += r["n"]
+    return [out[k] for k in ranks]

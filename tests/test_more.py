@@ -244,3 +244,25 @@ def test_clamped_report_of_a_perfect_generator(spark):
 def test_lookup_counts_misses(spark):
     left, right = spark.createDataFrame([("a",), ("b",)], "header string"), spark.createDataFrame([(5, "a"), (3, "a")], "row_id long, header string")
     assert {r.header: r.found_row for r in groups.lookup(left, right, "header").collect()} == {"a": 3, "b": None}
+
+
+def test_order_statistics_by_sorting(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(np.concatenate([rng.normal(size=3000), np.full(2000, 0.25), rng.exponential(1e6, 500)]), 3)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(6)
+    ranks = [1, 2, 700, 2750, 4000, 5499, 5500]
+    assert sampling.order_statistics(df, "v", ranks, few=50) == [float(np.sort(x)[k - 1]) for k in ranks]
+
+
+def test_ranks_in_a_hot_group(spark):
+    rows = spark.range(3000).select((F.col("id") * 13 % 3001).alias("row_id"), F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 7 > 0, F.concat(F.lit("s"), F.col("id") % 5)).alias("species")).repartition(5)
+    plain = {}
+    for r in rows.collect():
+        plain.setdefault(r.species, []).append(r.row_id)
+    want = {x: sorted(v)[i - 1] for v in plain.values() for i, x in enumerate(sorted(v))}
+    assert {r.row_id: r.partner for r in groups.shift_partner(rows).collect()} == want
+    pairs = groups.scramble_pairs(rows, 3).collect()
+    for s, v in plain.items():
+        if s is not None:
+            got = [(r.hk, r.rr) for r in pairs if r.species == s]
+            assert sorted(a for a, _ in got) == sorted(b for _, b in got) == sorted(v)
