@@ -9,33 +9,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from pairloom.operators.sampling import first_n
+from pairloom.storage import materialize
 
+#: Vectors in a block, and cells that the space is cut into.
+BLOCK, PIVOTS = 4096, 64
 
-def nearest(query: DataFrame, reference: DataFrame, exclude_self: bool = True) -> DataFrame:
-    """(vec_id, distance): Euclidean distance to the nearest reference vector, exact.
 
-    Reference blocks of BLOCK vectors meet query blocks one by one, each pair of blocks a task of its own.
-    """
+def _vectors(col: pa.Array) -> np.ndarray:
+    """A row for each list of an array column without nulls."""
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
+
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        n = df.count()
-        parts = max(1, -(-n // BLOCK))
-        b = df.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-        return b.groupBy("b").agg(F.collect_list("vec_id").alias(f"{name}_id"), F.flatten(F.collect_list("embedding")).alias(f"{name}_x")).withColumnRenamed("b", f"{name}_b")
+def _to_pivots(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(vec_id, embedding, cell, gaps): the nearest pivot, and the distances to all of them."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = _distances(_vectors(b.column("embedding")), pivots)
+                gaps = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1, dtype=np.int32) * d.shape[1]), pa.array(d.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(d.argmin(axis=1)), gaps], ["vec_id", "embedding", "cell", "gaps"])
+
+    return df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(go, "vec_id long, embedding array<double>, cell long, gaps array<double>")
+
+
+def _blocks(df: DataFrame, name: str) -> DataFrame:
+    """Rows (cell, vec_id, embedding) as blocks of about BLOCK in each cell."""
+    n = {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}  # a row for each cell
+    parts = F.element_at(F.array(*[F.lit(max(1, -(-n.get(c, 0) // BLOCK))) for c in range(PIVOTS)]), (F.col("cell") + 1).cast("int"))
+    b = df.select("cell", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), parts).alias("b"))
+    return b.groupBy("cell", "b").agg(F.collect_list("vec_id").alias(f"{name}_id"), F.flatten(F.collect_list("embedding")).alias(f"{name}_x")).drop("b")
+
+
+def _least(query: DataFrame, reference: DataFrame, exclude_self: bool) -> DataFrame:
+    """(vec_id, distance): the least distance of each query row to reference rows of the cells that it is listed with."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                q, r = (np.asarray(row[k], dtype=np.float64).reshape(len(row[i]), -1) for k, i in (("q_x", "q_id"), ("r_x", "r_id")))
-                qi, ri = np.asarray(row["q_id"]), np.asarray(row["r_id"])
-                d = np.maximum((q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * q @ r.T, 0)
+            for k in range(batch.num_rows):
+                qi, q, ri, r = (batch.column(c)[k].values.to_numpy() for c in ("q_id", "q_x", "r_id", "r_x"))
+                d = _distances(q.reshape(len(qi), -1), r.reshape(len(ri), -1))
                 if exclude_self:
                     d[qi[:, None] == ri[None, :]] = np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(np.sqrt(d.min(axis=1)))], ["vec_id", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(d.min(axis=1))], ["vec_id", "distance"])
+
+    pairs = _blocks(query, "q").join(_blocks(reference, "r"), "cell").select("q_id", "q_x", "r_id", "r_x")
+    return pairs.mapInArrow(go, "vec_id long, distance double").groupBy("vec_id").agg(F.min("distance").alias("distance"))
 
-    grid = blocks(query, "q").crossJoin(blocks(reference, "r"))  # of blocks, not of rows
-    return grid.mapInArrow(go, "vec_id long, distance double").groupBy("vec_id").agg(F.min("distance").alias("distance"))
+
+def nearest(query: DataFrame, reference: DataFrame, exclude_self: bool = True) -> DataFrame:
+    """(vec_id, distance): Euclidean distance to the nearest reference vector, exact.
+
+    Reference vectors belong to the cell of their nearest pivot (PIVOTS of them, drawn by seed). A query looks
+    into its own cell first; what it finds rules out cells that lie farther away, by the triangle inequality.
+    Blocks of vectors meet within cells only. Without a reference vector, a query is left out.
+    """
+    spark = query.sparkSession
+    seeds = first_n(reference.select(F.col("vec_id").alias("row_id"), "embedding"), PIVOTS, 1).orderBy("row_id").collect()  # PIVOTS rows
+    if not seeds:
+        return spark.createDataFrame([], "vec_id long, distance double")
+    pivots = np.array([r["embedding"] for r in seeds], dtype=np.float64)
+    ref = materialize(_to_pivots(reference, pivots).select("vec_id", "embedding", "cell", F.element_at("gaps", (F.col("cell") + 1).cast("int")).alias("gap")), "cells")
+    reach = {r["cell"]: r["reach"] for r in ref.groupBy("cell").agg(F.max("gap").alias("reach")).collect()}  # a row for each cell
+    radius = F.array(*[F.lit(reach.get(c)).cast("double") for c in range(len(pivots))])
+    q = materialize(_to_pivots(query, pivots), "queries")
+    own = materialize(_least(q, ref, exclude_self), "own_cell")
+    found = q.join(own, "vec_id", "left").withColumn("distance", F.coalesce("distance", F.lit(float("inf"))))
+    # rounding may make a distance a little too large or small, so a cell is ruled out with a margin only
+    near = lambda g, i: F.when((i != F.col("cell")) & (g - F.get(radius, i) <= F.col("distance") * (1 + 1e-9) + 1e-9), i.cast("long"))
+    more = found.select("vec_id", "embedding", F.explode(F.filter(F.transform("gaps", near), lambda c: c.isNotNull())).alias("cell"))
+    return own.unionByName(_least(more, ref, exclude_self)).groupBy("vec_id").agg(F.min("distance").alias("distance")).filter("distance < double('infinity')")
 
 
 def coverage(real: DataFrame, generated: DataFrame, factor: float = 3.0) -> DataFrame:
