@@ -8,6 +8,7 @@ enough, not if it meets every rule.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from pairloom.llm import kernels as K
 from pairloom.llm.common import arrow_batches, boxed, materialize, unboxed
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stops", "n_shouts", "n_other")
+#: Bytes of text that are looked at together.
+_PIECE = 1 << 20
 _table = np.zeros(256, bool)
 
 
@@ -35,50 +38,74 @@ _LETTER = _flags([*range(65, 91), *range(97, 123)])
 _STOP, _SHOUT = _flags(b".!?:;\"'"), _flags(b"!")
 
 
-def _per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
-    return np.diff(np.append(0, np.cumsum(flags))[off])
+def _line_sums(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """By line: words, their code points, symbols, capitals, letters, shouts, bytes that begin other scripts, and the last byte of its last word (0: none)."""
+    starts, ends, at = K.words(data, off)
+    per = lambda flags: np.diff(np.append(0, np.cumsum(flags, dtype=np.int64))[off])
+    two = np.zeros(len(data), bool)  # Latin letters of two bytes; the capitals are C3 80 .. C3 9E
+    two[:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80)
+    big = two.copy()
+    big[:-1] &= data[1:] <= 0x9E
+    n = np.diff(at)
+    last = np.zeros(len(n), np.uint8)
+    last[n > 0] = data[ends[at[1:][n > 0] - 1] - 1]
+    return [n, per(~K._IS_SPACE[data] & ((data & 0xC0) != 0x80)), per(_SYMBOL[data]), per(_UPPER[data] | big), per(_LETTER[data] | two), per(_SHOUT[data]), per(data >= 0xC8), last]
+
+
+def _line_hash(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return K.segment_hash(np.where(data == 10, K.U(0), K._BYTE[data]), off[:-1])
+
+
+def _lines(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """_line_sums and a hash of each line; lines go by in groups, and a very long one in pieces, so little is held beside the text."""
+    sums, hashes = [], []
+    for x, y in K.chunks(off, _PIECE):
+        part, o = data[off[x] : off[y]], off[x : y + 1] - off[x]
+        if len(part) <= _PIECE or y - x > 1:
+            sums.append(_line_sums(part, o))
+            hashes.append(_line_hash(part, o))
+            continue
+        total = [np.zeros(1, np.int64) for _ in range(7)] + [np.zeros(1, np.uint8)]
+        for _, a, z in K.pieces(part, o, _PIECE):
+            now = _line_sums(part[a:z], np.array([0, z - a]))
+            total = [t + u for t, u in zip(total[:7], now[:7])] + [now[7] if now[7][0] else total[7]]
+        sums.append(total)
+        whole = part[:-1] if part[-1] == 10 else part  # longer lines than _PIECE have a hash of their own kind
+        hashes.append(np.frombuffer(hashlib.blake2b(whole.tobytes(), digest_size=8).digest(), np.uint64))
+    return [np.concatenate(c) for c in zip(*sums)] if sums else [np.zeros(0, np.int64)] * 8, np.concatenate(hashes or [np.zeros(0, np.uint64)])
 
 
 def measure(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     """FEATURES of each row of UTF-8 text."""
     rows = len(off) - 1
-    starts, _, at = K.words(data, off)
-    row = np.repeat(np.arange(rows, dtype=np.uint64), np.diff(at))
-    n_words = np.diff(at)
-    solid = ~K._IS_SPACE[data]
-    n_chars = _per_row(solid & ((data & 0xC0) != 0x80), off)
     # lines: from each row's start and after each line feed
     feed = np.flatnonzero(data == 10) + 1
     heads = np.unique(np.concatenate((off[:-1][np.diff(off) > 0], feed[feed < len(data)])))
     line_row = np.searchsorted(off, heads, side="right") - 1
-    full = np.diff(np.append(np.searchsorted(starts, heads), len(starts))) > 0
-    h = K.segment_hash(np.where(data == 10, K.U(0), K._BYTE[data]), heads)
+    (n, chars, symbols, upper, letters, shouts, other, last), h = _lines(data, np.append(heads, len(data)))
+    per = lambda c: np.bincount(line_row, weights=c, minlength=rows).astype(np.int64)
+    full = n > 0
     key = K.mix(h[full] ^ (line_row[full].astype(np.uint64) * K._BASE))
     n_lines = np.bincount(line_row[full], minlength=rows)
     n_dup = n_lines - np.bincount(line_row[full][np.unique(key, return_index=True)[1]], minlength=rows)
-    # last solid byte of each line: does it end a sentence?
-    ends = np.append(heads[1:], len(data))
-    last_word = np.searchsorted(starts, ends) - 1
-    wend = K.words(data, off)[1]
-    n_stop = np.bincount(line_row[full][_STOP[data[wend[last_word[full]] - 1]]], minlength=rows) if full.any() else np.zeros(rows, int)
+    n_stop = np.bincount(line_row[full][_STOP[last[full]]], minlength=rows)
     # words in 3-word windows that occur twice in the row
     repeat = np.zeros(rows, np.int64)
-    if len(starts) >= 3:
-        g = K.rolling(K.word_hashes(data, starts), 3)
+    words, at = K.row_words(data, off)
+    if len(words) >= 3:
+        g = K.rolling(words, 3)
+        row = np.repeat(np.arange(rows, dtype=np.uint64), np.diff(at))
         inside = np.flatnonzero(row[2:] == row[:-2])
-        if len(inside):
-            _, back, count = np.unique(K.mix(g[inside] ^ (row[inside] * K._BASE)), return_inverse=True, return_counts=True)
-            twice = inside[count[back] > 1]
-            hit = np.zeros(len(starts), bool)
+        keys = K.mix(g[inside] ^ (row[inside] * K._BASE))
+        ordered = np.sort(keys)
+        again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if len(again):
+            twice = inside[again[np.minimum(np.searchsorted(again, keys), len(again) - 1)] == keys]
+            hit = np.zeros(len(words), bool)
             for j in range(3):
                 hit[twice + j] = True
-            repeat = _per_row(hit, at)
-    upper, letter = _UPPER[data], _LETTER[data]
-    two = np.zeros(len(data), bool)  # Latin letters of two bytes; the capitals are C3 80 .. C3 9E
-    two[:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80)
-    big = two.copy()
-    big[:-1] &= data[1:] <= 0x9E
-    return [n_words, n_chars, _per_row(_SYMBOL[data], off), n_dup, repeat, n_lines, _per_row(upper | big, off), _per_row(letter | two, off), n_stop, _per_row(_SHOUT[data], off), _per_row(data >= 0xC8, off)]
+            repeat = np.diff(np.append(0, np.cumsum(hit))[at])
+    return [per(n), per(chars), per(symbols), n_dup, repeat, n_lines, per(upper), per(letters), n_stop, per(shouts), per(other)]
 
 
 def with_features(docs: DataFrame, carry: list[str]) -> DataFrame:
