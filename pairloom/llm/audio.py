@@ -216,7 +216,7 @@ def read_media(media: DataFrame, tail: int = 16, rate: int | None = None) -> Dat
         kinds = [pa.binary(), pa.int64(), pa.string(), pa.binary()]
         for b in batches:
             off = K.column_bytes(b.column("media"))[1]
-            for x, y in K.chunks(off, 1 << 18):  # resampled samples take several times the bytes
+            for x, y in K.chunks(off, 1 << 20):  # ADPCM blocks of so many files are decoded together
                 part = b.slice(x, y - x)
                 raw = part.column("media").to_pylist()
                 files = [read_wav(m) for m in raw if m is not None]
