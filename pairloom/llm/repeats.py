@@ -162,21 +162,37 @@ def windows_of(marked: DataFrame, unit: Unit) -> DataFrame:
 
 
 def contexts_of(marked: DataFrame, unit: Unit) -> DataFrame:
-    """(m, rid, p, n, c, ctx): the bytes that the n windows from p on cover, for each contested run."""
+    """(lead, m, rid, p, n, a, ctx): the bytes, or word hashes of 8 bytes each, that the n windows from p on cover, for each contested run.
+
+    The anchor (the gram of hash m) starts at unit a of ctx; lead are its first 8 bytes (of words: m). A run in
+    which the anchor occurs again is cut, so that a is the first occurrence in each of the n windows.
+    """
+    wide = 1 if unit.kind == "byte" else 8
 
     def go(batches):
         for b in batches:
             rid = b.column("rid").to_numpy(zero_copy_only=False)
-            for _, data, row, start, first, n, m, c in _contested_chunks(b, unit):
-                for a in range(0, len(n), 4096):
-                    s = slice(a, a + 4096)
-                    size = n[s] + unit.length - 1
-                    at, _i = _spread(first[s], size)
-                    off = pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32))
-                    ctx = pa.Array.from_buffers(pa.binary(), len(size), [None, off, pa.py_buffer(data[at])])
-                    yield pa.RecordBatch.from_arrays([pa.array(m[s]), pa.array(rid[row[s]]), pa.array(start[s]), pa.array(n[s]), pa.array(c[s]), ctx], ["m", "rid", "p", "n", "c", "ctx"])
-
-    return marked.mapInArrow(go, "m long, rid long, p long, n long, c long, ctx binary")
+            for h, data, row, start, first, n, m, _c in _contested_chunks(b, unit):
+                gram = _signed(K.rolling(h, unit.gram))
+                for x in range(0, len(n), 4096):
+                    s = slice(x, x + 4096)
+                    at, i = _spread(first[s], n[s] + unit.length - unit.gram)
+                    hit = np.flatnonzero(gram[at] == m[s][i])
+                    i, o = i[hit] + x, at[hit]
+                    again = np.append(False, i[1:] == i[:-1])
+                    begin = np.where(again, np.append(0, o[:-1]) + 1, first[i])
+                    size = np.minimum(o, first[i] + n[i] - 1) - begin + 1
+                    i, o, begin, size = (z[size > 0] for z in (i, o, begin, size))
+                    at, _i = _spread(begin, size + unit.length - 1)
+                    off = pa.py_buffer((wide * np.append(0, np.cumsum(size + unit.length - 1))).astype(np.int32))
+                    ctx = pa.Array.from_buffers(pa.binary(), len(size), [None, off, pa.py_buffer((data if wide == 1 else h)[at])])
+                    lead = np.zeros(len(o), np.int64) if wide == 1 else m[i]
+                    for j in range(8 if wide == 1 else 0):
+                        lead = (lead << 8) | data[o + j]
+                    cols = (lead, m[i], rid[row[i]], start[i] + begin - first[i], size, o - begin)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(z) for z in cols), ctx], ["lead", "m", "rid", "p", "n", "a", "ctx"])
+
+    return marked.mapInArrow(go, "lead long, m long, rid long, p long, n long, a long, ctx binary")
 
 
 def by_document(docs: DataFrame, spans: DataFrame) -> DataFrame:

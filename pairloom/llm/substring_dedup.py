@@ -1,15 +1,19 @@
-"""Substring dedup by anchored window hashing (operator 5), in place of relative Lempel-Ziv factors.
-
-There is no reference text, no index over one and no greedy parsing. All windows of `length` words of the corpus
-that share an anchor (their least gram hash) meet in one group, as runs of neighbouring windows. Equal
-runs are found by a group-by on (anchor, run hash); where a group holds several variants, its windows
-are compared one by one by (anchor, window hash). A window that starts earlier too, in order of
-(document, start), is a duplicate span; a greedy factor of `length` words or more is a chain of such
-windows. All windows are compared, so the result is that of brute force, as long as no two hashes of 64 bits collide.
+"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks (operator 5).
+
+Parsing every document against every block of the corpus would be quadratic, so blocks are made such that
+a document meets those only that can hold its strings: equal strings of `length` words share their least
+gram (kernels.Runs), so each such anchor names a reference block, the texts around its occurrences. Texts that are equal as a
+whole run of strings are settled by a group-by first: only the earliest is kept in the block. The others
+are parsed greedily, in order of document and place, against the index of those before them (_factors);
+factors of `length` words or more are duplicate spans, and strings across a factor's end are looked up one
+by one. A string that starts earlier anywhere in the corpus does so in its own block, so the result is that of
+brute force. Words are compared as 64-bit hashes, all `length` of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,21 +26,88 @@ from pairloom.llm.common import keyed, materialize, release
 _OUT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,length:long>>"
 
 
-def factor_spans(docs: DataFrame, unit: R.Unit) -> DataFrame:
+#: Variants of one anchor that one task factors; those of a commoner anchor are compared by (anchor, window hash) in an aggregation.
+HOT_VARIANTS = 20_000
+
+
+def _factors(words: list[np.ndarray], windows: list[np.ndarray], a: list[int], n: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    """(text, first window, windows) of the factors of each text of a reference block against those before it.
+
+    The block's index names each string of `length` words by its hash and its place from the anchor. A text is
+    parsed greedily: a string that the index knows is compared word by word and extended as far as both
+    texts agree; then the parse goes on at the first string that reaches over the factor's end, so none is missed.
+    """
+    index: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, (w, h) in enumerate(zip(words, windows)):
+        q, hashes = 0, h.tolist()
+        while q < n[i]:
+            found = index.get((a[i] - q, hashes[q]))
+            if found is None:
+                index[a[i] - q, hashes[q]] = (i, q)
+                q += 1
+                continue
+            x, y = w[q:], words[found[0]][found[1] :]
+            size = min(len(x), len(y))
+            other = np.flatnonzero(x[:size] != y[:size])
+            reach = int(other[0]) if len(other) else size
+            if reach < length:  # equal hashes of different words
+                q += 1
+                continue
+            inside = min(reach - length + 1, n[i] - q)
+            yield i, q, inside
+            q += inside
+
+
+def _parse(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows (m, rid, p, n, a, ctx), sorted by (m, rid, p), to spans (rid, pack) of strings that stand earlier in their block."""
+    rids, packs, held, last = [], [], [], None
+
+    def close() -> None:
+        if len(held) > 1:
+            rid, p, n, a, words = zip(*held)
+            cut = np.append(0, np.cumsum([len(w) for w in words]))
+            h = K.rolling(np.concatenate(words), length)
+            for i, first, size in _factors(words, [h[x : x + k] for x, k in zip(cut[:-1].tolist(), n)], a, n, length):
+                rids.append(rid[i])
+                packs.append(R.pack(p[i] + first, size))
+
+    for b in batches:
+        data, off = K.column_bytes(b.column("ctx"))
+        m, rid, p, n, a = (b.column(k).to_numpy().tolist() for k in ("m", "rid", "p", "n", "a"))
+        for i, (x, y) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+            if m[i] != last:
+                close()
+                held, last = [], m[i]
+            held.append((rid[i], p[i], n[i], a[i], data[x:y].view(np.uint64)))
+        if len(rids) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(packs, pa.int64())], ["rid", "pack"])
+            rids.clear()
+            packs.clear()
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(packs, pa.int64())], ["rid", "pack"])
+
+
+def factor_spans(docs: DataFrame, unit: R.Unit, hot_variants: int = HOT_VARIANTS) -> DataFrame:
     """(rid, pack) of all windows whose content also starts earlier."""
     cand = R.candidates(docs, unit)
     cls = R.classes(cand)
     again = cand.join(cls.filter("c > 1").select("m", "r", "f"), ["m", "r"]).filter("rid <> f.rid OR pack <> f.pack").select("rid", "pack")
-    win = materialize(R.windows_of(R.contested(docs, cls), unit), "windows")
-    firsts = win.groupBy("m", "w").agg(F.min(F.struct("rid", "p")).alias("f"), F.count("*").alias("k")).filter("k > 1").select("m", "w", "f")
-    single = win.join(firsts, ["m", "w"]).filter("rid <> f.rid OR p <> f.p").select("rid", (F.shiftleft("p", R._SHIFT) + 2).alias("pack"))
-    spans = materialize(again.unionByName(single), "spans")
-    for x in (cand, cls, win):
+    hot = cls.filter("multi").groupBy("m").count().filter(F.col("count") > hot_variants).select("m", F.lit(True).alias("hot"))
+    marked = cls.filter("multi").join(hot, "m", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    ctx = materialize(R.contexts_of(R.contested(docs, marked.filter("NOT hot")), unit).drop("lead"), "contexts")
+    parsed = ctx.repartition("m").sortWithinPartitions("m", "rid", "p").mapInArrow(lambda it: _parse(it, unit.length), "rid long, pack long")
+    parts = again.unionByName(parsed)
+    if hot.limit(1).count():
+        win = materialize(R.windows_of(R.contested(docs, marked.filter("hot")), unit), "windows")
+        firsts = win.groupBy("m", "w").agg(F.min(F.struct("rid", "p")).alias("f"), F.count("*").alias("k")).filter("k > 1").select("m", "w", "f")
+        parts = parts.unionByName(win.join(firsts, ["m", "w"]).filter("rid <> f.rid OR p <> f.p").select("rid", (F.shiftleft("p", R._SHIFT) + 2).alias("pack")))
+    spans = materialize(parts, "spans")
+    for x in (cand, cls, ctx):
         release(x)
     return spans
 
 
-def dedup_substrings(docs: DataFrame, length: int = 20, gram: int = 5) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 20, gram: int = 5, hot_variants: int = HOT_VARIANTS) -> DataFrame:
     """Removes every word covered by a window of `length` words that also starts earlier.
 
     Earlier: in a document of smaller doc_id (null first), or in the same document at a smaller start.
@@ -48,7 +119,7 @@ def dedup_substrings(docs: DataFrame, length: int = 20, gram: int = 5) -> DataFr
     R.prepare(docs)
     unit = R.Unit("word", length, gram)
     docs = keyed(docs.select("doc_id", "text"))
-    spans = factor_spans(docs, unit)
+    spans = factor_spans(docs, unit, hot_variants)
 
     def cut(batches):
         for b in batches:

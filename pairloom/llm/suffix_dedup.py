@@ -1,12 +1,15 @@
-"""Dedup of byte strings by anchored window hashing and bucket sorts (operator 9), in place of a suffix array.
-
-Suffixes are never put in lexicographic order. Strings are taken at content-defined anchors (kernels.Runs), which
-equal strings share. Runs of equal content are resolved by a group-by on their hash. The rest, one
-run of each variant with the bytes around it, is range-partitioned by the anchor's hash (sampled
-splitters), so equal anchors never straddle buckets; each bucket sorts its strings by (anchor, leading 8
-bytes, hash of the whole string), and neighbours that agree throughout are repeats. Buckets are read in
-pieces; a piece ends between anchors, and what lies across the end of a batch is carried into the next.
-Anchors with very many variants would make one task long: their windows go through a hash
+"""Dedup of byte strings by sparse suffix sorting (operator 9).
+
+A suffix array of every byte would take hundreds of times the text, since each suffix carries its leading
+400 bytes. So suffixes are taken at content-defined anchors only (kernels.Runs), which equal strings share
+at equal places. Runs of strings that are equal as a whole are first resolved by a group-by on their
+hash. Of the rest, one run of each variant with the bytes around it, suffixes that start at the anchor
+are range-partitioned by their leading bytes (sampled splitters). Buckets put the suffixes of an anchor in
+lexicographic order by multikey quicksort, and the reversed ones that end there too; what neighbours
+share tells which strings around the anchor stand in another place (_block). Bytes are compared, not hashes.
+No comparison across bucket boundaries is left: suffixes that agree in their anchor (24 bytes, its hash)
+never straddle one, and others hold no common string.
+Anchors with very many variants would make one task long: their strings go through a hash
 aggregation over (anchor, string) instead, which splits at will.
 """
 
@@ -23,62 +26,128 @@ from pairloom.llm.common import keyed, materialize, release
 
 #: More variants than this of one anchor are compared by aggregation.
 HOT_VARIANTS = 20_000
-#: Context bytes that are sorted at once.
-_PIECE = 2 << 20
-
-
-def _repeats_in(m: np.ndarray, data: np.ndarray, off: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
-    """Flags by window, of all contexts in order: whether its string stands at two places or more."""
-    at, i = R._spread(off[:-1], n)
-    win = K.rolling(K.byte_hashes(data), length)[at]
-    lead = np.zeros(len(at), np.uint64)
-    for j in range(8):
-        lead = (lead << K.U(8)) | data[at + j]
-    anchor = m[i]
-    order = np.argsort(win, kind="stable")  # the last key first; equal strings only need to be neighbours
-    order = order[np.lexsort((lead[order], anchor[order]))]
-    same = (anchor[order][1:] == anchor[order][:-1]) & (lead[order][1:] == lead[order][:-1]) & (win[order][1:] == win[order][:-1])
-    out = np.zeros(len(at), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+
+
+def multikey_order(words: np.ndarray) -> np.ndarray:
+    """Rows of words (a row of 8-byte keys each) in order: multikey quicksort, only what ties on one key is sorted by the next."""
+    order = np.argsort(words[:, 0], kind="stable")
+    new = np.append(True, words[order[1:], 0] != words[order[:-1], 0])
+    for k in range(1, words.shape[1]):
+        tied = np.flatnonzero(~new | np.append(~new[1:], False))
+        if not len(tied):
+            break
+        group = np.cumsum(new)[tied]
+        own = words[order[tied], k]
+        sub = np.lexsort((own, group))
+        order[tied] = order[tied[sub]]
+        own, group = own[sub], group[sub]
+        new[tied[1:]] |= (own[1:] != own[:-1]) | (group[1:] != group[:-1])
+    return order
+
+
+def _sorted_suffixes(parts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each part in lexicographic order, and what each shares with the one before it in that order."""
+    wide = -(-width // 8) * 8
+    m = np.zeros((len(parts), wide), np.uint8)
+    for i, x in enumerate(parts):
+        m[i, : len(x)] = x
+    order = multikey_order(m.view(">u8"))
+    m = m[order]
+    shared = np.zeros(len(parts), np.int64)
+    for x in range(1, len(m), 4096):
+        other = m[x : x + 4096] != m[x - 1 : x + 4095][: len(m[x : x + 4096])]
+        shared[x : x + 4096] = np.where(other.any(axis=1), other.argmax(axis=1), wide)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place, shared
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    n = min(len(x), len(y))
+    other = np.flatnonzero(x[:n] != y[:n])
+    return int(other[0]) if len(other) else n
+
+
+def _block(ctx: list[np.ndarray], a: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(context, first window, windows) of strings that stand in another context too; contexts have one anchor, at byte a.
+
+    A string with k bytes before the anchor repeats if another context agrees in k bytes to the left and in
+    length - k from the anchor on: suffixes that start at the anchor are sorted, and so are the reversed
+    ones that end there; what neighbours share says which contexts agree so far.
+    """
+    low, high = a - n + 1, a  # the bytes before the anchor in a context's last and first window
+    lefts, rights = [c[:x][::-1] for c, x in zip(ctx, a.tolist())], [c[x:] for c, x in zip(ctx, a.tolist())]
+    v = len(ctx)
+    out = []
+    if v < 12:
+        hit: list[list[tuple[int, int]]] = [[] for _ in range(v)]
+        for i in range(v):
+            for j in range(i):
+                lo, hi = max(low[i], low[j], length - _common(rights[i], rights[j])), min(high[i], high[j])
+                if lo <= hi:
+                    hi = min(hi, _common(lefts[i], lefts[j]))
+                    if lo <= hi:
+                        hit[i].append((int(lo), int(hi)))
+                        hit[j].append((int(lo), int(hi)))
+        for i, spans in enumerate(hit):
+            end = None
+            for lo, hi in sorted(spans):
+                if end is not None and lo <= end + 1:
+                    end = max(end, hi)
+                else:
+                    if end is not None:
+                        out.append((i, int(a[i]) - end, end - start + 1))
+                    start, end = lo, hi
+            if end is not None:
+                out.append((i, int(a[i]) - end, end - start + 1))
+        return out
+    (pr, sr), (pl, sl) = _sorted_suffixes(rights, length), _sorted_suffixes(lefts, length)
+    least = int(low.min())
+    flags = np.zeros((v, int(high.max()) - least + 2), bool)
+    for k in range(least, int(high.max()) + 1):
+        here = np.flatnonzero((low <= k) & (k <= high))
+        key = np.cumsum(sr < length - k)[pr[here]] * (v + 1) + np.cumsum(sl < k)[pl[here]]
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        twice = np.append(same, False) | np.append(False, same)
+        flags[here[order[twice]], k - least] = True
+    edge = np.diff(flags.astype(np.int8), axis=1, prepend=0)
+    i, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1]
+    return [(int(r), int(a[r]) - (least + y - 1), y - x) for r, x, y in zip(i.tolist(), first.tolist(), last.tolist())]
 
 
 def _bucket_sort(batches, length: int):
-    """Sorted batches of (m, rid, p, n, c, ctx), by m, to spans (rid, pack) of repeated windows."""
-
-    def piece(t: pa.Table):
-        data, off = K.column_bytes(t.column("ctx"))
-        m, rid, p, n = (t.column(k).to_numpy() for k in ("m", "rid", "p", "n"))
-        hit = _repeats_in(m, data, off, n, length)
-        starts, i = R._spread(p, n)
-        edge = hit.copy()
-        edge[1:] &= ~(hit[:-1] & (i[1:] == i[:-1]))
-        head = np.flatnonzero(edge)
-        total = np.append(0, np.cumsum(hit))
-        size = total[np.append(head[1:], len(hit))] - total[head] if len(head) else head
-        return pa.RecordBatch.from_arrays([pa.array(rid[i[head]]), pa.array(R.pack(starts[head], size))], ["rid", "pack"])
-
-    held: list[pa.RecordBatch] = []
-    last, weight = None, 0
+    """Rows (lead, m, rid, p, n, a, ctx), sorted by (lead, m), to spans (rid, pack) of repeated windows.
+
+    A block of one anchor is held; it ends where lead or m changes, also across batches.
+    """
+    rids, packs = [], []
+
+    def close(held: list[tuple[np.ndarray, ...]]) -> None:
+        if len(held) > 1:
+            rid, p, n, a = (np.array(c) for c in zip(*(h[:4] for h in held)))
+            for i, first, size in _block([h[4] for h in held], a, n, length):
+                rids.append(int(rid[i]))
+                packs.append(R.pack(int(p[i]) + first, size))
+
+    held, last = [], None
     for b in batches:
         if not b.num_rows:
             continue
-        m = b.column("m").to_numpy()
-        cuts = np.append(0, np.append(np.flatnonzero(m[1:] != m[:-1]) + 1, len(m)))
-        data_off = K.column_bytes(b.column("ctx"))[1]
-        x = 0
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if weight + data_off[lo] - data_off[x] >= _PIECE and (lo > x or held) and (lo > 0 or m[0] != last):
-                if lo > x:
-                    held.append(b.slice(x, lo - x))
-                yield piece(pa.Table.from_batches(held))
-                held, weight, x = [], 0, lo
-        held.append(b.slice(x))
-        weight += int(data_off[-1] - data_off[x])
-        last = m[-1]
-    if held:
-        yield piece(pa.Table.from_batches(held))
+        data, off = K.column_bytes(b.column("ctx"))
+        lead, m, rid, p, n, a = (b.column(k).to_numpy().tolist() for k in ("lead", "m", "rid", "p", "n", "a"))
+        for i, (x, y) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+            if (lead[i], m[i]) != last:
+                close(held)
+                held, last = [], (lead[i], m[i])
+            held.append((rid[i], p[i], n[i], a[i], data[x:y]))
+        if len(rids) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(packs, pa.int64())], ["rid", "pack"])
+            rids.clear()
+            packs.clear()
+    close(held)
+    yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(packs, pa.int64())], ["rid", "pack"])
 
 
 def repeated_spans(docs: DataFrame, unit: R.Unit, hot_variants: int) -> DataFrame:
@@ -89,7 +158,7 @@ def repeated_spans(docs: DataFrame, unit: R.Unit, hot_variants: int) -> DataFram
     hot = cls.filter("multi").groupBy("m").count().filter(F.col("count") > hot_variants).select("m")
     marked = cls.join(hot.withColumn("hot", F.lit(True)), "m", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     ctx = materialize(R.contexts_of(R.contested(docs, marked.filter("NOT hot")), unit), "contexts")
-    near = ctx.repartitionByRange("m").sortWithinPartitions("m").mapInArrow(lambda it: _bucket_sort(it, unit.length), "rid long, pack long")
+    near = ctx.repartitionByRange("lead", "m").sortWithinPartitions("lead", "m").mapInArrow(lambda it: _bucket_sort(it, unit.length), "rid long, pack long")
     parts = whole.unionByName(near)
     if hot.limit(1).count():
         win = materialize(R.windows_of(R.contested(docs, marked.filter("hot")), unit), "windows")
