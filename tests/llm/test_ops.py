@@ -57,6 +57,85 @@ def test_bytes_by_aggregation_of_hot_anchors(spark):
     assert rows(got) == brute.suffix_dedup(plain)
 
 
+def test_words_by_aggregation_of_hot_anchors(spark):
+    d, plain = small(spark)
+    got = substring_dedup.dedup_substrings(d, hot_variants=1).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert rows(got) == brute.substring_dedup(plain)
+
+
+def mixture(rng, n):
+    """Texts that share passages of all lengths, some many times, some within a text."""
+    pool = ["".join(rng.choice(list("abc "), rng.integers(100, 900))) for _ in range(8)]
+    made = []
+    for _ in range(n):
+        parts = [pool[int(rng.integers(0, 8))][int(rng.integers(0, 60)) :] if rng.random() < 0.6 else "".join(rng.choice(list("abcdefgh "), rng.integers(1, 300))) for _ in range(rng.integers(1, 6))]
+        made.append("".join(parts) + ("xy" * int(rng.integers(0, 500)) if rng.random() < 0.1 else ""))
+    return made
+
+
+def test_many_variants_of_an_anchor(spark):
+    texts = mixture(np.random.default_rng(8), 90)
+    plain = list(enumerate(texts))
+    d = docs(spark, [(i, t, "a") for i, t in plain])
+    got = suffix_dedup.dedup_bytes(d).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
+    assert rows(got) == brute.suffix_dedup(plain)
+    got = substring_dedup.dedup_substrings(d).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert rows(got) == brute.substring_dedup(plain)
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """Pieces so small that every text is long; what they cut must not show."""
+    from pairloom.llm import kernels, repeats
+
+    texts = mixture(np.random.default_rng(9), 12)
+    rng = np.random.default_rng(1)
+    long = " ".join(f"w{rng.integers(0, 4000)}" for _ in range(90_000))
+    texts += [long + " end", "start " + long[200_000:], long[:300_000] + "\n" + long[100_000:200_000]]
+    plain = list(enumerate(texts))
+    d = docs(spark, [(i, t, "a") for i, t in plain])
+    data, off = kernels.column_bytes(__import__("pyarrow").array(texts))
+    whole = quality.measure(data, off)
+    monkeypatch.setattr(repeats, "PART", 1 << 14)
+    monkeypatch.setattr(quality, "_PIECE", 1 << 12)
+    for unit in (repeats.Unit("word", 20, 5), repeats.Unit("byte", 400, 24)):
+        seen = sum(int(kernels.Runs(h, at, unit.length, unit.gram).n.sum()) for *_, h, at in unit.parts(data, off))
+        sizes = [len(t.split()) if unit.kind == "word" else len(t) for t in texts]
+        assert seen == sum(max(0, n - unit.length + 1) for n in sizes)
+    assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(whole, quality.measure(data, off)))
+    got = suffix_dedup.dedup_bytes(d).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
+    assert rows(got) == brute.suffix_dedup(plain)
+    got = substring_dedup.dedup_substrings(d).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert rows(got) == brute.substring_dedup(plain)
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(3)
+    m = rng.integers(0, 2, (500, 24)).astype(np.uint8)
+    m[:, 8:16] = m[:1, 8:16]
+    m[100:200] = m[:100]
+    order = suffix_dedup.multikey_order(m.view(">u8"))
+    assert [bytes(x) for x in m[order]] == sorted(bytes(x) for x in m)
+
+
+def test_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([(1, text, "a", 5, {"k": 1}), (2, text, "b", 6, None)], "doc_id long, text string, `_` string, `a``b.c` int, m map<string, int>")
+    for f in (quality.filter_documents, line_dedup.dedup_documents, jaccard_join.keep_one_each, mixing.mixed_documents):
+        out = f(d)
+        assert out.columns == d.columns and {r["_"] for r in out.collect()} <= {"a", "b"}
+    with pytest.raises(ValueError, match="integer"):
+        jaccard_join.group_near_duplicates(spark.createDataFrame([("x", text)], "doc_id string, text string"))
+
+
+def test_any_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer, models
+
+    Tokenizer(models.WordLevel({"a b": 1, "[UNK]": 2, "a": 3}, unk_token="[UNK]")).save(str(tmp_path / "t.json"))
+    assert not packing.by_units(Tokenizer.from_file(str(tmp_path / "t.json"))) and packing.by_units(Tokenizer.from_file(packing.default_tokenizer()))
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in packing.pack(docs(spark, [(1, "a b", "s"), (2, "a", "s"), (3, None, "s")]), tokenizer=str(tmp_path / "t.json")).collect()}
+    assert got[1] == [1, 0] and got[2] == [3, 0]
+
+
 def test_repeated_and_null_ids_are_documents_of_their_own(spark):
     text = " ".join(f"w{i}" for i in range(30))
     d = docs(spark, [(None, text, "a"), (None, text, "a"), (5, text, "b"), (5, text + " z", "b")])
