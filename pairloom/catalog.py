@@ -348,7 +348,14 @@ def species_target_split(spark, d):
     return groups.species_split(a, 5, a.count() // 2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ALN}, s AS (SELECT seq, min(row_id) AS v FROM aln GROUP BY 1), e AS MATERIALIZED (SELECT x.v AS a, y.v AS b FROM s x, s y WHERE {_HAM} <= 1 AND x.v <> y.v
+UNION SELECT row_id, v FROM aln JOIN s USING (seq) WHERE row_id <> v UNION SELECT row_id, min(row_id) OVER (PARTITION BY species) FROM aln WHERE NOT regexp_matches(species, '^[0-9]|UNC|UNK')),
+u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), r(v, c) AS (SELECT row_id, row_id FROM aln UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.v WHERE r.c < u.b),
+m AS MATERIALIZED (SELECT v, min(c) AS c FROM r GROUP BY 1), z AS MATERIALIZED (SELECT c, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, c) AS k FROM m GROUP BY 1),
+t AS (SELECT n * 7 // 10 AS t, n // 5 AS v FROM n),
+g(k, c, ht, hv, split) AS (SELECT 0::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, '' UNION ALL SELECT z.k, z.c, ht + CASE WHEN w = 'train' THEN size ELSE 0 END, hv + CASE WHEN w = 'val' THEN size ELSE 0 END, w
+FROM (SELECT z.k, z.c, z.size, g.ht, g.hv, CASE WHEN ht < t AND (hv >= t.v OR ht * t.v <= hv * t) THEN 'train' WHEN hv < t.v THEN 'val' ELSE 'unused' END AS w FROM g JOIN z ON z.k = g.k + 1, t) z)
+SELECT m.v AS row_id, split FROM m JOIN g ON g.c = m.c WHERE g.k > 0""")
 def grouped_split(spark, d):
     a = alignment(spark, d)
     n = a.count()

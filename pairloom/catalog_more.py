@@ -159,7 +159,7 @@ def pairing_from_start(spark, d):
 def replicate_sweep(spark, d):
     """Mean and deviation of the share of right pairs, by number of known pairs and round."""
     a = alignment(spark, d)
-    out = pairing.sweep(a, WIDTH, LEFT, [10, 50], 2, 6, 2, 1)
+    out = pairing.sweep(a, WIDTH, LEFT, [10, 50], 2, 6, 1, 1)
     return out.groupBy("n_start", "iter").agg(F.avg("tp").alias("tp_mean"), F.stddev_samp("tp").alias("tp_std"))
 
 
