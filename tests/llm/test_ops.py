@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from pairloom.llm import audio, jaccard_join, line_dedup, mixing, packing, quality, queries, substring_dedup, suffix_dedup, url_filter
+from pairloom.llm import audio, common, jaccard_join, line_dedup, mixing, packing, quality, queries, substring_dedup, suffix_dedup, url_filter
 from pairloom.llm.chat_format import format_chats
 
 SF = "/root/testdata/sf0.001"
@@ -480,7 +480,29 @@ def test_pipeline(spark):
     assert {r.doc_id for r in one.collect()} == {c for _, _, c in brute.near_groups(plain, 5, 80, 100)}
     assert one.columns == d.columns
     out = corpus_pipeline.run(spark, SF)
-    assert out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048 and hashlib
+    assert out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    """Nulls, empty and long texts, ties, repeated rows and ids, clashing names."""
+    rng = np.random.default_rng(2)
+    good = [" ".join(f"{w}." if rng.random() < 0.1 else str(w) for w in rng.choice(["river", "stone", "walks", "under", "green", "light", "house", "letter"], 90)) for _ in range(6)]
+    extra = docs(spark, [(None, good[0], "a"), (None, good[0], "a"), (50, good[1], None), (50, good[2], "b"), (51, good[1] + " more", "b"), (52, None, "c")])
+    now = odd[0].unionByName(extra)
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, now, SF)
+        if name != "best-fit packing":
+            assert out.columns == now.columns and dict(out.dtypes) == dict(now.dtypes)
+        if name == "n-gram Jaccard join":
+            ids = [r.doc_id for r in out.collect()]
+            assert ids.count(None) == 1 and ids.count(50) == 2 and 51 not in ids
+        now = common.materialize(out, "odd")
+    assert now.count() > 0
+
+
+def test_empty_fields_in_a_linked_table(spark):
+    t = spark.createDataFrame([(1, None, None, 0), (1, None, None, 0), (None, "http://a.com/de/1", "", 1)], "page_id long, url string, html string, trust int")
+    assert sorted((r.page_id or 0, r.verdict) for r in url_filter.judge_urls(t).collect()) == [(0, "block"), (1, "allow"), (1, "allow")]
 
 
 def test_search_of_a_bucket_dealt_to_several_blocks():
