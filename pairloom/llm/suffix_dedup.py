@@ -26,6 +26,8 @@ from pairloom.llm.common import keyed, materialize, release
 
 #: More variants than this of one anchor are compared by aggregation.
 HOT_VARIANTS = 20_000
+#: Fewer contexts than this are compared in pairs, which takes less time than sorting them; the result is the same.
+FEW = 40
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
@@ -79,7 +81,7 @@ def _block(ctx: list[np.ndarray], a: np.ndarray, n: np.ndarray, length: int) ->
     lefts, rights = [c[:x][::-1] for c, x in zip(ctx, a.tolist())], [c[x:] for c, x in zip(ctx, a.tolist())]
     v = len(ctx)
     out = []
-    if v < 12:
+    if v < FEW:
         hit: list[list[tuple[int, int]]] = [[] for _ in range(v)]
         for i in range(v):
             for j in range(i):
@@ -106,6 +108,8 @@ def _block(ctx: list[np.ndarray], a: np.ndarray, n: np.ndarray, length: int) ->
     flags = np.zeros((v, int(high.max()) - least + 2), bool)
     for k in range(least, int(high.max()) + 1):
         here = np.flatnonzero((low <= k) & (k <= high))
+        if len(here) < 2:
+            continue
         key = np.cumsum(sr < length - k)[pr[here]] * (v + 1) + np.cumsum(sl < k)[pl[here]]
         order = np.argsort(key, kind="stable")
         same = key[order[1:]] == key[order[:-1]]
