@@ -16,6 +16,7 @@ from pairloom.llm.line_dedup import dedup_lines
 from pairloom.llm.mixing import mix
 from pairloom.llm.oracles import ORACLES
 from pairloom.llm.packing import pack
+from pairloom.llm.prefix_trie import build_trie
 from pairloom.llm.quality import judge
 from pairloom.llm.substring_dedup import dedup_substrings
 from pairloom.llm.suffix_dedup import dedup_bytes
@@ -85,6 +86,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     ordered = dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
