@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express, each over the whole tables.
 
-Left out: tokenisation and packing, media features, expectation maximisation, and the pipeline that holds them;
+Left out: tokenisation and packing, media features, expectation maximisation, eigenvectors, the fitted lexicon, and the pipeline;
 tests/llm has plain versions of those.
 """
 
@@ -103,11 +103,11 @@ k AS (SELECT l.doc_id, count(g.i) AS n_removed, string_agg(ls[l.i + 1], chr(10)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END::BIGINT AS n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM a JOIN k USING (doc_id)"""
 
 #: crc32 of a decimal string, bit by bit.
-_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), x -> ascii(x)::BIGINT)), (c, b) -> list_reduce(list_concat([xor(c, b)], range(8)), (y, z) -> xor(y >> 1, (y & 1) * 3988292384))), 4294967295)"
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)"
 OP12 = rf"""WITH a AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
 h AS (SELECT *, {_CRC.format('conv_id::VARCHAR')} % 9 AS h FROM a),
 r AS (SELECT h.conv_id AS c, list_concat(coalesce(b.ts, [])[:h.h], h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN a b ON b.conv_id = h.conv_id - h.conv_id % 5),
-s AS (SELECT c, list_transform(ts, x -> md5(length(x.r) || ':' || x.r || x.t)) AS ks, list_transform(ts, x -> strlen(x.t)) AS bs, len(ts) AS n FROM r),
+s AS (SELECT c, list_transform(ts, lambda x: md5(length(x.r) || ':' || x.r || x.t)) AS ks, list_transform(ts, lambda x: strlen(x.t)) AS bs, len(ts) AS n FROM r),
 p AS MATERIALIZED (SELECT c, d, n, md5(array_to_string(ks[:d], ',')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(ks[:d - 1], ',')) END AS up, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS b FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM s)),
 g AS MATERIALIZED (SELECT k, any_value(d) AS depth, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = n) AS ends FROM p GROUP BY 1),
 kids AS MATERIALIZED (SELECT up AS k, count(*) AS n FROM g GROUP BY 1),

@@ -20,7 +20,9 @@ from pairloom.llm.prefix_trie import build_trie
 from pairloom.llm.quality import judge
 from pairloom.llm.substring_dedup import dedup_substrings
 from pairloom.llm.suffix_dedup import dedup_bytes
+from pairloom.llm.toxicity import judge_toxicity
 from pairloom.llm.url_filter import judge_urls
+from pairloom.llm.whitening import whiten
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +88,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     ordered = dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
