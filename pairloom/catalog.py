@@ -169,7 +169,7 @@ SELECT species, count(*) AS pairs, round(sum(score), 3) + 0.0e0 AS total, round(
 def pair_scores(spark, d):
     a = alignment(spark, d)
     t = dense.pmi_table(a.select("seq", F.lit(1.0).alias("w")), WIDTH, LEFT)
-    s = dense.score_groups(a, lambda c: dense.score_matrix(c, t, LEFT))
+    s = dense.score_groups(a, lambda x, y: dense.score_block(x, y, t), LEFT)
     return s.groupBy("species").agg(F.count("*").alias("pairs"), (F.round(F.sum("score"), 3) + 0.0).alias("total"), (F.round(F.max("score"), 6) + 0.0).alias("best"))
 
 
@@ -313,7 +313,7 @@ def scramble_pairs(spark, d):
 def assign_groups(spark, d):
     a = alignment(spark, d)
     t = dense.pmi_table(a.select("seq", F.lit(1.0).alias("w")), WIDTH, LEFT)
-    return dense.match_groups(a, lambda c: dense.score_matrix(c, t, LEFT), 1)
+    return dense.match_groups(a, lambda x, y: dense.score_block(x, y, t), LEFT, 1)
 
 
 @query(f"""WITH {_FREQ}, h AS (SELECT row_id // 2 AS g, row_id % 2 AS p, substr(seq, 1, {LEFT}) AS l, substr(seq, {LEFT + 1}) AS r FROM aln), hh AS (SELECT * FROM h WHERE g IN (SELECT g FROM h GROUP BY 1 HAVING count(*) = 2)),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.symbols import STATES, codes, hamming
+from pairloom.functions.symbols import STATES, codes
+from pairloom.operators.hamming import near
+from pairloom.storage import materialize
 
 
 def long_form(rows: DataFrame, *keep: str) -> DataFrame:
@@ -13,20 +15,9 @@ def long_form(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def similar_pairs(rows: DataFrame, width: int, most: int) -> DataFrame:
-    """(a, b, d): distinct sequences, a < b, that differ at `most` sites or fewer.
-
-    Sites are cut into most + 1 segments; two such sequences agree on one, which is the join key. A pair
-    counts at the first segment it agrees on, so it comes once and needs no second shuffle.
-    """
-    seqs = rows.select("seq").distinct()
-    cuts = [width * i // (most + 1) for i in range(most + 2)]
-    spans = list(zip(cuts, cuts[1:]))
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("seq", x + 1, y - x).alias("s")) for i, (x, y) in enumerate(spans)])
-    keyed = seqs.select("seq", F.explode(parts).alias("k"))
-    a, b = keyed.withColumnRenamed("seq", "a"), keyed.withColumnRenamed("seq", "b")
-    same = F.array(*[F.substring("a", x + 1, y - x) == F.substring("b", x + 1, y - x) for x, y in spans])
-    pairs = a.join(b, "k").filter("a < b").filter(F.array_position(same, True) == F.col("k.i") + 1).select("a", "b")
-    return pairs.withColumn("d", hamming(F.col("a"), F.col("b"))).filter(F.col("d") <= most)
+    """(a, b, d): distinct sequences, a < b, that differ at `most` sites or fewer. Sequences have one width."""
+    seqs = materialize(rows.select("seq").distinct(), "sequences")  # read four times
+    return near(seqs, seqs, width, most, once=True)
 
 
 def sequence_weights(rows: DataFrame, width: int, most: int) -> DataFrame:
