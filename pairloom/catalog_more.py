@@ -11,7 +11,7 @@ from pairloom.catalog import _ALN, _BOTH, _HAM, _LINE, LEFT, WIDTH, _halves, ali
 from pairloom.functions import symbols as S
 from pairloom.models import evaluate, rbm, train
 from pairloom.operators import dense, geometry, groups, rank, sampling, stats
-from pairloom.plans import pairing
+from pairloom.plans import pairing, sweep
 from pairloom.sources import logs
 
 
@@ -155,11 +155,28 @@ def pairing_from_start(spark, d):
     return pairing.iterate(a, WIDTH, LEFT, max(1, n // 10), 3, seed=2, start=pairing.draw_start(a, n // 5, 2))[1]
 
 
+_SWEEP = f"""WITH {_THREE}, cf AS (SELECT n::INT AS n, r::INT AS r, n * 100003 + r AS seed FROM (VALUES (40), (90)) a(n), range(1, 3) b(r)),
+dr AS (SELECT *, row_number() OVER (PARTITION BY n, r ORDER BY md5(seed || ':' || row_id), row_id) AS k FROM cf, h),
+tr AS (SELECT n, r, row_id, seq FROM dr WHERE k <= n)
+SELECT n AS n_start, r AS replicate, count(*) AS n_train, round(sum(w), 6) AS meff FROM (SELECT x.n, x.r, x.row_id, 1.0 / count(*) AS w FROM tr x JOIN tr y ON x.n = y.n AND x.r = y.r AND hamming(x.seq, y.seq) <= 1 GROUP BY ALL) GROUP BY ALL"""
+
+
+@query(_SWEEP)
+def sweep_training(spark, d):
+    """What the first round of each run of a sweep learns from: its drawn pairs and their effective number."""
+    out = sweep.run(_threes(spark, d), WIDTH, LEFT, [40, 90], 2, 6, 1, 1)
+    return out.select("n_start", "replicate", "n_train", F.round("meff", 6).alias("meff"))
+
+
+#: The published sweep: numbers of known pairs, and replicates of each.
+STARTS, REPLICATES = [1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000], 10
+
+
 @query()
 def replicate_sweep(spark, d):
     """Mean and deviation of the share of right pairs, by number of known pairs and round."""
     a = alignment(spark, d)
-    out = pairing.sweep(a, WIDTH, LEFT, [10, 50], 2, 6, 1, 1)
+    out = pairing.sweep(a, WIDTH, LEFT, STARTS, REPLICATES, 6, 1, 1)
     return out.groupBy("n_start", "iter").agg(F.avg("tp").alias("tp_mean"), F.stddev_samp("tp").alias("tp_std"))
 
 

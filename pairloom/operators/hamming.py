@@ -1,59 +1,67 @@
-"""Pairs of sequences that differ at few sites: multi-index hashing over packed codes.
+"""Pairs of sequences that differ at few sites: multi-index hashing.
 
 Sites are dealt into most + 1 segments; two sequences that differ at `most` sites or fewer agree on a whole segment,
 so segments are the join keys. Which site goes to which segment follows from the sites' entropies, measured on the table: each
 segment gets a like share, so none is made of gaps and conserved sites alone. A segment value that very many
-sequences have is split into blocks, each pair of which is a join key of its own, so no task meets all of its pairs. Distances are
-counted on codes packed by five bits a site: exclusive or, fold, count of bits.
+sequences have is split into blocks, each pair of which is a join key of its own, so no task meets all of its pairs. Candidates are
+compared eight sites at a time: exclusive or of packed bytes, fold, count of bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.symbols import GAP_FIRST, STATES
 from pairloom.storage import materialize
 
-#: Sites in a long, of five bits each.
-PER_LONG = 12
 #: Sequences of one segment value that are joined together; more are split into blocks of about as many.
 BLOCK = 2048
-_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
-_ONES = sum(1 << (5 * k) for k in range(PER_LONG))
+_LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
+_HIGH = np.uint64(0x8080808080808080)
+Parts = list[list[int]]
 
 
-def packed(seq: Column, width: int) -> list[Column]:
-    """The sequence as longs, PER_LONG sites each; symbols outside the alphabet count as one more state."""
-    digits = F.translate(F.regexp_replace(seq, f"[^{GAP_FIRST}]", "?"), GAP_FIRST + "?", _DIGITS[: STATES + 1])
-    return [F.conv(F.substring(digits, k + 1, PER_LONG), 32, 10).cast("long") for k in range(0, width, PER_LONG)]
+def _bytes(col: pa.Array, width: int) -> np.ndarray:
+    """A row of width bytes for each sequence; another length is an error."""
+    raw = np.frombuffer("".join(col.to_pylist()).encode("latin-1"), np.uint8)
+    return raw.reshape(len(col), width)
 
 
-def distance(a: list[Column], b: list[Column]) -> Column:
-    """Sites at which two packed sequences differ."""
-    total = F.lit(0)
-    for x, y in zip(a, b):
-        z = x.bitwiseXOR(y)
-        two = z.bitwiseOR(F.shiftright(z, 1))
-        folded = two.bitwiseOR(F.shiftright(two, 2)).bitwiseOR(F.shiftright(z, 4))
-        total = total + F.bit_count(folded.bitwiseAND(F.lit(_ONES)))
-    return total
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sites at which rows of two byte matrices differ."""
+    pad = -a.shape[1] % 8
+    x, y = (np.ascontiguousarray(np.pad(m, ((0, 0), (0, pad)))).view(np.uint64) for m in (a, b))
+    z = x ^ y
+    return np.bitwise_count((((z & _LOW) + _LOW) | z) & _HIGH).sum(axis=1, dtype=np.int64)
 
 
 def entropies(seqs: DataFrame, width: int) -> np.ndarray:
-    """Entropy of each site over seqs(seq): width times the alphabet counts reach the driver."""
-    cells = seqs.select(F.posexplode(F.split("seq", "")).alias("pos", "c")).filter(F.col("pos") < width)
+    """Entropy of each site over seqs(seq): a row for each site and symbol reaches the driver."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, 256), np.int64)
+        for b in batches:
+            m = _bytes(b.column("seq"), width)
+            for site in range(width):
+                total[site] += np.bincount(m[:, site], minlength=256)
+        pos, c = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pos.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(total[pos, c])], ["pos", "c", "n"])
+
     h = np.zeros(width)
-    for r in cells.groupBy("pos", "c").count().groupBy("pos").agg(F.collect_list("count").alias("n")).collect():
+    rows = seqs.select("seq").mapInArrow(go, "pos long, c long, n long").groupBy("pos", "c").agg(F.sum("n").alias("n"))
+    for r in rows.groupBy("pos").agg(F.collect_list("n").alias("n")).collect():
         p = np.array(r.n, float) / sum(r.n)
         h[r.pos] = -(p * np.log(p)).sum()
     return h
 
 
-def segments(h: np.ndarray, parts: int) -> list[list[int]]:
+def segments(h: np.ndarray, parts: int) -> Parts:
     """Sites (from 0) dealt into parts: each site, those of most entropy first, goes to the part with the least so far, of equal ones the shortest."""
-    out: list[list[int]] = [[] for _ in range(parts)]
+    out: Parts = [[] for _ in range(parts)]
     have = np.zeros(parts)
     for site in np.argsort(-h, kind="stable"):
         k = min(range(parts), key=lambda p: (have[p], len(out[p])))
@@ -62,38 +70,55 @@ def segments(h: np.ndarray, parts: int) -> list[list[int]]:
     return [sorted(p) for p in out]
 
 
-def keyed(seqs: DataFrame, width: int, parts: list[list[int]]) -> DataFrame:
-    """(seq, x0, x1, .., keys): packed codes, and the values of all segments."""
-    letter = F.split("seq", "")
-    keys = F.array(*[F.xxhash64(F.concat_ws("", *[F.get("letters", F.lit(s)) for s in p])) if p else F.lit(0).cast("long") for p in parts])
-    longs = [c.alias(f"x{k}") for k, c in enumerate(packed(F.col("seq"), width))]
-    return seqs.withColumn("letters", letter).select("seq", *longs, keys.alias("keys"))
+def keyed(seqs: DataFrame, width: int, parts: Parts) -> DataFrame:
+    """(seq, i, k): the value k of each segment i."""
+    power = np.cumprod(np.full(width, 0x9E3779B97F4A7C15, np.uint64))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = _bytes(b.column("seq"), width).astype(np.uint64)
+            keys = np.stack([(m[:, p] * power[p]).sum(axis=1, dtype=np.uint64) for p in parts], axis=1) if b.num_rows else np.zeros((0, len(parts)), np.uint64)
+            keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            off = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(parts))
+            yield pa.RecordBatch.from_arrays([b.column("seq"), pa.ListArray.from_arrays(off, pa.array(keys.ravel().view(np.int64)))], ["seq", "keys"])
+
+    return seqs.select("seq").mapInArrow(go, "seq string, keys array<long>").select("seq", F.posexplode("keys").alias("i", "k"))
 
 
-def near(left: DataFrame, right: DataFrame, width: int, most: int, once: bool = False) -> DataFrame:
+def near(left: DataFrame, right: DataFrame, width: int, most: int, once: bool = False, parts: Parts | None = None) -> DataFrame:
     """(a, b, d): the different sequences of left(seq) and right(seq), both without repeats, that differ at `most` sites or fewer.
 
-    once: only pairs a < b, for a table with itself. Each pair comes once: at the first segment that it agrees on.
+    once: only pairs a < b, for a table with itself. Each pair comes once: at the first segment that it agrees on. parts: the
+    segments, where they are known; any most + 1 of them give the same pairs.
     """
-    parts = segments(entropies(right, width), most + 1)
-    cells = range(-(-width // PER_LONG))
-    spread = lambda df: df.select("*", F.posexplode("keys").alias("i", "k"))
-    r, l = spread(keyed(right, width, parts)), spread(keyed(left, width, parts))  # noqa: E741
-    counts = r.groupBy("i", "k").agg(F.count("*").alias("n"))
-    hot = counts.filter(F.col("n") > BLOCK).select("i", "k", F.ceil(F.col("n") / BLOCK).alias("of"))
+    parts = segments(entropies(right, width), most + 1) if parts is None else parts
+    r, l = keyed(right, width, parts), keyed(left, width, parts)  # noqa: E741
+    hot = r.groupBy("i", "k").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("i", "k", F.ceil(F.col("n") / BLOCK).alias("of"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("of", F.lit(1)) - 1))
     mine = F.pmod(F.xxhash64("seq"), F.coalesce("of", F.lit(1)))
-    l = l.join(hot, ["i", "k"], "left").select("*", mine.alias("p"), other.alias("q")).drop("of")  # noqa: E741
-    r = r.join(hot, ["i", "k"], "left").select("*", mine.alias("q"), other.alias("p")).drop("of")
-    named = lambda df, side: df.select("i", "k", "p", "q", F.col("seq").alias(side), F.col("keys").alias(f"{side}_keys"), *[F.col(f"x{c}").alias(f"{side}_x{c}") for c in cells])
-    d = distance([F.col(f"a_x{c}") for c in cells], [F.col(f"b_x{c}") for c in cells])
-    pairs = named(l, "a").join(named(r, "b"), ["i", "k", "p", "q"]).filter("a < b" if once else "a <> b").withColumn("d", d).filter(F.col("d") <= most)
-    first = F.array_position(F.zip_with("a_keys", "b_keys", lambda u, v: u == v), True)
-    return pairs.filter(first == F.col("i") + 1).select("a", "b", "d")
+    a = l.join(hot, ["i", "k"], "left").select("i", "k", F.col("seq").alias("a"), mine.alias("p"), other.alias("q"))
+    b = r.join(hot, ["i", "k"], "left").select("i", "k", F.col("seq").alias("b"), mine.alias("q"), other.alias("p"))
+    met = a.join(b, ["i", "k", "p", "q"]).filter("a < b" if once else "a <> b").select("i", "a", "b")
+    order = np.concatenate([np.array(p, int) for p in parts if p]) if width else np.zeros(0, int)
+    filled = [i for i, p in enumerate(parts) if p]
+    starts = np.cumsum([0, *(len(parts[i]) for i in filled)])[:-1]
+    empty = min((i for i, p in enumerate(parts) if not p), default=len(parts))  # all sequences agree on an empty segment
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _bytes(batch.column("a"), width), _bytes(batch.column("b"), width)
+            d = distances(x, y)
+            at = np.flatnonzero(d <= most)
+            agree = np.logical_and.reduceat((x[at] == y[at])[:, order], starts, axis=1) if len(at) else np.zeros((0, len(filled)), bool)
+            first = np.minimum(np.where(agree.any(axis=1), np.array(filled)[agree.argmax(axis=1)], len(parts)), empty)
+            keep = pa.array(at[first == batch.column("i").to_numpy()[at]])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep), pa.array(d).take(keep)], ["a", "b", "d"])
+
+    return met.mapInArrow(go, "a string, b string, d long")
 
 
 def candidates(rows: DataFrame, width: int, most: int) -> int:
     """How many pairs of distinct sequences meet in a segment, before any distance is counted."""
     seqs = materialize(rows.select("seq").distinct(), "sequences")
-    k = keyed(seqs, width, segments(entropies(seqs, width), most + 1)).select(F.posexplode("keys").alias("i", "k")).groupBy("i", "k").count()
-    return k.agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0))).first()[0]
+    k = keyed(seqs, width, segments(entropies(seqs, width), most + 1)).groupBy("i", "k").count()
+    return int(k.agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0))).first()[0])
