@@ -155,10 +155,10 @@ def pairing_from_start(spark, d):
     return pairing.iterate(a, WIDTH, LEFT, max(1, n // 10), 3, seed=2, start=pairing.draw_start(a, n // 5, 2))[1]
 
 
-_SWEEP = f"""WITH {_THREE}, cf AS (SELECT n::INT AS n, r::INT AS r, n * 100003 + r AS seed FROM (VALUES (40), (90)) a(n), range(1, 3) b(r)),
-dr AS (SELECT *, row_number() OVER (PARTITION BY n, r ORDER BY md5(seed || ':' || row_id), row_id) AS k FROM cf, h),
-tr AS (SELECT n, r, row_id, seq FROM dr WHERE k <= n)
-SELECT n AS n_start, r AS replicate, count(*) AS n_train, round(sum(w), 6) AS meff FROM (SELECT x.n, x.r, x.row_id, 1.0 / count(*) AS w FROM tr x JOIN tr y ON x.n = y.n AND x.r = y.r AND hamming(x.seq, y.seq) <= 1 GROUP BY ALL) GROUP BY ALL"""
+_SWEEP = f"""WITH {_THREE}, cf AS (SELECT n::INT AS known, k::INT AS again, n * 100003 + k AS seed FROM (VALUES (40), (90)) a(n), range(1, 3) b(k)),
+dr AS (SELECT known, again, row_id, seq, row_number() OVER (PARTITION BY known, again ORDER BY md5(seed || ':' || row_id), row_id) AS place FROM cf, h),
+tr AS (SELECT * FROM dr WHERE place <= known), nb AS (SELECT x.known, x.again, x.row_id, 1.0e0 / count(*) AS w FROM tr x JOIN tr y ON x.known = y.known AND x.again = y.again AND hamming(x.seq, y.seq) <= 1 GROUP BY ALL)
+SELECT known AS n_start, again AS replicate, count(*) AS n_train, round(sum(w), 6) AS meff FROM nb GROUP BY ALL"""
 
 
 @query(_SWEEP)
