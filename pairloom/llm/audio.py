@@ -70,13 +70,21 @@ def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
     raise ValueError("a WAV file without data")
 
 
-def ima_decode(body: bytes, block: int) -> np.ndarray:
+#: ADPCM blocks that are decoded together.
+BLOCKS = 1 << 13
+
+
+def ima_decode(body: bytes | memoryview | np.ndarray, block: int) -> np.ndarray:
     """PCM of IMA ADPCM blocks (one channel), the last one may be short: numpy across blocks, a loop over a block's nibbles."""
-    whole = len(body) // block * block
-    if len(body) - whole >= 4:
-        rest = body[whole:]
-        return np.concatenate((ima_decode(body[:whole], block), ima_decode(rest, len(rest))))
-    raw = np.frombuffer(body[:whole], np.uint8).reshape(-1, block)
+    count, rest = divmod(len(body), block)
+    if rest >= 4:
+        return np.concatenate((ima_decode(memoryview(body)[: count * block], block), ima_decode(memoryview(body)[count * block :], rest)))
+    raw = np.frombuffer(body, np.uint8, count * block).reshape(-1, block)
+    if count > BLOCKS:
+        out = np.empty((count, 2 * (block - 4) + 1), np.int16)
+        for a in range(0, count, BLOCKS):
+            out[a : a + BLOCKS] = ima_decode(raw[a : a + BLOCKS].reshape(-1), block).reshape(-1, out.shape[1])
+        return out.reshape(-1)
     value = raw[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
     index = np.minimum(raw[:, 2].astype(np.int64), 88)
     nibbles = np.stack((raw[:, 4:] & 15, raw[:, 4:] >> 4), axis=2).reshape(len(raw), 2 * (block - 4))
@@ -122,24 +130,58 @@ def decode(media: bytes) -> tuple[int, np.ndarray]:
     return file[1], decode_all([file])[0]
 
 
-def resample(pcm: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Linear interpolation to up / down times the rate, in integers, so that reruns agree to the bit."""
-    if not len(pcm):
-        return pcm
-    at = np.arange((len(pcm) * up + down - 1) // down, dtype=np.int64) * down
-    k, part = at // up, at % up
-    x = pcm.astype(np.int64)
-    return ((x[k] * (up - part) + x[np.minimum(k + 1, len(x) - 1)] * part) // up).astype(np.int16)
+#: Samples that are computed with together: what is needed beside a file and its samples does not grow with it.
+PIECE = 1 << 18
+
+
+def resample(pcm: np.ndarray, up: int, down: int, out: np.ndarray | None = None) -> np.ndarray:
+    """Linear interpolation to up / down times the rate, in integers, so that reruns agree to the bit; into `out` if given."""
+    n = (len(pcm) * up + down - 1) // down
+    out = np.empty(n, np.int16) if out is None else out
+    for a in range(0, n, PIECE):
+        at = np.arange(a, min(a + PIECE, n), dtype=np.int64) * down
+        k, part = at // up, at % up
+        x, y = pcm[k].astype(np.int64), pcm[np.minimum(k + 1, len(pcm) - 1)].astype(np.int64)
+        out[a : a + PIECE] = (x * (up - part) + y * part) // up
+    return out
 
 
 def feature(pcm: np.ndarray) -> str:
     """Integer statistics: samples, mean square, peak, zero crossings and a 8-band energy envelope."""
-    x = pcm.astype(np.int64)
-    n = max(1, len(x))
-    flips = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    edge = np.arange(8) * len(x) // 8
-    bands = np.add.reduceat(x * x, edge) // np.maximum(np.diff(np.append(edge, len(x))), 1) if len(x) >= 8 else np.zeros(8, int)
-    return f"n={len(x)};ms={int((x * x).sum()) // n};peak={int(np.abs(x).max(initial=0))};zc={flips};env={','.join(str(int(b)) for b in bands)}"
+    edge = [*(k * len(pcm) // 8 for k in range(8)), len(pcm)]
+    flips = peak = 0
+    bands = []
+    for low, high in zip(edge, edge[1:]):
+        energy = 0
+        for a in range(low, high, PIECE):
+            x = pcm[a : min(a + PIECE, high)].astype(np.int64)
+            energy, peak = energy + int((x * x).sum()), max(peak, int(np.abs(x).max()))
+            below = np.append(pcm[a - 1 : a] < 0, x < 0)  # the sample before it, if any
+            flips += int(np.count_nonzero(below[1:] != below[:-1]))
+        bands.append(energy)
+    means = [e // max(1, high - low) if len(pcm) >= 8 else 0 for e, low, high in zip(bands, edge, edge[1:])]
+    return f"n={len(pcm)};ms={sum(bands) // max(1, len(pcm))};peak={peak};zc={flips};env={','.join(map(str, means))}"
+
+
+def resampled_wav(pcm: np.ndarray, up: int, down: int) -> np.ndarray:
+    """Bytes of a 16-bit PCM file at rate up, written in place: the only copy of its samples."""
+    n = (len(pcm) * up + down - 1) // down
+    head = wav(PCM, b"", up, 2, 16)
+    raw = np.empty(len(head) + 2 * n, np.uint8)
+    raw[: len(head)] = np.frombuffer(head, np.uint8)
+    raw[4:8] = np.frombuffer(struct.pack("<I", len(raw) - 8), np.uint8)
+    raw[len(head) - 4 : len(head)] = np.frombuffer(struct.pack("<I", 2 * n), np.uint8)
+    resample(pcm, up, down, raw[len(head) :].view("<i2"))
+    return raw
+
+
+def binaries(parts: list[np.ndarray | bytes | None]) -> pa.Array:
+    """A binary column; a part that stands alone is not copied."""
+    sizes = [0 if p is None else len(p) for p in parts]
+    some = [p for p in parts if p is not None and len(p)]
+    data = pa.py_buffer(some[0]) if len(some) == 1 else pa.py_buffer(b"".join(bytes(p) for p in some))
+    valid = None if all(p is not None for p in parts) else pa.array([p is not None for p in parts]).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(parts), [valid, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), data])
 
 
 #: Bytes of an ADPCM block of stored payloads, and its samples: a header of 4 bytes, then two samples a byte.
@@ -159,7 +201,7 @@ def encode_text(docs: DataFrame, codecs: tuple[int, ...] = CODECS, multiple: int
     """(doc_id, n_bytes, media): each text's UTF-8, padded with spaces to a positive multiple, as a WAV file.
 
     Null text: empty. All codecs keep the payload byte by byte; equal texts get equal files. Other columns
-    are ignored; repeated rows stay; empty docs give no rows.
+    are ignored; repeated rows stay; empty docs give no rows. A long text is held as a few copies of its bytes.
     """
     if not set(codecs) <= {ULAW, ALAW, IMA} or (IMA in codecs and multiple % BLOCK):
         raise ValueError("payloads are stored as mu-law, A-law, or whole ADPCM blocks")
@@ -201,27 +243,30 @@ def read_media(media: DataFrame, tail: int = 16, rate: int | None = None) -> Dat
     """Adds payload (the data chunk read back), tail_crc32 (of its last bytes), feature, and pcm if a rate is given.
 
     pcm is a 16-bit PCM WAV file resampled to that rate. Null media: null in all added columns. Takes
-    and returns doc_id, n_bytes, media.
+    and returns doc_id, n_bytes, media. A long file is decoded, resampled and measured in pieces: beside it, its samples
+    and what is stored of it are held once.
     """
     arrow_batches(media.sparkSession)
     names = ["doc_id", "n_bytes", "media"]
     extra = ["payload binary", "tail_crc32 long", "feature string"] + (["pcm binary"] if rate else [])
 
-    def row(file: tuple[int, int, int, bytes], samples: np.ndarray):
-        have, body = file[1], file[3]
-        out = (body, zlib.crc32(body[-tail:]), feature(samples))
-        return out + ((wav(PCM, resample(samples, rate, have).astype("<i2").tobytes(), rate, 2, 16),) if rate else ())
+    def made(files: list) -> list[list]:
+        """payload, checksum, feature and resampled file of each."""
+        out = []
+        for file, samples in zip(files, decode_all(files)):
+            out.append([file[3], zlib.crc32(file[3][-tail:]), feature(samples), resampled_wav(samples, rate, file[1]) if rate else None])
+        return out
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.binary(), pa.int64(), pa.string(), pa.binary()]
         for b in batches:
             off = K.column_bytes(b.column("media"))[1]
             for x, y in K.chunks(off, 1 << 20):  # ADPCM blocks of so many files are decoded together
                 part = b.slice(x, y - x)
-                raw = part.column("media").to_pylist()
-                files = [read_wav(m) for m in raw if m is not None]
-                made = iter([row(f, s) for f, s in zip(files, decode_all(files))])
-                rows = list(zip(*((None,) * len(extra) if m is None else next(made) for m in raw)))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), *(pa.array(v, k) for v, k in zip(rows, kinds))], names + [e.split()[0] for e in extra])
+                raw = [m.as_buffer() if m.is_valid else None for m in part.column("media")]
+                found = iter(made([read_wav(memoryview(m)) for m in raw if m is not None]))
+                rows = [[None] * 4 if m is None else next(found) for m in raw]
+                cols = [binaries([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())]
+                cols += [binaries([r[3] for r in rows])] if rate else []
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), *cols], names + [e.split()[0] for e in extra])
 
     return media.select(*names).mapInArrow(go, ", ".join(["doc_id long", "n_bytes long", "media binary", *extra]))
