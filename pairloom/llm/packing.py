@@ -9,6 +9,7 @@ What is still open when a partition ends is packed once more across partitions.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -114,16 +115,26 @@ class Plain:
         return out
 
 
+# What a tokenizer's description says where Memo's way of reading words is right.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+#: Added tokens that lie inside one unit wherever they stand: marks, letters, marks.
+_ADDED = re.compile(r"<\|[A-Za-z0-9_]+\|>")
+
+
 def by_units(tokenizer) -> bool:
-    """Whether the tokenizer treats words apart as Memo does: white space is dropped, Latin case too, and a token closes each word."""
-    ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
-    names = {i: t for t, i in tokenizer.get_vocab().items()}
-    words = ("alpha", "Zebra", "\u00c9tude", "qzxv", "\u0416\u0443\u043a", "\u65e5\u672c")
-    joined = all(ids(f"{a} {b}") == ids(a) + ids(b) == ids(f" {a}\n\t {b} ") for a in words for b in words)
-    marks = all(ids(f"{a}{m} {a}") == ids(a) + ids(m) + ids(a) for a in words for m in ("!", "...", ",;"))
-    lower = all(ids(w) == ids(w.lower()) for w in ("Alpha", "ZEBRA", "\u00c9tude"))
-    closed = all((n := ids(w)) and names[n[-1]].endswith("</w>") and not any(names[i].endswith("</w>") for i in n[:-1]) for w in words)
-    return joined and marks and lower and closed
+    """Whether the tokenizer treats words apart as Memo does, by its own description.
+
+    Text is put in normal and lower case, cut into letters, digits and marks, and a token closes each word; added tokens are
+    matched in the text as it is, and none holds white space or is of letters alone. Anything else, and whole texts are encoded.
+    """
+    d = json.loads(tokenizer.to_str())
+    model = {k: v for k, v in d["model"].items() if k not in ("vocab", "merges")}
+    added = all(_ADDED.fullmatch(t["content"]) and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in d["added_tokens"])
+    same = (d["normalizer"], d["pre_tokenizer"], model) == (_NORMALIZER, {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}, _MODEL)
+    return added and same and d.get("truncation") is None and d.get("padding") is None
 
 
 def _strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:

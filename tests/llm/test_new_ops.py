@@ -226,3 +226,38 @@ def test_toxicity_without_labels(spark):
     assert [r.predicted for r in got] == [0, 0] and all(r.score == 0.5 for r in got)
     assert toxicity.judge_toxicity(docs.limit(0), labels.limit(0)).collect() == []
     assert docs.select(toxicity.held_out().alias("h")).filter(F.col("h").isNull()).count() == 0
+
+
+# audio in pieces, and tokenizers that do not treat words apart
+
+
+def test_audio_in_pieces(monkeypatch):
+    from pairloom.llm import audio
+
+    pcm = np.random.default_rng(1).integers(-32768, 32768, 5000).astype(np.int16)
+    body = np.random.default_rng(2).integers(0, 256, 40 * 192).astype(np.uint8).tobytes()
+    whole = audio.feature(pcm), audio.resample(pcm, 16000, 8000), audio.resample(pcm, 8000, 11025), audio.ima_decode(body, 192)
+    monkeypatch.setattr(audio, "PIECE", 97)
+    monkeypatch.setattr(audio, "BLOCKS", 7)
+    assert audio.feature(pcm) == whole[0] and (audio.resample(pcm, 16000, 8000) == whole[1]).all() and (audio.resample(pcm, 8000, 11025) == whole[2]).all() and (audio.ima_decode(body, 192) == whole[3]).all()
+    x = pcm.astype(int)
+    assert f"ms={(x * x).sum() // 5000};peak={np.abs(x).max()};zc={((x[1:] < 0) != (x[:-1] < 0)).sum()}" in whole[0]
+    assert audio.read_wav(audio.resampled_wav(pcm, 16000, 8000).tobytes())[3] == whole[1].astype("<i2").tobytes()
+    assert audio.binaries([b"ab", None, b"", b"c"]).to_pylist() == [b"ab", None, b"", b"c"] and audio.binaries([None, b"xy"]).to_pylist() == [None, b"xy"]
+
+
+@pytest.mark.parametrize("token", [{"content": "green house"}, {"content": "Foo"}, {"content": "<|sep|>", "lstrip": True}])
+def test_tokenizers_with_added_tokens_read_whole_texts(spark, tmp_path, token):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from pairloom.llm import packing
+
+    d = json.load(open(packing.default_tokenizer()))
+    d["added_tokens"].append({"id": 49500, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False} | token)
+    path = str(tmp_path / "t.json")
+    json.dump(d, open(path, "w"))
+    text = "A green house, Foo and  <|sep|> Fool <|endoftext|>"
+    out = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokenizer=path).first()
+    assert np.frombuffer(out.ids, "<u4").tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0]
