@@ -261,3 +261,35 @@ def test_tokenizers_with_added_tokens_read_whole_texts(spark, tmp_path, token):
     text = "A green house, Foo and  <|sep|> Fool <|endoftext|>"
     out = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokenizer=path).first()
     assert np.frombuffer(out.ids, "<u4").tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_lines_go_the_same_with_any_period(spark):
+    from pairloom.llm import line_dedup
+
+    rng = np.random.default_rng(9)
+    shared = [[f"passage {p} line {i}" if i % 5 else "" for i in range(1, n)] for p, n in enumerate((4, 7, 13, 30))]
+    rows = []
+    for i in range(50):
+        lines = [f"own {i} {j}" for j in range(int(rng.integers(0, 5)))]
+        for p in rng.permutation(4)[: int(rng.integers(0, 4))]:
+            a, b = sorted(rng.integers(0, len(shared[p]) + 1, 2)) if i % 3 else (0, len(shared[p]))
+            lines += shared[p][a:b] + [""] * int(rng.integers(0, 2))
+        rows.append((i, "\n".join(lines)))
+    d = spark.createDataFrame([*rows, (90, "\n".join(["x"] * 40)), (91, " \n\n"), (92, None)], "doc_id long, text string")
+    got = [sorted((r.doc_id, r.text or "", r.n_removed) for r in line_dedup.dedup_lines(d, period=p).collect()) for p in (1, 2, 4, 1000)]
+    assert got[0] == got[1] == got[2] == got[3]
+    lined = line_dedup._chunked(line_dedup._lines(d.withColumnRenamed("doc_id", "rid")), 2)
+    whole = line_dedup._again(d.withColumnRenamed("doc_id", "rid"), line_dedup._chunks(lined))
+    assert whole.count() > 20  # chunks alone carry a good part
+
+
+def test_chunks_cover_all_lines_from_the_first_with_a_word(spark):
+    from pairloom.llm import line_dedup
+
+    text = "\n\n" + "\n".join(f"w{i % 7} {i % 3}" if i % 4 else "" for i in range(60)) + "\n"
+    d = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "one")], "rid long, text string")
+    for r in line_dedup._chunked(line_dedup._lines(d), 3).collect():
+        spans = [(c.c >> 32, c.c & (2**32 - 1)) for c in r.chunks]
+        said = [i for i, x in enumerate(r.lines) if x.strip()]
+        assert [x for s, n in spans for x in range(s, s + n)] == (list(range(said[0], len(r.lines))) if said else [])
+        assert [z.c >> 32 for z in r["at"]] == [max(s for s, _ in spans if s <= i) for i in said]
