@@ -2,30 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import symbols as S
 from pairloom.operators.stats import similar_pairs
-from pairloom.storage import materialize
+from pairloom.storage import materialize, release
 
 
 def _table(df: DataFrame) -> DataFrame:
     return materialize(df, "cluster")
 
 
+#: Nodes that a task joins at a time; with more, it gives out what it has and begins anew.
+HELD = 500_000
+
+
+def _forest(edges: DataFrame) -> DataFrame:
+    """(u, v), u > v: each partition's edges replaced by stars around the least node that it joins, by union-find. No more rows than edges."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            up.setdefault(x, x)
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            part = [x for x in up if up[x] != x]
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["u", "v"])
+
+        for b in batches:
+            for x, y in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) > HELD:
+                yield stars()
+                up.clear()
+        yield stars()
+
+    return edges.select("u", "v").mapInArrow(go, "u long, v long")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(v, component) for nodes(v): least node reachable over edges(a, b), by label minima until none changes."""
-    both = _table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _table(nodes.select("v", F.col("v").alias("component")))
+    """(v, component) for nodes(v): least node reachable over edges(a, b). Null ends join nothing.
+
+    Each partition first joins its own edges, so only a forest of them is shuffled; then neighbours are hung on the least node
+    known, large ones and small ones in turn, and partitions join theirs again, until nothing changes. Rounds
+    grow with the logarithm of the longest path, and a hub is as cheap as its edges.
+    """
+    e = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+    e = _table(_forest(e).distinct())
+    seen = None
     while True:
-        least = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("component").alias("least"))
-        new = labels.join(least, labels.v == least.a, "left").select("v", F.least("component", F.coalesce("least", "component")).alias("component"))
-        jump = new.select(F.col("v").alias("component"), F.col("component").alias("far"))
-        new = _table(new.join(jump, "component").select("v", F.col("far").alias("component")))
-        if not new.join(labels.withColumnRenamed("component", "old"), "v").filter("component <> old").limit(1).count():
-            return new
-        labels = new
+        now = e.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 16))).first()
+        if now == seen:
+            break
+        seen = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        new = _table(_forest(small.filter("u > v")).distinct())
+        release(e)
+        e = new
+    return nodes.select("v").join(e.select(F.col("u").alias("v"), F.col("v").alias("component")), "v", "left").select("v", F.coalesce("component", "v").alias("component"))
 
 
 def similar_components(rows: DataFrame, width: int, most: int) -> DataFrame:

@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.sampling import first_n
-from pairloom.storage import materialize
+from pairloom.operators.arrays import ARRAYS, array_rows, summed
 
-#: Vectors in a block, and cells that the space is cut into.
-BLOCK, PIVOTS = 4096, 64
+#: Vectors in a block.
+BLOCK = 4096
+#: Variance that the leading axes of the index hold together.
+LEADING = 0.8
 
 
 def _vectors(col: pa.Array) -> np.ndarray:
@@ -22,69 +24,68 @@ def _vectors(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
 
 
-def _to_pivots(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(vec_id, embedding, cell, gaps): the nearest pivot, and the distances to all of them."""
+def _rotated(df: DataFrame, mean: np.ndarray, axes: np.ndarray, name: str) -> DataFrame:
+    """Blocks (name_id, name_x) of about BLOCK vectors along the axes (columns), whose distances are those of the vectors."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                d = _distances(_vectors(b.column("embedding")), pivots)
-                gaps = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1, dtype=np.int32) * d.shape[1]), pa.array(d.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(d.argmin(axis=1)), gaps], ["vec_id", "embedding", "cell", "gaps"])
+                x = (_vectors(b.column("embedding")) - mean) @ axes
+                off = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.ListArray.from_arrays(off, pa.array(x.ravel()))], ["vec_id", "x"])
 
-    return df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(go, "vec_id long, embedding array<double>, cell long, gaps array<double>")
+    rows = df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(go, "vec_id long, x array<double>")
+    parts = max(1, -(-df.count() // BLOCK))
+    return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("b")).agg(F.collect_list("vec_id").alias(f"{name}_id"), F.flatten(F.collect_list("x")).alias(f"{name}_x")).drop("b")
 
 
-def _blocks(df: DataFrame, name: str) -> DataFrame:
-    """Rows (cell, vec_id, embedding) as blocks of about BLOCK in each cell."""
-    n = {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}  # a row for each cell
-    parts = F.element_at(F.array(*[F.lit(max(1, -(-n.get(c, 0) // BLOCK))) for c in range(PIVOTS)]), (F.col("cell") + 1).cast("int"))
-    b = df.select("cell", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), parts).alias("b"))
-    return b.groupBy("cell", "b").agg(F.collect_list("vec_id").alias(f"{name}_id"), F.flatten(F.collect_list("embedding")).alias(f"{name}_x")).drop("b")
-
-
-def _least(query: DataFrame, reference: DataFrame, exclude_self: bool) -> DataFrame:
-    """(vec_id, distance): the least distance of each query row to reference rows of the cells that it is listed with."""
+def _search(query: DataFrame, reference: DataFrame, exclude_self: bool) -> DataFrame:
+    """(vec_id, distance, measured, pairs) of each query and block of reference vectors: the least distance, and how many were measured in full."""
+    n, mean, values, axes = covariance(reference)
+    if not n:
+        return query.sparkSession.createDataFrame([], "vec_id long, distance double, measured long, pairs long")
+    held = np.cumsum(values) / max(values.sum(), 1e-300)
+    lead = min(len(mean), int(np.searchsorted(held, LEADING)) + 1)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 qi, q, ri, r = (batch.column(c)[k].values.to_numpy() for c in ("q_id", "q_x", "r_id", "r_x"))
-                d = _distances(q.reshape(len(qi), -1), r.reshape(len(ri), -1))
+                q, r = q.reshape(len(qi), -1), r.reshape(len(ri), -1)
+                rest = lambda m: np.column_stack((m[:, :lead], np.sqrt((m[:, lead:] ** 2).sum(1))))
+                low = _squares(rest(q), rest(r))  # no pair is nearer than its leading axes and the lengths of the rest allow
                 if exclude_self:
-                    d[qi[:, None] == ri[None, :]] = np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(d.min(axis=1))], ["vec_id", "distance"])
+                    low[qi[:, None] == ri[None, :]] = np.inf
+                full = lambda i, j: ((q[i] - r[j]) ** 2).sum(1)
+                best = full(np.arange(len(q)), low.argmin(axis=1))
+                best[np.isinf(low.min(axis=1))] = np.inf
+                # rounding may make a bound a little too large, so a pair is ruled out with a margin only
+                i, j = np.nonzero(low < best[:, None] * (1 + 1e-9) + 1e-12)
+                for a in range(0, len(i), BLOCK * 16):
+                    np.minimum.at(best, i[a : a + BLOCK * 16], full(i[a : a + BLOCK * 16], j[a : a + BLOCK * 16]))
+                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(np.sqrt(best)), pa.array(np.bincount(i, minlength=len(q))), pa.array(np.full(len(q), len(r)))], ["vec_id", "distance", "measured", "pairs"])
 
-    pairs = _blocks(query, "q").join(_blocks(reference, "r"), "cell").select("q_id", "q_x", "r_id", "r_x")
-    return pairs.mapInArrow(go, "vec_id long, distance double").groupBy("vec_id").agg(F.min("distance").alias("distance"))
+    pairs = _rotated(query, mean, axes, "q").crossJoin(_rotated(reference, mean, axes, "r"))  # blocks with blocks
+    return pairs.mapInArrow(go, "vec_id long, distance double, measured long, pairs long")
 
 
 def nearest(query: DataFrame, reference: DataFrame, exclude_self: bool = True) -> DataFrame:
     """(vec_id, distance): Euclidean distance to the nearest reference vector, exact.
 
-    Reference vectors belong to the cell of their nearest pivot (PIVOTS of them, drawn by seed). A query looks
-    into its own cell first; what it finds rules out cells that lie farther away, by the triangle inequality.
-    Blocks of vectors meet within cells only. Without a reference vector, a query is left out.
+    Vectors are turned once onto the principal axes of the reference. The leading axes, and the length of what is left, bound each distance
+    from below; a block of queries meets each block of reference vectors once, and pairs whose bound is beyond the best found
+    there are not measured. Without another reference vector, a query is left out.
     """
-    spark = query.sparkSession
-    seeds = first_n(reference.select(F.col("vec_id").alias("row_id"), "embedding"), PIVOTS, 1).orderBy("row_id").collect()  # PIVOTS rows
-    if not seeds:
-        return spark.createDataFrame([], "vec_id long, distance double")
-    pivots = np.array([r["embedding"] for r in seeds], dtype=np.float64)
-    ref = materialize(_to_pivots(reference, pivots).select("vec_id", "embedding", "cell", F.element_at("gaps", (F.col("cell") + 1).cast("int")).alias("gap")), "cells")
-    reach = {r["cell"]: r["reach"] for r in ref.groupBy("cell").agg(F.max("gap").alias("reach")).collect()}  # a row for each cell
-    radius = F.array(*[F.lit(reach.get(c)).cast("double") for c in range(len(pivots))])
-    q = materialize(_to_pivots(query, pivots), "queries")
-    own = materialize(_least(q, ref, exclude_self), "own_cell")
-    found = q.join(own, "vec_id", "left").withColumn("distance", F.coalesce("distance", F.lit(float("inf"))))
-    # rounding may make a distance a little too large or small, so a cell is ruled out with a margin only
-    near = lambda g, i: F.when((i != F.col("cell")) & (g - F.get(radius, i) <= F.col("distance") * (1 + 1e-9) + 1e-9), i.cast("long"))
-    more = found.select("vec_id", "embedding", F.explode(F.filter(F.transform("gaps", near), lambda c: c.isNotNull())).alias("cell"))
-    return own.unionByName(_least(more, ref, exclude_self)).groupBy("vec_id").agg(F.min("distance").alias("distance")).filter("distance < double('infinity')")
+    return _search(query, reference, exclude_self).groupBy("vec_id").agg(F.min("distance").alias("distance")).filter("distance < double('infinity')")
+
+
+def measured_share(query: DataFrame, reference: DataFrame, exclude_self: bool = True) -> float:
+    """The share of all pairs that nearest() measures in full."""
+    return _search(query, reference, exclude_self).agg(F.sum("measured") / F.sum("pairs")).first()[0]
 
 
 def coverage(real: DataFrame, generated: DataFrame, factor: float = 3.0) -> DataFrame:
@@ -94,32 +95,101 @@ def coverage(real: DataFrame, generated: DataFrame, factor: float = 3.0) -> Data
     return near.crossJoin(F.broadcast(spacing)).groupBy("spacing").agg(F.avg((F.col("distance") <= factor * F.col("spacing")).cast("double")).alias("covered"))
 
 
-def principal_components(df: DataFrame, k: int) -> DataFrame:
-    """(component, explained, loadings, mean): eigenvectors of the sample covariance; the largest loading is positive.
+def covariance(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """n, mean, and eigenvalues (falling) and eigenvectors (columns) of the sample covariance of the vectors.
 
-    Sums and products are added up by partition; the driver sees one matrix of dimension squared.
+    Sums and products are added up by partition, then by row of the matrix on the executors; the driver sees one matrix.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, gram = 0, 0.0, 0.0
         for b in batches:
             if b.num_rows:
-                x = np.asarray(b.column("embedding").to_pylist(), dtype=np.float64)
+                x = _vectors(b.column("embedding"))
                 n, total, gram = n + len(x), total + x.sum(0), gram + x.T @ x
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()]), pa.array([gram.ravel().tolist()])], ["n", "total", "gram"])
+            yield array_rows([-1, *range(len(total))], [np.append(total, n), *gram])
 
-    parts = df.select("embedding").mapInArrow(go, "n long, total array<double>, gram array<double>").toLocalIterator()
-    n, total, gram = 0, 0.0, 0.0
-    for p in parts:
-        n, total, gram = n + p["n"], total + np.array(p["total"]), gram + np.array(p["gram"])
+    found = summed(df.select(F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(go, ARRAYS))
+    if not found:
+        return 0, np.zeros(0), np.zeros(0), np.zeros((0, 0))
+    total, n = found[-1][:-1], int(found[-1][-1])
     mean = total / n
-    values, vectors = np.linalg.eigh((gram.reshape(len(mean), -1) - n * np.outer(mean, mean)) / max(1, n - 1))
+    gram = np.stack([found[i] for i in range(len(mean))])
+    values, vectors = np.linalg.eigh((gram - n * np.outer(mean, mean)) / max(1, n - 1))
+    return n, mean, values[::-1], vectors[:, ::-1]
+
+
+def _components(spark, values: np.ndarray, whole: float, vectors: np.ndarray, mean: np.ndarray) -> DataFrame:
     rows = []
-    for c, i in enumerate(np.argsort(-values)[:k], 1):
-        v = vectors[:, i] * np.sign(vectors[np.abs(vectors[:, i]).argmax(), i])
-        rows.append((c, float(values[i] / values.sum()), v.tolist(), mean.tolist()))
-    return df.sparkSession.createDataFrame(rows, "component int, explained double, loadings array<double>, mean array<double>")
+    for c, v in enumerate(vectors.T, 1):
+        v = v * np.sign(v[np.abs(v).argmax()])
+        rows.append((c, float(values[c - 1] / whole), v.tolist(), mean.tolist()))
+    return spark.createDataFrame(rows, "component int, explained double, loadings array<double>, mean array<double>")
+
+
+def principal_components(df: DataFrame, k: int) -> DataFrame:
+    """(component, explained, loadings, mean): eigenvectors of the sample covariance; the largest loading is positive."""
+    _, mean, values, vectors = covariance(df)
+    return _components(df.sparkSession, values, values.sum(), vectors[:, :k], mean)
+
+
+def wide_components(df: DataFrame, k: int, seed: int = 1, more: int = 8, power: int = 4) -> DataFrame:
+    """principal_components() of vectors so wide that a matrix of width squared is too large: a randomised range finder.
+
+    What is held anywhere is width times k + more numbers. Each pass multiplies the centred rows with a thin matrix; the product is made orthogonal
+    by a tree of small factorisations (a triangle for each partition, then one of those), and multiplied back. After `power` passes the
+    components are those of a small matrix. Explained shares are of the variance of all columns.
+    """
+    spark, thin = df.sparkSession, k + more
+    rows = df.select(F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, square = 0, 0.0, 0.0
+        for b in batches:
+            if b.num_rows:
+                x = _vectors(b.column("embedding"))
+                n, total, square = n + len(x), total + x.sum(0), square + (x * x).sum(0)
+        if n:
+            yield array_rows([0], [np.concatenate(([n], total, square))])
+
+    found = summed(rows.mapInArrow(moments, ARRAYS))
+    if not found:
+        return _components(spark, np.zeros(0), 1.0, np.zeros((0, 0)), np.zeros(0))
+    n, width = int(found[0][0]), (len(found[0]) - 1) // 2
+    mean = found[0][1 : width + 1] / n
+    whole = float((found[0][width + 1 :] - n * mean * mean).sum())
+    thin = min(thin, width, n)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, thin)))[0]
+
+    def passed(basis: np.ndarray):
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            back, triangle = 0.0, np.zeros((0, thin))
+            for b in batches:
+                if b.num_rows:
+                    x = _vectors(b.column("embedding")) - mean
+                    y = x @ basis
+                    back, triangle = back + x.T @ y, np.linalg.qr(np.vstack((triangle, y)), mode="r")
+            if len(triangle):
+                full = np.zeros((thin, thin))
+                full[: len(triangle)] = triangle
+                yield array_rows(list(range(thin)), list(back.T))
+                yield array_rows([-1 - TaskContext.get().partitionId()], [full.ravel()])
+
+        return go
+
+    for _ in range(power):
+        parts = summed(rows.mapInArrow(passed(basis), ARRAYS))
+        triangle = np.linalg.qr(np.vstack([x.reshape(thin, thin) for site, x in parts.items() if site < 0]), mode="r")
+        back = np.stack([parts[i] for i in range(thin)], axis=1)  # rows times their image, width by thin
+        # rows transposed times an orthogonal basis of the image; a direction without variance adds nothing
+        sound = np.abs(np.diag(triangle)) > 1e-12 * np.abs(triangle).max(initial=1e-300)
+        back = np.linalg.lstsq(triangle[sound][:, sound].T, back[:, sound].T, rcond=None)[0].T if sound.any() else back[:, :0]
+        basis, values, _ = np.linalg.svd(back, full_matrices=False)
+        thin = basis.shape[1]
+        if not thin:
+            break
+    return _components(spark, values[:k] ** 2, whole or 1.0, basis[:, :k], mean)
 
 
 def project(df: DataFrame, basis: DataFrame) -> DataFrame:

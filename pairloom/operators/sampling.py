@@ -117,29 +117,35 @@ def ranked_within(df: DataFrame, by: list[str], order: list, bucket: Column) ->
     return t.join(sums, match).withColumn("k", F.col("_before") + F.col("_i")).select(*df.columns, "k", "n")
 
 
-def order_statistics(df: DataFrame, value: str, ranks: list[int], few: int = 10_000) -> list[float]:
-    """The values of the given ranks (1 is the least; nulls do not count), found by counting ranges of values.
+def order_statistics(df: DataFrame, value: str, ranks: list[int], few: int = 100_000) -> list[float]:
+    """The values of the given ranks (1 is the least; nulls do not count), exact, all of them in two passes.
 
-    A range that holds a rank is cut again until it has at most `few` rows, which are sorted on the driver.
+    The first pass brackets each rank with a mergeable quantile sketch of known rank error; the second counts what is below each bracket and
+    what is inside. Brackets of more than `few` rows are bracketed again (a table of billions); others are sorted on the driver.
     """
     t = df.select(F.col(value).alias("v")).filter("v IS NOT NULL")
-    out = {}
-    low, high = t.agg(F.min("v"), F.max("v")).first()
-    todo = [(set(ranks), 0, low, high)]
+    out: dict[int, float] = {}
+    todo = [(sorted(set(ranks)), 0, None, None)]  # ranks, rows below the range, its ends
     while todo:
         want, below, low, high = todo.pop()
-        inside = t.filter(F.col("v").between(low, high))
-        if low == high:
-            out.update(dict.fromkeys(want, low))
-            continue
-        cell = F.least(F.floor((F.col("v") - low) / (high - low) * 1024), F.lit(1023))
-        cells = inside.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("c").collect()  # 1024 rows
-        for r in cells:
-            here = {k for k in want if below < k <= below + r["n"]}
-            if here and (r["n"] <= few):
-                values = sorted(x["v"] for x in t.filter(F.col("v").between(r["low"], r["high"])).collect())
-                out.update({k: values[k - below - 1] for k in here})
-            elif here:
-                todo.append((here, below, r["low"], r["high"]))
-            below += r["n"]
+        inside = t if low is None else t.filter(F.col("v").between(low, high))
+        accuracy = 20_000
+        n = inside.count()
+        # the sketch is off by n / accuracy ranks at most; one more on each side for the rounding of shares
+        slack = n / accuracy + 1
+        shares = [min(1.0, max(0.0, (k - below + d * slack) / n)) for k in want for d in (-1, 1)]
+        ends = inside.agg(F.percentile_approx("v", [0.0, *shares, 1.0], accuracy), F.min("v"), F.max("v")).first()
+        cuts = [ends[1] if s == 0 else ends[2] if s == 1 else e for s, e in zip(shares, ends[0][1:-1])]
+        spans = sorted({(a, b) for a, b in zip(cuts[::2], cuts[1::2])})
+        counts = inside.agg(*[F.count_if(F.col("v") < a) for a, _ in spans], *[F.count_if(F.col("v") <= b) for _, b in spans]).first()
+        for i, (a, b) in enumerate(spans):
+            first, last = below + counts[i], below + counts[len(spans) + i]
+            here = [k for k, (x, y) in zip(want, zip(cuts[::2], cuts[1::2])) if (x, y) == (a, b)]
+            if a == b:
+                out.update(dict.fromkeys(here, a))
+            elif last - first <= few or (low, high) == (a, b):
+                values = sorted(x["v"] for x in inside.filter(F.col("v").between(a, b)).collect())
+                out.update({k: values[k - first - 1] for k in here})
+            else:
+                todo.append((here, first, a, b))
     return [out[k] for k in ranks]
