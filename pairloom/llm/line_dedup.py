@@ -50,11 +50,11 @@ def _chunked(df: DataFrame, period: int) -> DataFrame:
 
 def _chunks(df: DataFrame) -> DataFrame:
     """(rid, k, window): key k of each chunk of two lines with a word or more, start << 32 | number of lines."""
-    hashes = F.transform("at", lambda z: z["h"])
-    of = df.select("rid", hashes.alias("hs"), F.filter("chunks", lambda x: x["k1"] - x["k0"] > 1).alias("chunks")).filter(F.size("chunks") > 0)
-    # `hs` is used twice, so that it is computed before the lambda and not in it
-    of = of.select("rid", F.size("hs").alias("n"), F.transform("chunks", lambda x: F.struct(F.xxhash64(F.slice("hs", x["k0"] + 1, x["k1"] - x["k0"]), F.lit(1)).alias("k"), x["c"].alias("window"))).alias("w"))
-    return of.select("rid", F.inline("w"))
+    # the hashes of all chunks as one string, cut where chunks begin: slices of an array would capture it in a lambda
+    each = F.transform("at", lambda z: F.concat(F.when(F.shiftright(z["c"], 32) == z["i"], "|").otherwise(","), z["h"].cast("string")))
+    parts = F.split(F.array_join(each, ""), r"\|")
+    keyed = F.zip_with("chunks", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, s: F.when(x["k1"] - x["k0"] > 1, F.struct(F.xxhash64(s).alias("k"), x["c"].alias("window"))))
+    return df.select("rid", F.explode(keyed).alias("w")).filter("w IS NOT NULL").select("rid", "w.k", "w.window")
 
 
 def _windows(df: DataFrame) -> DataFrame:
