@@ -330,10 +330,10 @@ _T = "SELECT event_type AS source, avg(value) / max(value) AS r, count(*) FILTER
 def verdicts(spark, d):
     e = table(spark, d, "events")
     top = e.agg(F.max("value")).first()[0]
-    rates = F.when((F.col("value") < 0.05 * top) | F.col("value").isNull(), 0.0).otherwise(0.5)
-    t = e.groupBy(F.col("event_type").alias("source")).agg((F.avg("value") / F.max("value")).alias("r"), F.collect_list(rates).alias("rates"))
+    rate = F.when((F.col("value") < 0.05 * top) | F.col("value").isNull(), 0.0).otherwise(0.5)
+    t = e.groupBy(F.col("event_type").alias("source")).agg((F.avg("value") / F.max("value")).alias("r"), logs.dead_count(rate).alias("low"))
     r = F.col("r")
-    return t.select("source", logs.correlation_verdict(r).alias("verdict"), logs.gradient_verdict(r).alias("gradient"), logs.gap_verdict(r, F.lit(0.35)).alias("gap"), logs.dead_units(F.col("rates")).cast("long").alias("low"))
+    return t.select("source", logs.correlation_verdict(r).alias("verdict"), logs.gradient_verdict(r).alias("gradient"), logs.gap_verdict(r, F.lit(0.35)).alias("gap"), "low")
 
 
 @query("SELECT user_id % 7 AS sweep, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events GROUP BY 1")
@@ -409,16 +409,34 @@ def spread(spark, d):
     return out.select("component", *[F.round(c, 6).alias(c) for c in ("real_std", "made_std", "ratio", "real_low", "real_high", "made_low", "made_high")])
 
 
-@query("SELECT vec_id, c::INT AS component, round(embedding[c]::DOUBLE - m, 5) + 0.0e0 AS value FROM embeddings, range(1, 3) t(c), (SELECT c2, avg(embedding[c2]::DOUBLE) AS m FROM embeddings, range(1, 3) u(c2) GROUP BY 1) a WHERE a.c2 = c")
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS j, len(embedding) AS n FROM embeddings), m AS (SELECT j, avg(x) AS m FROM x GROUP BY 1)
+SELECT vec_id, c::INT AS component, round(sum((x - m) * CASE bit_count((c - 1) & (j - 1)) % 2 WHEN 0 THEN 1 ELSE -1 END / sqrt(n::DOUBLE)), 5) + 0.0e0 AS value FROM x JOIN m USING (j), range(1, 65) t(c) GROUP BY vec_id, c""")
 def projection(spark, d):
-    """Centred projection on a given basis: here the first two axes."""
+    """Centred projection on a full basis: as many axes of signs as the vectors are wide."""
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     width = e.select(F.size("embedding")).first()[0]
     mean = e.select(F.posexplode("embedding").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda z: z["m"]).alias("mean"))
-    axes = spark.range(1, 3).select(F.col("id").cast("int").alias("component"), F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: (i == F.col("id")).cast("double")).alias("loadings"))
+    sign = lambda j: F.when(F.bit_count((F.col("id") - 1).bitwiseAND(j - 1)) % 2 == 0, 1.0).otherwise(-1.0) / F.sqrt(F.lit(float(width)))
+    axes = spark.range(1, width + 1).select(F.col("id").cast("int").alias("component"), F.transform(F.sequence(F.lit(1).cast("long"), F.lit(width).cast("long")), sign).alias("loadings"))
     return geometry.project(e, axes.crossJoin(mean)).select("vec_id", "component", (F.round("value", 5) + 0.0).alias("value"))
 
 
+@query(f"""WITH {_ALN}, fw AS (SELECT row_id, m, 1 / (1 + exp(-(m / 10.0e0 + sum({_W})))) AS h FROM lf, (VALUES (1), (2)) mm(m) GROUP BY row_id, m),
+sd AS (SELECT row_id, CASE row_id % 2 WHEN 0 THEN 1 ELSE -1 END / sum(1.0e0) OVER (PARTITION BY row_id % 2) AS s FROM aln),
+gd AS (SELECT pos AS i, code AS a, 0 AS k, sum(s) AS v FROM lf JOIN sd USING (row_id) GROUP BY ALL UNION ALL SELECT 0, 0, m, sum(s * h) FROM fw JOIN sd USING (row_id) GROUP BY ALL UNION ALL SELECT pos, code, m, sum(s * h) FROM lf JOIN fw USING (row_id) JOIN sd USING (row_id) GROUP BY ALL),
+cl AS (SELECT pos::INT AS pos, code::INT AS code, m::INT AS m FROM range(0, {WIDTH + 1}) t(pos), range(0, 22) u(code), range(0, 3) w(m) WHERE (pos > 0) = (code > 0) AND (pos > 0 OR m > 0))
+SELECT pos AS site, code AS state, m AS unit, round(coalesce(v, 0) - CASE WHEN pos > 0 AND m > 0 THEN 0.001e0 * ({_W}) ELSE 0 END, 7) + 0.0e0 AS gradient FROM cl LEFT JOIN gd ON gd.i = pos AND gd.a = code AND gd.k = m""")
+def gradient_step(spark, d):
+    """One gradient of a machine: its expectations over a fixed batch, less those over fixed chains and the penalty. Site 0: a unit's own; unit 0: a state's own."""
+    a = alignment(spark, d).select("row_id", S.codes(F.col("seq")).alias("codes"))
+    m = fixed_rbm()
+    (gv, gh, gw), (cv, ch, cw) = (rbm.moments(a.filter(F.col("row_id") % 2 == r), m) for r in (0, 1))
+    w = gw - cw - 1e-3 * m.w
+    rows = [(i + 1, s + 1, 0, float(x)) for (i, s), x in np.ndenumerate(gv - cv)] + [(0, 0, u + 1, float(x)) for u, x in enumerate(gh - ch)]
+    rows += [(i + 1, s + 1, u + 1, float(x)) for (i, s, u), x in np.ndenumerate(w)]
+    return spark.createDataFrame(rows, "site int, state int, unit int, gradient double").withColumn("gradient", F.round("gradient", 7) + 0.0)
+
+
 @query(f"WITH {_BOTH.replace('SELECT i, j, row_number()', 'SELECT i, j, strength, row_number()')} SELECT * FROM (SELECT 'data' AS source, 1.0e0 AS r, 1.0e0 AS overlap, 5 AS hits, 0 AS missed, 0 AS false_alarms UNION ALL SELECT 'model', round(corr(x.strength, y.strength), 6), count(*) FILTER (x.k <= 5 AND y.k <= 5) / 5.0e0, count(*) FILTER (x.k <= 5 AND y.k <= 5), count(*) FILTER (x.k <= 5 AND y.k > 5), count(*) FILTER (x.k > 5 AND y.k <= 5) FROM x JOIN y USING (i, j))")
 def strengths_report(spark, d):
     """One half of the rows against the other, as data against a model's samples."""

@@ -73,6 +73,11 @@ def dead_units(rates: Column) -> Column:
     return F.size(F.filter(rates, lambda x: (x < DEAD) | (x > 1 - DEAD)))
 
 
+def dead_count(rate: Column) -> Column:
+    """dead_units() as an aggregate over rows of one rate each."""
+    return F.count_if((rate < DEAD) | (rate > 1 - DEAD))
+
+
 def gap_verdict(train: Column, heldout: Column) -> Column:
     return F.when(train - heldout > GAP, "overfits").when((train - heldout).isNotNull(), "agrees")
 
