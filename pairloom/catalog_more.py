@@ -479,13 +479,15 @@ def clamped_generation(spark, d):
 
 @query()
 def joint_training(spark, d):
-    """A joint model over two frozen halves: what is watched while its own units learn."""
+    """A joint model over two frozen halves: what is watched, on data and on chains, while its own units learn."""
     a = alignment(spark, d).select("row_id", S.codes(F.col("seq")).alias("codes"))
     left, right = fixed_rbm(LEFT), fixed_rbm(WIDTH - LEFT, LEFT)
     rows = []
+    # a batch of the data, and one held out from it, that the chains are compared with: 500 rows each at most
+    data, heldout = (np.array([r.codes for r in sampling.first_n(a.filter(F.col("row_id") % 2 == side), 500, 1).orderBy("row_id").collect()]) - 1 for side in (0, 1))
 
     def watch(k, m, x, grad):
-        rows.extend((k, *z) for z in train.diagnostics(m, x, x[::-1], LEFT, 4, grad=grad) if z[0] in ("wn", "gn", "firing_model"))
+        rows.extend((k, *z) for z in train.diagnostics(m, data, x, LEFT, 4, heldout, grad))
 
     train.train(a, train.joint(left, right, 3), 3, batch=500, clip=1.0, frozen=(left, right), callback=watch)
     return spark.createDataFrame(rows, "iter int, check string, name string, value double")
