@@ -15,8 +15,8 @@ def long_form(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def similar_pairs(rows: DataFrame, width: int, most: int) -> DataFrame:
-    """(a, b, d): distinct sequences, a < b, that differ at `most` sites or fewer. Sequences have one width."""
-    seqs = materialize(rows.select("seq").distinct(), "sequences")  # read four times
+    """(a, b, d): distinct sequences, a < b, that differ at `most` sites or fewer. Sequences have one width; null ones are like none."""
+    seqs = materialize(rows.select("seq").filter("seq IS NOT NULL").distinct(), "sequences")  # read four times
     return near(seqs, seqs, width, most, once=True)
 
 
