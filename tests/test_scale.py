@@ -111,3 +111,40 @@ def test_sweep_equals_runs_one_by_one(spark):
             assert (x.n_train, x.tp, x.n, x.tp_train) == (y.n_train, y.tp, y.n, y.tp_train) and abs(x.meff - y.meff) < 1e-9
         six = pairing.round_log(log)
         assert six.columns == ["n_train", "meff", "tp_all", "fp_all", "tp_train", "fp_train"] and all(s.tp_all + s.fp_all == 60 and s.fp_train >= 0 for s in six.collect())
+
+
+def test_repeated_halves_are_matched_as_kinds(spark):
+    from pairloom.operators import transport
+
+    rng = np.random.default_rng(8)
+    for t in range(40):
+        c = rng.integers(0, 5, (int(rng.integers(1, 6)), int(rng.integers(1, 6)))).astype(float) if t % 2 else rng.normal(size=rng.integers(1, 6, 2))
+        k = int(rng.integers(max(c.shape), 12))
+        left, right = (np.concatenate((np.arange(n), rng.integers(0, n, k - n))) for n in c.shape)
+        m = c[left][:, right]
+        col, got, gap = transport.match(lambda i, c=c: c[i], left, right, *c.shape, rng)
+        want, u, v, _ = assign.solve(m)
+        assert sorted(col) == list(range(k)) and np.isclose(got.sum(), m[np.arange(k), want].sum()) and np.allclose(got, m[np.arange(k), col])
+        if k > 1:
+            assert np.allclose(np.sort(gap), np.sort(assign._gaps(m, want, u, v)), atol=1e-8)
+    # 20,000 rows of few kinds: a matrix of rows would hold 400 million scores
+    seqs = sequences(rng, 30, 8, 30, 4)
+    rows = spark.createDataFrame([(i, "S", seqs[i % 30][:4] + seqs[i // 30 % 30][4:]) for i in range(20_000)], "row_id long, species string, seq string")
+    got = dense.match_groups(rows, dense.TableScores(rng.normal(size=(4, 21, 4, 21))), 4)
+    assert got.agg(F.count_distinct("hk"), F.count_distinct("rr"), F.max("gap")).first()[:] == (20_000, 20_000, 0.0)
+
+
+def test_small_groups_are_enumerated_together(spark):
+    rng = np.random.default_rng(9)
+    seqs = sequences(rng, 60, 8, 60, 4)
+    rows = spark.createDataFrame([(i, f"S{i // 3 if i < 45 else i}", s) for i, s in enumerate(seqs)], "row_id long, species string, seq string")
+    scores = dense.TableScores(rng.normal(size=(4, 21, 4, 21)))
+    got = {r.hk: r for r in dense.match_groups(rows, scores, 4).collect()}
+    codes = dense.code_matrix(seqs)
+    assert len(got) == 60
+    for x in [*range(0, 45, 3), *range(45, 60)]:
+        part = codes[x : x + 3] if x < 45 else codes[x : x + 1]
+        s = scores(part[:, :4], part[:, 4:])
+        col, gap = assign.assign(s, np.random.default_rng(0))
+        assert np.isclose(sum(got[x + k].score for k in range(len(part))), s[np.arange(len(s)), col].sum())
+        assert np.allclose([got[x + k].gap for k in range(len(part))], gap)
