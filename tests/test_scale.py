@@ -148,3 +148,33 @@ def test_small_groups_are_enumerated_together(spark):
         col, gap = assign.assign(s, np.random.default_rng(0))
         assert np.isclose(sum(got[x + k].score for k in range(len(part))), s[np.arange(len(s)), col].sum())
         assert np.allclose([got[x + k].gap for k in range(len(part))], gap)
+
+
+def test_sequences_meet_without_sets_of_sites(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    seqs = sequences(rng, 120, 8, 6, 5) + ["AAAACCCC"] * 3
+    rows = spark.createDataFrame(list(enumerate(seqs)), "row_id long, seq string")
+    far = lambda a, b: sum(p != q for p, q in zip(a, b))
+    for most in (0, 1, 2):
+        assert hamming.masked(8, most)
+        w = {r.row_id: r.w for r in stats.sequence_weights(rows, 8, most).collect()}
+        assert all(np.isclose(w[i], 1 / sum(far(x, y) <= most for y in seqs)) for i, x in enumerate(seqs)) and len(w) == len(seqs)
+        got = hamming.masked_pairs(rows.select("seq").distinct(), 8, most).collect()
+        assert {(r.a, r.b): r.d for r in got} == near_pairs(seqs, most) and len(got) == len(near_pairs(seqs, most))
+    q, r = sorted(set(seqs[:40])), sorted(set(seqs[40:]))
+    both = [spark.createDataFrame([(x,) for x in t], "seq string") for t in (q, r)]
+    best = {x.seq: x.d for x in hamming.best_agreement(*both, 8).collect()}
+    assert best == {x: min(far(x, y) for y in r) for x in q}
+
+
+def test_summary_of_scores_equals_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    seqs = sequences(rng, 50, 8, 50, 4)
+    rows = spark.createDataFrame([(i, f"S{i % 3}", seqs[i * i % 50]) for i in range(80)] + [(99, None, seqs[0])], "row_id long, species string, seq string")
+    scores = dense.TableScores(rng.normal(size=(4, 21, 4, 21)))
+    monkeypatch.setattr(dense, "PART", 4)
+    got = {r.species: r for r in dense.score_summary(rows, scores, 4).collect()}
+    for r in dense.score_groups(rows, scores, 4).groupBy("species").agg(F.count("*").alias("n"), F.sum("score").alias("t"), F.max("score").alias("b")).collect():
+        g = got.pop(r.species)
+        assert g.pairs == r.n and np.isclose(g.total, r.t) and np.isclose(g.best, r.b)
+    assert not got
