@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.arrays import ARRAYS, array_rows, summed
+from pairloom.operators.hamming import best_agreement
 
 #: Vectors in a block.
 BLOCK = 4096
+#: Sites of sequences that are compared by sets of sites: 2 to that power sets at most.
+SHORT = 10
 #: Variance that the leading axes of the index hold together.
 LEADING = 0.8
 
@@ -202,8 +205,13 @@ def project(df: DataFrame, basis: DataFrame) -> DataFrame:
 def best_identity(query: DataFrame, reference: DataFrame, order: str) -> DataFrame:
     """(row_id, identity): the share of sites at which rows (row_id, seq) agree with the most similar reference row.
 
-    Equal sequences are compared once. Agreements of one-hot vectors are half of what their squared distance lacks.
+    Equal sequences are compared once. Short ones meet without sets of sites (best_agreement); of wider ones, agreements of one-hot vectors are half of what their squared distance lacks.
     """
+    wide = query.select("seq").unionByName(reference.select("seq")).agg(F.min(F.length("seq")).alias("lo"), F.max(F.length("seq")).alias("hi")).first()
+    if wide.lo is not None and wide.lo == wide.hi and 0 < wide.lo <= SHORT:
+        d = best_agreement(query.select("seq").distinct(), reference.select("seq").distinct(), wide.lo)
+        met = d.select("seq", (1 - F.col("d") / wide.lo).alias("identity"))
+        return query.select("row_id", "seq").join(met, "seq").select("row_id", "identity")
     symbols = F.array(*[F.lit(c) for c in order])
     hot = lambda df: df.select("seq").distinct().select(F.xxhash64("seq").alias("vec_id"), "seq", F.flatten(F.transform(F.split("seq", ""), lambda s: F.transform(symbols, lambda a: (a == s).cast("float")))).alias("embedding"))
     q = hot(query)
