@@ -17,8 +17,6 @@ from pairloom.operators.hamming import best_agreement
 BLOCK = 4096
 #: Sites of sequences that are compared by sets of sites: 2 to that power sets at most.
 SHORT = 10
-#: Variance that the leading axes of the index hold together.
-LEADING = 0.8
 
 
 def _vectors(col: pa.Array) -> np.ndarray:
@@ -27,10 +25,6 @@ def _vectors(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
 
 
-def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
-
-
 def _rotated(df: DataFrame, mean: np.ndarray, axes: np.ndarray, name: str) -> DataFrame:
     """Blocks (name_id, name_x) of about BLOCK vectors along the axes (columns), whose distances are those of the vectors."""
 
@@ -48,28 +42,33 @@ def _rotated(df: DataFrame, mean: np.ndarray, axes: np.ndarray, name: str) -> Da
 
 def _search(query: DataFrame, reference: DataFrame, exclude_self: bool) -> DataFrame:
     """(vec_id, distance, measured, pairs) of each query and block of reference vectors: the least distance, and how many were measured in full."""
-    n, mean, values, axes = covariance(reference)
+    n, mean, _, axes = covariance(reference)
     if not n:
         return query.sparkSession.createDataFrame([], "vec_id long, distance double, measured long, pairs long")
-    held = np.cumsum(values) / max(values.sum(), 1e-300)
-    lead = min(len(mean), int(np.searchsorted(held, LEADING)) + 1)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 qi, q, ri, r = (batch.column(c)[k].values.to_numpy() for c in ("q_id", "q_x", "r_id", "r_x"))
                 q, r = q.reshape(len(qi), -1), r.reshape(len(ri), -1)
-                rest = lambda m: np.column_stack((m[:, :lead], np.sqrt((m[:, lead:] ** 2).sum(1))))
-                low = _squares(rest(q), rest(r))  # no pair is nearer than its leading axes and the lengths of the rest allow
-                if exclude_self:
+                a, b = np.sqrt((q * q).sum(1)), np.sqrt((r * r).sum(1))
+                large = not max(a.max(), b.max()) < 1e15  # squares must fit single precision
+                kind = np.float64 if large else np.float32
+                low = (-2 * q).astype(kind) @ r.T.astype(kind)
+                low += (a * a).astype(kind)[:, None]
+                low += (b * b).astype(kind)
+                if exclude_self and len(np.intersect1d(qi, ri)):
                     low[qi[:, None] == ri[None, :]] = np.inf
-                full = lambda i, j: ((q[i] - r[j]) ** 2).sum(1)
-                best = full(np.arange(len(q)), low.argmin(axis=1))
-                best[np.isinf(low.min(axis=1))] = np.inf
-                # rounding may make a bound a little too large, so a pair is ruled out with a margin only
-                i, j = np.nonzero(low < best[:, None] * (1 + 1e-9) + 1e-12)
-                for a in range(0, len(i), BLOCK * 16):
-                    np.minimum.at(best, i[a : a + BLOCK * 16], full(i[a : a + BLOCK * 16], j[a : a + BLOCK * 16]))
+                # a square is off by less than this: rounded inputs, a dot product of their width, two sums
+                off = (q.shape[1] + 8) * 2 * np.finfo(kind).eps * (a + b.max()) ** 2 + np.finfo(kind).tiny
+                least = low.min(axis=1)
+                i, j = np.nonzero(low <= (least + 2 * off).astype(kind)[:, None] * kind(1 + 1e-6))
+                some = np.isfinite(low[i, j])
+                i, j = i[some], j[some]
+                best = np.full(len(q), np.inf)
+                for x in range(0, len(i), BLOCK * 16):
+                    p, o = i[x : x + BLOCK * 16], j[x : x + BLOCK * 16]
+                    np.minimum.at(best, p, ((q[p] - r[o]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(np.sqrt(best)), pa.array(np.bincount(i, minlength=len(q))), pa.array(np.full(len(q), len(r)))], ["vec_id", "distance", "measured", "pairs"])
 
     pairs = _rotated(query, mean, axes, "q").crossJoin(_rotated(reference, mean, axes, "r"))  # blocks with blocks
@@ -79,8 +78,8 @@ def _search(query: DataFrame, reference: DataFrame, exclude_self: bool) -> DataF
 def nearest(query: DataFrame, reference: DataFrame, exclude_self: bool = True) -> DataFrame:
     """(vec_id, distance): Euclidean distance to the nearest reference vector, exact.
 
-    Vectors are turned once onto the principal axes of the reference. The leading axes, and the length of what is left, bound each distance
-    from below; a block of queries meets each block of reference vectors once, and pairs whose bound is beyond the best found
+    Vectors are centred and turned once. A block of queries meets each block of reference vectors once: a product in single precision gives
+    all squares to within a bound that is known, and pairs that the bound cannot tell from the least are measured in double precision; others
     there are not measured. Without another reference vector, a query is left out.
     """
     return _search(query, reference, exclude_self).groupBy("vec_id").agg(F.min("distance").alias("distance")).filter("distance < double('infinity')")

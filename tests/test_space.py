@@ -67,3 +67,14 @@ def test_order_statistics_with_ties_and_tight_brackets(spark):
         assert sampling.order_statistics(df, "v", ranks, few=few) == [float(np.sort(x)[k - 1]) for k in ranks]
     whole = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
     assert sampling.order_statistics(whole, "v", [500, 1, 1000]) == [499, 0, 999]
+
+
+def test_nearest_of_close_and_of_huge_vectors(spark):
+    rng = np.random.default_rng(12)
+    for scale, shift in ((1e-4, 1000.0), (1e18, 0.0)):  # differences below single precision's steps; squares beyond its range
+        x = rng.normal(size=(60, 8)) * scale + shift
+        v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        np.fill_diagonal(d, np.inf)
+        got = {r.vec_id: r.distance for r in geometry.nearest(v, v).collect()}
+        assert len(got) == 60 and all(np.isclose(got[i], d[i].min(), rtol=1e-6) for i in got)
