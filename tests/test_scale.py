@@ -178,3 +178,26 @@ def test_summary_of_scores_equals_all_pairs(spark, monkeypatch):
         g = got.pop(r.species)
         assert g.pairs == r.n and np.isclose(g.total, r.t) and np.isclose(g.best, r.b)
     assert not got
+
+
+def test_a_large_group_takes_few_exchanges(monkeypatch):
+    from pairloom.operators import transport
+
+    rng = np.random.default_rng(12)
+    n, m = 120, 150
+    c = rng.normal(size=(n, 4)) @ rng.normal(size=(4, m))
+    left, right = np.concatenate((np.arange(n), rng.integers(0, n, 280))), np.concatenate((np.arange(m), rng.integers(0, m, 250)))
+    steps, enter = [], transport.Tree.enter
+    monkeypatch.setattr(transport.Tree, "enter", lambda *a: (steps.append(1), enter(*a)))
+    col, got, gap = transport.match(lambda i: c[i], left, right, n, m, rng)
+    whole = c[left][:, right]
+    want, u, v, _ = assign.solve(whole)
+    assert sorted(col) == list(range(400)) and np.isclose(got.sum(), whole[np.arange(400), want].sum()) and np.allclose(got, whole[np.arange(400), col])
+    assert np.allclose(np.sort(gap), np.sort(assign._gaps(whole, want, u, v)), atol=1e-8)
+    assert len(steps) < 3 * (n + m)
+    # prices from every k-th row, or none that are of use, give the same
+    for k in (m * 10, 1):
+        monkeypatch.setattr(transport, "SMOOTHED", k)
+        assert np.isclose(transport.match(lambda i: c[i], left, right, n, m, rng)[1].sum(), got.sum())
+    same = transport.match(lambda i: np.ones((n, m))[i] * np.array([0.0, 1e6])[(np.arange(m) % 2)], left, right, n, m, rng)
+    assert np.isclose(same[1].sum(), 1e6 * (right % 2).sum())
