@@ -201,3 +201,16 @@ def test_a_large_group_takes_few_exchanges(monkeypatch):
         assert np.isclose(transport.match(lambda i: c[i], left, right, n, m, rng)[1].sum(), got.sum())
     same = transport.match(lambda i: np.ones((n, m))[i] * np.array([0.0, 1e6])[(np.arange(m) % 2)], left, right, n, m, rng)
     assert np.isclose(same[1].sum(), 1e6 * (right % 2).sum())
+
+
+def test_training_counts_short_sequences_without_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    seqs = sequences(rng, 80, 8, 6, 5)
+    far = lambda a, b: sum(p != q for p, q in zip(a, b))
+    monkeypatch.setattr(hamming, "near", None)
+    rows = spark.createDataFrame(list(enumerate(seqs)), "row_id long, seq string")
+    learnt = Training(rows, 8, 4, 1)
+    for keep in (range(0, 40), range(10, 80), list(range(10, 30)) * 2, []):
+        now = [seqs[j] for j in keep]
+        meff = learnt.update(spark.createDataFrame([(x,) for x in now], "seq string"))
+        assert abs(meff - sum(1 / sum(far(x, y) <= 1 for y in now) for x in now)) < 1e-9
