@@ -214,3 +214,17 @@ def test_training_counts_short_sequences_without_pairs(spark, monkeypatch):
         now = [seqs[j] for j in keep]
         meff = learnt.update(spark.createDataFrame([(x,) for x in now], "seq string"))
         assert abs(meff - sum(1 / sum(far(x, y) <= 1 for y in now) for x in now)) < 1e-9
+
+
+def test_short_sequences_are_counted_in_each_run(spark):
+    rng = np.random.default_rng(13)
+    seqs = sequences(rng, 80, 8, 6, 5)
+    rows = spark.createDataFrame([(i % 2, seqs[i]) for i in range(80)] + [(2, seqs[0])], "cfg long, seq string")
+    got = {(r.cfg, r.seq): r for r in sweep._counted(rows, 8, 1).collect()}
+    far = lambda a, b: sum(p != q for p, q in zip(a, b))
+    for k in range(3):
+        mine = [r.seq for r in rows.collect() if r.cfg == k]
+        for x in set(mine):
+            r = got.pop((k, x))
+            assert r.c == mine.count(x) and np.isclose(r.w, mine.count(x) / sum(far(x, y) <= 1 for y in mine))
+    assert not got
