@@ -266,3 +266,21 @@ def test_ranks_in_a_hot_group(spark):
         if s is not None:
             got = [(r.hk, r.rr) for r in pairs if r.species == s]
             assert sorted(a for a, _ in got) == sorted(b for _, b in got) == sorted(v)
+
+
+def test_queries_that_pair_read_the_alignment_once(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    rows = [(i, f"S{i % 4}", "".join(rng.choice(list("ACDE"), 8))) for i in range(60)]
+    read = spark.sparkContext.accumulator(0)
+
+    def go(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    kinds = "row_id long, species string, seq string"
+    monkeypatch.setattr(catalog, "alignment", lambda s, d: s.createDataFrame(rows, kinds).mapInArrow(go, kinds))
+    monkeypatch.setattr(catalog_more, "alignment", catalog.alignment)
+    for name in ("assign_k2", "assign_k3", "predict_k3", "one_shot_pairing", "matched_comparison", "free_energy_pairing", "clamped_generation", "flagship"):
+        before = read.value
+        assert catalog.QUERIES[name](spark, "").count() and (name, read.value - before) == (name, 60)
