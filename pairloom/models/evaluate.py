@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +45,45 @@ def convergence(chain: DataFrame, data: DataFrame, model: M.RBM, units: slice =
 
 def clamped(rows: DataFrame, model: M.RBM, keep: list[int], replicas: int, sweeps: int, seed: int = 0) -> DataFrame:
     """(row_id, replica, pos, code) of the sites that are not in `keep`, generated with those held to the row's."""
-    many = tiled(rows.select("row_id", "codes"), replicas).select(F.xxhash64("row_id", "replica").alias("chain"), "row_id", "replica", "codes")
-    sites = len(model.g)
-    start = F.transform("codes", lambda c, i: F.when((i + 1).isin(keep), c).otherwise((F.pmod(F.xxhash64("chain", i, F.lit(seed)), F.lit(model.g.shape[1])) + 1).cast("int")))
-    made = M.sample(many.select(F.col("chain").alias("row_id"), start.alias("codes")), model, sweeps, seed, keep).withColumnRenamed("row_id", "chain")
-    out = made.join(many.select("chain", "row_id", "replica"), "chain").select("row_id", "replica", F.posexplode("codes").alias("pos", "code")).withColumn("pos", F.col("pos") + 1)
-    return out.filter(~F.col("pos").isin([s for s in keep if s <= sites]))
+    nested = lambda v: [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * replicas), M.code_lists(v.reshape(-1, v.shape[2])))]
+    made = _generated(rows, model, keep, replicas, sweeps, seed, "made array<array<int>>", nested)
+    out = made.select("row_id", F.posexplode("made").alias("replica", "codes")).select("row_id", (F.col("replica") + 1).alias("replica"), F.posexplode("codes").alias("pos", "code")).withColumn("pos", F.col("pos") + 1)
+    return out.filter(~F.col("pos").isin(keep))
+
+
+def clamped_modes(rows: DataFrame, model: M.RBM, keep: list[int], replicas: int, sweeps: int, seed: int = 0) -> DataFrame:
+    """(row_id, codes, single, mode): rows(row_id, codes) with what clamped() generates, as codes of all sites.
+
+    single is replica 1, mode the commonest code of each site over all replicas (the least of equal ones). A row's replicas are one
+    array, so nothing is shuffled.
+    """
+
+    def most(v: np.ndarray) -> list[pa.Array]:
+        count = (v[:, :, :, None] == np.arange(model.g.shape[1])).sum(axis=1)
+        return [M.code_lists(v[:, 0]), M.code_lists(count.argmax(axis=2))]
+
+    return _generated(rows, model, keep, replicas, sweeps, seed, "single array<int>, mode array<int>", most)
+
+
+def _generated(rows: DataFrame, model: M.RBM, keep: list[int], replicas: int, sweeps: int, seed: int, kinds: str, give: Callable[[np.ndarray], list[pa.Array]]) -> DataFrame:
+    """(row_id, codes) and the columns of `kinds`, which `give` makes of codes from 0 by row, replica and site."""
+    chain = lambda r: F.xxhash64("row_id", r)
+    drawn = lambda r, i: (F.pmod(F.xxhash64(chain(r), i, F.lit(seed)), F.lit(model.g.shape[1])) + 1).cast("int")
+    each = F.sequence(F.lit(1), F.lit(replicas))
+    start = F.flatten(F.transform(each, lambda r: F.transform("codes", lambda c, i: F.when((i + 1).isin(keep), c).otherwise(drawn(r, i)))))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = M.held(model, keep)
+        step = max(1, 500 // replicas)
+        for whole in batches:
+            for x in range(0, whole.num_rows, step):
+                b = whole.slice(x, step)
+                ids, v = b.column("chain").flatten().to_numpy(), b.column("start").flatten().to_numpy().astype(np.int64) - 1
+                v = model.gibbs(v.reshape(len(ids), -1), sweeps, M.Noise(ids, seed), mask)
+                made = give(v.reshape(b.num_rows, replicas, -1))
+                yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("codes"), *made], ["row_id", "codes", *(k.split()[0] for k in kinds.split(", "))])
+
+    return rows.select("row_id", "codes", F.transform(each, chain).alias("chain"), start.alias("start")).mapInArrow(go, f"row_id long, codes array<int>, {kinds}")
 
 
 def clamped_report(made: DataFrame, truth: DataFrame, reference: DataFrame) -> DataFrame:
@@ -58,20 +93,37 @@ def clamped_report(made: DataFrame, truth: DataFrame, reference: DataFrame) -> D
     predecessor's in its species (the wrong partner), and against the consensus of reference(pos, code).
     bucket: 0 for all sites, 1 to 4 by quartiles of the reference's conservation.
     """
-    cons = rank.consensus(reference)
     partner = groups.shift_partner(truth.select("row_id", "species").distinct())
     own = truth.select("row_id", "pos", F.col("code").alias("own"))
     wrong = partner.join(truth.select(F.col("row_id").alias("partner"), "pos", F.col("code").alias("wrong")), "partner").select("row_id", "pos", "wrong")
     mode = majority(made, ["row_id", "pos"]).withColumnRenamed("code", "mode")
     single = made.filter("replica = 1").select("row_id", "pos", F.col("code").alias("single"))
-    sites = rank.quartiles(cons, "conservation").select("pos", F.col("code").alias("common"), "bucket")
-    cells = single.join(mode, ["row_id", "pos"]).join(own, ["row_id", "pos"]).join(wrong, ["row_id", "pos"]).join(F.broadcast(sites), "pos")
-    cells = cells.withColumn("bucket", F.explode(F.array(F.lit(0), "bucket")))
-    same = lambda a, b: F.avg((F.col(a) == F.col(b)).cast("double"))
-    return cells.groupBy("bucket").agg(
-        F.count_distinct("pos").alias("n_sites"), same("single", "own").alias("true_single"), same("mode", "own").alias("true_mode"), same("single", "wrong").alias("wrong_single"),
-        same("mode", "wrong").alias("wrong_mode"), same("common", "own").alias("consensus"), same("own", "wrong").alias("real_to_real"),
-    )
+    return _agreement(single.join(mode, ["row_id", "pos"]).join(own, ["row_id", "pos"]).join(wrong, ["row_id", "pos"]), rank.consensus(reference))
+
+
+def clamped_mode_report(made: DataFrame, rows: DataFrame, keep: list[int]) -> DataFrame:
+    """clamped_report() of clamped_modes() against rows(row_id, species, codes) and their own consensus, over the sites that are not in `keep`.
+
+    A row meets its wrong partner as a whole, not site by site; sites are counted where the rows meet.
+    """
+    partner = groups.shift_partner(rows.select("row_id", "species").distinct())
+    # file sizes are far below what such arrays take in memory, so none may be broadcast by them
+    wrong = partner.join(rows.select(F.col("row_id").alias("partner"), F.col("codes").alias("wrong")).hint("merge"), "partner").select("row_id", "wrong")
+    names = ["single", "mode", "own", "wrong"]
+    whole = made.withColumnRenamed("codes", "own").hint("merge").join(wrong, "row_id").select(F.posexplode(F.arrays_zip(*names)).alias("pos", "x"))
+    cells = whole.select((F.col("pos") + 1).alias("pos"), *[F.col(f"x.{c}").alias(c) for c in names])
+    free = lambda long: long.filter(~F.col("pos").isin(keep))
+    reference = rows.select(F.posexplode("codes").alias("pos", "code")).withColumn("pos", F.col("pos") + 1)
+    return _agreement(free(cells), rank.consensus(free(reference)))
+
+
+def _agreement(cells: DataFrame, cons: DataFrame) -> DataFrame:
+    """The report from cells(pos, single, mode, own, wrong) and the consensus; cells are counted by site, a table of as many rows as sites."""
+    sites = rank.quartiles(materialize(cons, "consensus"), "conservation").select("pos", F.col("code").alias("common"), "bucket")
+    pairs = {"true_single": ("single", "own"), "true_mode": ("mode", "own"), "wrong_single": ("single", "wrong"), "wrong_mode": ("mode", "wrong"), "consensus": ("common", "own"), "real_to_real": ("own", "wrong")}
+    same = cells.join(F.broadcast(sites), "pos").groupBy("pos", "bucket").agg(F.count("*").alias("n"), *[F.count_if(F.col(a) == F.col(b)).alias(k) for k, (a, b) in pairs.items()])
+    both = same.withColumn("bucket", F.explode(F.array(F.lit(0), "bucket")))
+    return both.groupBy("bucket").agg(F.count("*").alias("n_sites"), *[(F.sum(k) / F.sum("n")).alias(k) for k in pairs])
 
 
 def strengths_report(named: dict[str, DataFrame], width: int, width_a: int, share: float) -> DataFrame:

@@ -241,6 +241,39 @@ def test_clamped_report_of_a_perfect_generator(spark):
     assert rep[0].n_sites == 8 and rep[0].true_single == rep[0].true_mode == 1.0 and rep[0].wrong_single == rep[0].real_to_real < 1
 
 
+def test_clamped_modes_agree_with_the_long_form_without_joins_of_chains(spark):
+    rows = aligned(spark, 90, 8).withColumn("codes", S.codes(F.col("seq")))
+    model, keep = catalog_more.fixed_rbm(), [1, 2, 3, 4]
+    long = evaluate.clamped(rows, model, keep, 3, 2)
+    want = {(r.row_id, r.pos): r.code for r in evaluate.majority(long, ["row_id", "pos"]).collect()}
+    first = {(r.row_id, r.pos): r.code for r in long.filter("replica = 1").collect()}
+    found = evaluate.clamped_modes(rows, model, keep, 3, 2)
+    got = found.collect()
+    assert len(got) == 90 and len(want) == 90 * 4
+    assert {(r.row_id, p): r["mode"][p - 1] for r in got for p in range(5, 9)} == want
+    assert {(r.row_id, p): r.single[p - 1] for r in got for p in range(5, 9)} == first
+    assert all(r.single[:4] == r["mode"][:4] == r.codes[:4] for r in got)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    right = stats.long_form(rows, "species").filter("pos > 4")
+    a, b = ({r.bucket: r for r in x.collect()} for x in (evaluate.clamped_report(long, right, right), evaluate.clamped_mode_report(found, rows, keep)))
+    assert a == b and a[0].n_sites == 4
+
+
+def test_draws_of_free_sites_alone(spark):
+    ids, model = np.arange(40), catalog_more.fixed_rbm()
+    whole, part = rbm.Noise(ids, 3), rbm.Noise(ids, 3)
+    assert np.array_equal(whole.gumbel((40, 8, 21))[:, [5, 7]], part.gumbel((40, 8, 21), np.array([5, 7])))
+    assert np.array_equal(whole.random((40, 2)), part.random((40, 2)))
+    v = np.random.default_rng(1).integers(0, 21, (40, 8))
+    mask = np.arange(8) < 4
+    x, noise, y = v, rbm.Noise(ids, 5), model.gibbs(v, 3, rbm.Noise(ids, 5), mask)
+    for _ in range(3):
+        x = model.gibbs(x, 1, noise)
+        x[:, mask] = v[:, mask]
+    assert np.array_equal(x, y)
+
+
 def test_lookup_counts_misses(spark):
     left, right = spark.createDataFrame([("a",), ("b",)], "header string"), spark.createDataFrame([(5, "a"), (3, "a")], "row_id long, header string")
     assert {r.header: r.found_row for r in groups.lookup(left, right, "header").collect()} == {"a": 3, "b": None}
