@@ -340,14 +340,11 @@ def near_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             g = np.append(K.mix(v ^ _POINT), K.U(0))
             n = np.diff(at)
             s1, s2 = (np.where(n > 0, np.add.reduceat(z, at[:-1]), K.U(0)) if len(n) else z[:0] for z in (h, g))
-            yield pa.RecordBatch.from_arrays([b.column("rid").slice(x, y - x), b.column("doc_id").slice(x, y - x).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], ["rid", "doc_id", "n", "s1", "s2"])
-
-    def keys(batches):
-        for b, x, y, v, at in _by_row(batches, k):
             key, row = bands.keys(v, at)
-            rid = b.column("rid").to_numpy()[x:y]
-            for lo in range(0, len(key), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 16)].view(np.int64)), pa.array(rid[row[lo : lo + (1 << 16)]])], ["key", "rid"])
+            key = key[np.argsort(row, kind="stable")].view(np.int64)
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(n)))).astype(np.int32)
+            cols = [b.column("rid").slice(x, y - x), b.column("doc_id").slice(x, y - x).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(key))]
+            yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "n", "s1", "s2", "keys"])
 
     def full(batches):
         for b, x, y, v, at in _by_row(batches, k):
@@ -355,10 +352,13 @@ def near_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             cols = [b.column("rid").slice(x, y - x), pa.array(np.diff(at).astype(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([point(s).tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["rid", "n", "tokens", "vec"])
 
-    sized = materialize(docs.select("rid", "doc_id", "text").mapInArrow(measure, "rid long, doc_id long, n long, s1 long, s2 long"), "sized")
+    # keys take a fraction of the text's bytes, so they, and not the texts, are dealt to find the least row of equal sets
+    measured = materialize(docs.select("rid", "doc_id", "text").mapInArrow(measure, "rid long, doc_id long, n long, s1 long, s2 long, keys array<long>"), "measured")
+    sized = materialize(measured.drop("keys"), "sized")
     same = materialize(sized.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep")), "same")
-    unique = docs.select("rid", "text").join(same.select(F.col("rep").alias("rid")), "rid")
-    keyed_rows = materialize(unique.mapInArrow(keys, "key long, rid long"), "keys")
+    unique = measured.select("rid", "keys").join(same.select(F.col("rep").alias("rid")).hint("merge"), "rid")  # by its file's size a table of ids would be broadcast long after it is large
+    keyed_rows = materialize(unique.select(F.explode("keys").alias("key"), "rid"), "keys")
+    release(measured)
     shared = materialize(keyed_rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
     bucket = materialize(keyed_rows.join(shared, "key"), "buckets")
     release(keyed_rows)
@@ -367,7 +367,7 @@ def near_groups(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     least = lambda salt: F.min(F.struct(F.xxhash64("key", F.lit(salt)).alias("h"), "key", "c"))
     picks = bucket.groupBy("rid").agg(*[least(s).alias(f"p{s}") for s in range(PICKS)])
     picks = materialize(picks.select("rid", F.array_distinct(F.array(*[F.struct(f"p{s}.key", f"p{s}.c") for s in range(PICKS)])).alias("picks")), "picks")
-    sets = materialize(docs.select("rid", "text").join(picks.select("rid"), "rid").mapInArrow(full, "rid long, n long, tokens binary, vec binary"), "sets")
+    sets = materialize(docs.select("rid", "text").join(picks.select("rid").hint("merge"), "rid").mapInArrow(full, "rid long, n long, tokens binary, vec binary"), "sets")
 
     def links(points: DataFrame, name: str) -> DataFrame:
         """Verified links of the rows (key, block, stored, ask, rid, comp) of buckets."""

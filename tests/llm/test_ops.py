@@ -565,3 +565,19 @@ def test_joins_with_tiny_blocks(spark, monkeypatch):
     for k, num in ((3, 90), (5, 80)):
         got = jaccard_join.group_near_duplicates(d, k, num, 100).select("doc_id", "n_shingles", "component_id")
         assert rows(got) == brute.near_groups(plain, k, num, 100)
+
+
+def test_near_groups_read_the_texts_twice(spark):
+    texts = [" ".join(f"w{(i // 2 * 31 + j) % 400}" for j in range(60)) + (" end" if i % 2 else "") for i in range(40)] + ["", None, "two words"]
+    read = spark.sparkContext.accumulator(0)
+
+    def go(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    kinds = "rid long, doc_id long, text string"
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts * 2)], kinds).mapInArrow(go, kinds)
+    got = rows(jaccard_join.near_groups(docs, 3, 90, 100).select("doc_id", "n_shingles", "component_id"))
+    assert got == brute.near_groups(list(enumerate(texts * 2)), 3, 90, 100)
+    assert read.value == 2 * 2 * len(texts)  # once for sizes and keys, once for the sets that are verified
