@@ -317,3 +317,13 @@ def test_queries_that_pair_read_the_alignment_once(spark, monkeypatch):
     for name in ("assign_k2", "assign_k3", "predict_k3", "one_shot_pairing", "matched_comparison", "free_energy_pairing", "clamped_generation", "flagship"):
         before = read.value
         assert catalog.QUERIES[name](spark, "").count() and (name, read.value - before) == (name, 60)
+
+
+def test_the_sweep_makes_all_published_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows = [(i, f"S{i % 12}", "".join(rng.choice(list("ACDE"), 8))) for i in range(60)]
+    monkeypatch.setattr(catalog_more, "alignment", lambda s, d: s.createDataFrame(rows, "row_id long, species string, seq string"))
+    monkeypatch.setattr(catalog_more, "STARTS", [1, 20])
+    monkeypatch.setattr(catalog_more, "REPLICATES", 2)
+    out = {(r.n_start, r["iter"]): r for r in catalog.QUERIES["replicate_sweep"](spark, "").collect()}
+    assert sorted(out) == [(n, k) for n in (1, 20) for k in range(1, 6)] and all(0 <= r.tp_mean <= 1 and r.tp_std >= 0 for r in out.values())
