@@ -327,3 +327,42 @@ def test_the_sweep_makes_all_published_rounds(spark, monkeypatch):
     monkeypatch.setattr(catalog_more, "REPLICATES", 2)
     out = {(r.n_start, r["iter"]): r for r in catalog.QUERIES["replicate_sweep"](spark, "").collect()}
     assert sorted(out) == [(n, k) for n in (1, 20) for k in range(1, 6)] and all(0 <= r.tp_mean <= 1 and r.tp_std >= 0 for r in out.values())
+
+
+def test_batches_take_each_row_once_a_pass(spark, monkeypatch):
+    rows = spark.range(70).select(F.col("id").alias("row_id"), F.array(*[((F.col("id") / 5**k).cast("int") % 5 + 1).cast("int") for k in range(3)]).alias("codes"))
+    want = sorted((np.array(r.codes) - 1).tolist() for r in rows.collect())
+
+    def three_passes(table):
+        dealt = rbm.batches(table, 3, 7, 4)
+        return np.concatenate([next(dealt) for _ in range(30)]).reshape(3, 70, 3).tolist()
+
+    once = three_passes(rows)
+    assert all(sorted(p) == want for p in once) and once[0] != once[1] and three_passes(rows.repartition(5)) == once
+    monkeypatch.setattr(rbm, "HELD", 50)  # five parts, which are read anew in each pass
+    assert all(sorted(p) == want for p in three_passes(rows))
+    wide = rbm.batches(rows, 3, 150, 4)  # more than there are rows
+    assert len(next(wide)) == 150 and np.isclose(np.mean(np.concatenate([next(wide) for _ in range(13)]) == 0), np.mean(np.array(want) == 0), atol=0.02)
+    assert next(rbm.batches(rows.filter("false"), 3, 7, 4)).shape == (0, 3)
+    v, m = np.array(want), catalog_more.fixed_rbm(3)
+    assert all(np.allclose(a, b) for a, b in zip(rbm.batch_moments(v, m), rbm.moments(rows, m)))
+
+
+def test_clamped_generation_trains_for_all_published_steps(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    rows = [(i, f"S{i % 4}", h * 8) for i, h in enumerate(rng.choice(list("AC"), 80).tolist())]
+    monkeypatch.setattr(catalog_more, "alignment", lambda s, d: s.createDataFrame(rows, "row_id long, species string, seq string"))
+    given, train = [], rbm.train
+
+    def shorter(table, model, iterations, **more):
+        given.append((iterations, more["batch"]))
+        return train(table, model, 2000, **more)
+
+    monkeypatch.setattr(rbm, "train", shorter)
+    out = {r.bucket: r for r in catalog.QUERIES["clamped_generation"](spark, "").collect()}
+    assert given == [(10_000, 256)]
+    assert out[0].true_mode > 0.4 and out[0].true_single > 0.4  # after two steps about one in 21
+    monkeypatch.setattr(catalog_more, "STEPS", 3)
+    monkeypatch.setattr(catalog_more, "BATCH", 16)
+    catalog.QUERIES["clamped_generation"](spark, "").collect()
+    assert given[1] == (10, 16)  # two passes over 80 rows
