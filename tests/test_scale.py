@@ -228,3 +228,23 @@ def test_short_sequences_are_counted_in_each_run(spark):
             r = got.pop((k, x))
             assert r.c == mine.count(x) and np.isclose(r.w, mine.count(x) / sum(far(x, y) <= 1 for y in mine))
     assert not got
+
+
+def test_sweep_rounds_start_from_the_prices_found(spark, monkeypatch):
+    from pairloom.operators import transport
+
+    monkeypatch.setattr(transport, "PRICED", 1)
+    rows = _aligned(spark)
+    kept, found = [], sweep._matched
+
+    def watched(*args):
+        kept.append(args[-1])
+        return found(*args)
+
+    monkeypatch.setattr(sweep, "_matched", watched)
+    out = {(r.n_start, r.iter): r for r in sweep.run(rows, 16, 8, [10], 1, 3, 3, 1).collect()}
+    assert [p is None for p in kept] == [True, False, False]
+    seed = sweep.seed_of(10, 1)
+    for x in pairing.iterate(rows, 16, 8, 3, 3, 1, seed, pairing.draw_start(rows, 10, seed))[1].collect():
+        y = out[10, x["round"]]
+        assert (x.n_train, x.tp, x.n, x.tp_train) == (y.n_train, y.tp, y.n, y.tp_train) and abs(x.meff - y.meff) < 1e-9
